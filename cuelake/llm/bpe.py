@@ -26,7 +26,9 @@ from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, twice at most; the longest one that it remembers; pairs of the table.
-CACHE_WORDS, CACHE_LENGTH, CACHE_PAIRS = 200_000, 40, 500_000
+CACHE_WORDS, CACHE_LENGTH, CACHE_PAIRS = 120_000, 40, 200_000
+#: Rows handed back to Spark at once: bounds what a worker holds beside the batch that it reads.
+ROWS_OUT = 500
 #: Added to the code of a piece's last character: it carries the end of the word.
 _END = 0x1000
 _PIECE = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\\p{L}\\p{N}]+")
@@ -221,7 +223,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(Encoder, definition)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_OUT) for b in batches for i in range(0, b.num_rows, ROWS_OUT)):
             ids = [encoder.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
@@ -236,7 +238,7 @@ def decode_tokens(encoded: DataFrame, id_col: str = "doc_id", tokenizer: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _worker(Decoder, definition)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_OUT) for b in batches for i in range(0, b.num_rows, ROWS_OUT)):
             texts = pa.array([decoder.decode(x.as_py() or b"") for x in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["id", "n_tokens", "ids", "text"])
 
