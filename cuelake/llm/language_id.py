@@ -7,40 +7,46 @@ of labelled texts; a temperature and a rejection threshold are then fitted on a
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import let, read_table, words_of
 
 UNDETERMINED = "und"
 #: The bounds of the sample: texts in all, and words of one text that training looks at, drawn over the whole text.
-SAMPLE_TEXTS, SAMPLE_WORDS = 4000, 300
+SAMPLE_TEXTS, SAMPLE_WORDS = 2000, 200
 BUCKETS, DIMENSION, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 EPOCHS, RATE = 6, 0.5
-#: Words whose sums a worker remembers.
-CACHE_WORDS = 200_000
+#: Bytes of a text that are hashed at a time.
+BLOCK = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
-def subwords(word: bytes) -> np.ndarray:
-    """The buckets of a word's n-grams of bytes, edges marked; of any word at least one."""
-    data = np.frombuffer(b"<" + word + b">", dtype=np.uint8).astype(np.uint32)
-    out = []
-    for n in ORDERS:
-        if len(data) >= n:
-            h = np.full(len(data) - n + 1, 2166136261 + n, dtype=np.uint32)
+def bucket_counts(text: bytes) -> np.ndarray:
+    """How often each bucket occurs among the byte n-grams of a text's words; a blank at either end is part of a word."""
+    whole = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", dtype=np.uint8).astype(np.uint32)
+    counts = np.zeros(BUCKETS)
+    for at in range(0, len(whole), BLOCK):
+        data = whole[at : at + BLOCK + max(ORDERS) - 1]
+        blank = data == 0x20
+        for n in ORDERS:
+            m = min(BLOCK, len(data) - n + 1)
+            if m <= 0:
+                continue
+            h = np.full(m, 2166136261 + n, dtype=np.uint32)
             for k in range(n):
-                h = (h ^ data[k : len(data) - n + 1 + k]) * np.uint32(16777619)
-            out.append((h ^ h >> 15) % BUCKETS)
-    return np.concatenate(out).astype(np.int64)
+                h = (h ^ data[k : m + k]) * np.uint32(16777619)
+            inside = blank[:m].copy() if n == 1 else np.zeros(m, dtype=bool)
+            for k in range(1, n - 1):
+                inside |= blank[k : m + k]
+            counts += np.bincount(((h ^ h >> np.uint32(15)) % np.uint32(BUCKETS))[~inside], minlength=BUCKETS)
+    return counts
 
 
 @dataclass
@@ -61,14 +67,6 @@ class Model:
         return e / e.sum()
 
 
-def _sampled(text: bytes) -> Counter:
-    """Buckets and how often they occur among words spread over the whole text."""
-    words = text.lower().split()
-    step = max(1, len(words) // SAMPLE_WORDS)
-    found = [subwords(w) for w in words[::step]]
-    return Counter(np.concatenate(found).tolist()) if found else Counter()
-
-
 def train(rows: list[tuple[bytes, str]], seed: int = 7) -> Model:
     """rows: (text in UTF-8, language), in a fixed order. Every fifth is held back to calibrate. No rows: one language, und."""
     languages = sorted({lang for _, lang in rows}) or [UNDETERMINED]
@@ -78,9 +76,9 @@ def train(rows: list[tuple[bytes, str]], seed: int = 7) -> Model:
     place = {lang: i for i, lang in enumerate(languages)}
     data = []
     for text, lang in rows:
-        if counts := _sampled(text):
-            ids, n = np.array(list(counts), dtype=np.int64), np.array(list(counts.values()), dtype=float)
-            data.append((ids, n / n.sum(), place[lang]))
+        counts = bucket_counts(text)
+        if len(ids := np.nonzero(counts)[0]):
+            data.append((ids, counts[ids] / counts[ids].sum(), place[lang]))
     fitted, held = [x for i, x in enumerate(data) if i % 5], data[::5]
     steps, total = 0, max(1, EPOCHS * len(fitted))
     for _ in range(EPOCHS):
@@ -122,38 +120,22 @@ def bounded_sample(docs: DataFrame, text_col: str, lang_col: str, limit: int = S
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) / 1_000_000
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.0 * each / n))])
     # words spread over the whole text are all that training looks at
-    words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
-    step = F.greatest(F.lit(1), F.floor(F.size(words) / SAMPLE_WORDS).cast("int"))
+    def spread(words: Column) -> Column:
+        step = F.greatest(F.lit(1), F.floor(F.size(words) / SAMPLE_WORDS).cast("int"))
+        return let(step, lambda k: F.array_join(F.filter(words, lambda w, i: i % k == 0), " "))
+
     drawn = labelled.filter(draw <= F.coalesce(share[F.col("lang")], F.lit(0.0))).orderBy(F.xxhash64("text", F.lit(12)), "lang").limit(limit)
-    thin = drawn.select(F.array_join(F.filter(words, lambda w, i: i % step == 0), " ").cast("binary").alias("text"), "lang")
+    thin = drawn.select(let(words_of(F.col("text")), spread).cast("binary").alias("text"), "lang")
     return [(bytes(r["text"]), r["lang"]) for r in thin.collect()]
 
 
-class _Predictor:
-    def __init__(self, model: Model):
-        self.model, self.recent, self.older = model, {}, {}
-
-    def _word(self, word: bytes) -> tuple[np.ndarray, int]:
-        if (x := self.older.get(word)) is None:
-            ids = subwords(word)
-            x = np.append(self.model.scores[ids].sum(axis=0), len(ids))
-        if len(self.recent) >= CACHE_WORDS:
-            self.older, self.recent = self.recent, {}
-        self.recent[word] = x
-        return x
-
-    def predict(self, text: bytes | None) -> tuple[str, float, bool]:
-        if not text or not _LETTER.search(text.decode("utf-8", "replace")):
-            return UNDETERMINED, 0.0, True
-        counts = Counter(text.lower().split())
-        sums = np.array([self.recent[w] if w in self.recent else self._word(w) for w in counts])
-        total = np.fromiter(counts.values(), dtype=float, count=len(counts)) @ sums
-        p = self.model.probabilities(self.model.logits(total[:-1], int(total[-1])))
-        best = int(p.argmax())
-        return self.model.languages[best], float(p[best]), bool(p[best] < self.model.reject_below)
-
-
-_predictors: dict[int, _Predictor] = {}
+def predict_one(model: Model, text: bytes | None) -> tuple[str, float, bool]:
+    if not text or not _LETTER.search(text.decode("utf-8", "replace")):
+        return UNDETERMINED, 0.0, True
+    counts = bucket_counts(text)
+    p = model.probabilities(model.logits(counts @ model.scores, int(counts.sum())))
+    best = int(p.argmax())
+    return model.languages[best], float(p[best]), bool(p[best] < model.reject_below)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,9 +147,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = _predictors.setdefault(zlib.crc32(sent.value.scores.tobytes()), _Predictor(sent.value))
         for batch in batches:
-            found = [predictor.predict(t.as_py()) for t in batch.column(1)]
+            found = [predict_one(sent.value, t.as_py()) for t in batch.column(1)]
             lang, score, rejected = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
