@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, quality_rules, simhash
+from . import bpe, language_id, mixing, quality_rules, simhash, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_warc": warc.op3_warc,
+    "op6_url_filters": url_filters.op6_url_filters,
     "op7_bpe": bpe.op7_bpe,
+    "op8_mixing": mixing.op8_mixing,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.ORACLE_SQL,
+    "op6_url_filters": url_filters.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
