@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, mixing, quality_rules, simhash, url_filters, warc
+from . import bpe, language_id, mixing, pii, quality_rules, simhash, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
     "op3_warc": warc.op3_warc,
     "op6_url_filters": url_filters.op6_url_filters,
