@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, mixing, pii, quality_rules, simhash, url_filters, warc
+from . import bpe, embeddings, language_id, mixing, pii, quality_rules, simhash, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
     "op3_warc": warc.op3_warc,
+    "op4_embeddings": embeddings.op4_embeddings,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE_SQL,
+    "op4_embeddings": embeddings.op4_embeddings,
     "op6_url_filters": url_filters.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
