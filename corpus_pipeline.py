@@ -1,24 +1,47 @@
-"""A corpus pipeline of five stages; each takes the documents that the one before kept."""
+"""A corpus pipeline of five stages; each takes the documents that the one before left, and all but the last return their columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import bpe, quality_rules
+from cuelake.llm import bpe, mixing, pii, quality_rules, simhash
 from cuelake.llm.common import materialize, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality policy rejects go."""
     return quality_rules.filter_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: five-word shingles, fingerprints within three bits."""
+    return simhash.keep_one(docs, shingle=5)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it are replaced in the texts; n_chars follows."""
+    return pii.sanitise(docs, length_col="n_chars")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights: documents come as often as their rate says, some not at all."""
+    return mixing.expand(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens and what they decode to, as digests."""
     return bpe.digests(docs)
 
 
-STAGES = [("quality rules", quality), ("BPE encoding and decoding", encode)]
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", encode),
+]
 
-#: SQL can't express SimHash components, entropy balancing or BPE.
+#: SQL can't express SimHash components, entropy balancing or BPE; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

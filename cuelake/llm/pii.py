@@ -175,15 +175,16 @@ def sanitised(text: Column) -> Column:
     return F.when(F.size(ordered) == 0, text).otherwise(_replaced(text, _merged(ordered), lambda x: x["label"]))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col sanitised, columns and rows as they were; a null text stays null."""
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with text_col sanitised, columns and rows as they were; a null text stays null. length_col, if given, becomes the new length."""
     found = find(docs, id_col, text_col).filter(" OR ".join(f"size({c}) > 0" for c in (*PATTERNS, "terms"))).dropDuplicates([id_col, "text_hash"])
     found = found.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), F.struct(*PATTERNS, "terms").alias("__found"))
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash")), "left")
     row = F.struct(*[F.col(c) for c in docs.columns])
     opened = joined.select(row.alias("__row"), F.col(text_col).alias("__text"), "__found").select("__row", "__text", F.col("__found").isNotNull().alias("__any"), "__found.*")
     text = F.when(F.col("__any"), sanitised(F.col("__text"))).otherwise(F.col("__text"))
-    return opened.select("__row", text.alias("__new")).select(*[(F.col("__new") if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    new = {text_col: F.col("__new")} | ({length_col: F.length("__new").cast(docs.schema[length_col].dataType)} if length_col else {})
+    return opened.select("__row", text.alias("__new")).select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

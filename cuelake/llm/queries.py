@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, language_id, mixing, pii, quality_rules, simhash, url_filters, warc
+from . import bpe, embeddings, language_id, mixing, passages, pii, quality_rules, simhash, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
     "op3_warc": warc.op3_warc,
     "op4_embeddings": embeddings.op4_embeddings,
+    "op5_passages": passages.op5_passages,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
