@@ -1,10 +1,465 @@
-"""Queries over the given tables, and their SQL twins."""
+"""Queries over the given tables, and their SQL twins. Floats are rounded to six digits in both."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as T
+from ..operators import cues as C
+from ..operators import edits as E
+from ..operators import ranges as R
+from ..operators import signal as S
+from ..operators import translate as X
+from .adapters import CUES_SQL, FRAMES_SQL, cues, frames, read, words
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_WITH_FRAMES = f"WITH frames AS ({FRAMES_SQL}), "
+_WITH_CUES = f"WITH cues AS ({CUES_SQL}), "
+_W = "WINDOW w AS (PARTITION BY media_id ORDER BY frame_ix)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function as a query under its name, with its SQL if SQL can express it."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+_REGIONS = rf"""
+held AS (SELECT media_id, frame_ix, p, coalesce(last_value(CASE WHEN p >= 0.45 THEN 1 WHEN p < 0.3 THEN 0 END IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY frame_ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS held,
+  (max(frame_ix) OVER (PARTITION BY media_id) + 1) * CAST(0.032 AS DOUBLE) AS total FROM frames),
+opened AS (SELECT *, CASE WHEN held = 1 AND coalesce(lag(held) OVER w, 0) = 0 THEN 1 ELSE 0 END AS opens FROM held {_W}),
+numbered AS (SELECT *, sum(opens) OVER (w ROWS UNBOUNDED PRECEDING) AS run FROM opened {_W}),
+runs AS (SELECT media_id, run, min(frame_ix) * CAST(0.032 AS DOUBLE) AS s, (max(frame_ix) + 1) * CAST(0.032 AS DOUBLE) AS e, count(*) AS n, max(p) AS peak, min(total) AS total FROM numbered WHERE held = 1 GROUP BY media_id, run),
+gaps AS (SELECT *, CASE WHEN coalesce(s - lag(e) OVER (PARTITION BY media_id ORDER BY run) >= 0.2, true) THEN 1 ELSE 0 END AS opens FROM runs),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY run ROWS UNBOUNDED PRECEDING) AS island FROM gaps),
+merged AS (SELECT media_id, island, min(s) AS s, max(e) AS e, sum(n) AS n_frames, max(peak) AS peak, min(total) AS total FROM islands GROUP BY media_id, island),
+regions AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s) AS region_ix, greatest(0.0, s - 0.06) AS s, least(total, e + 0.06) AS e, n_frames, peak FROM merged WHERE e - s >= 0.08)"""
+
+
+@query(_WITH_FRAMES + _REGIONS + " SELECT media_id, region_ix, round(s, 6) AS s, round(e, 6) AS e, CAST(n_frames AS BIGINT) AS n_frames, round(peak, 6) AS peak FROM regions")
+def speech_regions(spark, sf_dir):
+    return rounded(S.speech_regions(frames(spark, sf_dir)), "s", "e", "peak")
+
+
+_RUNS = f"""
+smoothed AS (SELECT *, sum(p) OVER (PARTITION BY media_id ORDER BY frame_ix ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS sm FROM frames),
+marked AS (SELECT *, sm < 0.2 AS state FROM smoothed),
+opened AS (SELECT *, CASE WHEN coalesce(lag(state) OVER w <> state, true) THEN 1 ELSE 0 END AS opens FROM marked {_W}),
+numbered AS (SELECT *, sum(opens) OVER (w ROWS UNBOUNDED PRECEDING) AS run_ix FROM opened {_W}),
+runs AS (SELECT media_id, run_ix, min(state) AS state, min(frame_ix) AS first, max(frame_ix) AS last, count(*) AS n, max(p) AS peak FROM numbered GROUP BY media_id, run_ix)"""
+
+
+@query(_WITH_FRAMES + _RUNS + " SELECT media_id, CAST(run_ix AS BIGINT) AS run_ix, state, first, last, n, round(peak, 6) AS peak FROM runs")
+def smooth_quiet_runs(spark, sf_dir):
+    return rounded(S.quiet_runs(frames(spark, sf_dir)), "peak")
+
+
+@query(_WITH_FRAMES + _RUNS + ", edges AS (SELECT *, max(last) OVER (PARTITION BY media_id) AS final FROM runs) SELECT media_id, round((first + last + 1) / 2 * 0.032, 6) AS cut FROM edges WHERE state AND first > 0 AND last < final AND n >= 3")
+def pause_cuts(spark, sf_dir):
+    return rounded(S.pause_cuts(frames(spark, sf_dir), pause=0.1), "cut")
+
+
+@query(_WITH_FRAMES + f"v AS (SELECT media_id, frame_ix, exp(max(ln(p) + frame_ix * {S.RELEASE!r}) OVER (w ROWS UNBOUNDED PRECEDING) - frame_ix * {S.RELEASE!r}) AS y FROM frames {_W}) SELECT media_id, frame_ix, round(coalesce(y, 0.0), 6) AS y FROM v")
+def envelope_release(spark, sf_dir):
+    return rounded(S.envelope_release(frames(spark, sf_dir)), "y").select("media_id", "frame_ix", "y")
+
+
+_PEAKS = """
+bins AS (SELECT media_id, frame_ix // 20 AS bin_ix, max(abs(value)) AS m FROM frames GROUP BY 1, 2),
+scale AS (SELECT media_id, quantile_cont(m, 0.995) AS q FROM bins GROUP BY media_id),
+peaks AS (SELECT media_id, bin_ix, CAST(floor(pow(least(1.0, m / CASE WHEN q = 0 THEN 1.0 ELSE q END), 0.7) * 255) AS INTEGER) AS peak FROM bins JOIN scale USING (media_id))"""
+
+
+@query(_WITH_FRAMES + _PEAKS + " SELECT media_id, bin_ix, peak FROM peaks")
+def peak_envelope(spark, sf_dir):
+    return S.peak_envelope(frames(spark, sf_dir))
+
+
+@query(_WITH_FRAMES + _PEAKS + " SELECT media_id, bin_ix // 3 AS bin_ix, max(peak) AS peak FROM peaks GROUP BY 1, 2")
+def rebinned_peaks(spark, sf_dir):
+    return S.rebin(S.peak_envelope(frames(spark, sf_dir)), 3)
+
+
+@query(_WITH_FRAMES + """
+rms AS (SELECT media_id, frame_ix // 4 AS bin_ix, 20 * log10(sqrt(avg(value * value)) + 1e-9) AS db FROM frames GROUP BY 1, 2),
+fl AS (SELECT media_id, quantile_cont(db, 0.15) AS floor FROM rms GROUP BY media_id)
+SELECT media_id, bin_ix, round(least(1.0, greatest(0.0, (db - floor - 6) / 18)), 6) AS prob FROM rms JOIN fl USING (media_id)""")
+def energy_floor(spark, sf_dir):
+    return rounded(S.energy_probability(frames(spark, sf_dir)), "prob")
+
+
+@query()
+def plan_windows(spark, sf_dir):
+    return S.plan_windows(frames(spark, sf_dir), max_len=2.0, min_len=0.3, pause=0.1)
+
+
+@query()
+def group_windows(spark, sf_dir):
+    return S.group_windows(plan_windows(spark, sf_dir), target=2.0, max_len=3.0)
+
+
+@query()
+def live_windows(spark, sf_dir):
+    return S.live_windows(plan_windows(spark, sf_dir), frames(spark, sf_dir))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, event_id, CASE WHEN coalesce(ts - lag(ts) OVER w > INTERVAL 2 HOUR, true) THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_ix FROM g)
+SELECT user_id, CAST(session_ix AS BIGINT) AS session_ix, count(*) AS n, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM s GROUP BY 1, 2""")
+def pause_sessions(spark, sf_dir):
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = read(spark, sf_dir, "events").withColumn("opens", F.coalesce(F.col("ts") - F.lag("ts").over(by) > F.expr("INTERVAL 2 HOURS"), F.lit(True)).cast("int"))
+    rows = rows.withColumn("session_ix", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("user_id", "session_ix").agg(F.count("*").alias("n"), (F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))).alias("seconds"))
+
+
+@query(r"""
+SELECT doc_id, CAST(length(regexp_replace(text, '[^\p{L}\p{N}'']', '', 'g')) AS BIGINT) AS n_kept, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS n_visible,
+  CAST(length(text) // 4 + 1 AS BIGINT) AS tokens,
+  round(length(regexp_replace(text, '[^\p{L}\p{N}''?!.,]', '', 'g')) + CAST(0.6 AS DOUBLE) * length(regexp_replace(text, '[^ ]', '', 'g')), 6) AS width
+FROM documents""")
+def doc_text_profile(spark, sf_dir):
+    text = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", T.kept_length(text).cast("long").alias("n_kept"), T.visible_length(text).cast("long").alias("n_visible"), T.estimated_tokens(text).cast("long").alias("tokens"), F.round(T.display_width(text), 6).alias("width"))
+
+
+_ABBREVIATIONS = ", ".join("'" + a + "'" for a in T.ABBREVIATIONS)
+_ENDS = rf"""
+body AS (SELECT *, regexp_replace(regexp_replace(text, '\s+$', ''), '[」』”’")】》〉]+$', '') AS b FROM words),
+tail AS (SELECT *, right(b, 1) AS t, lower(regexp_extract(b, '([\p{{L}}.'']+)\.$', 1)) AS word FROM body),
+ends AS (SELECT *, length(b) > 0 AND (t IN ('。', '！', '？', '!', '?', '…', '‼', '⁉', '؟', '۔', '।', '॥', ';')
+  OR (t IN ('.', '．') AND (regexp_matches(b, '(\.\.|．．)$') OR NOT (word IN ({_ABBREVIATIONS}) OR (length(word) = 1 AND regexp_matches(word, '\p{{L}}')))))) AS ends FROM tail)"""
+_WITH_WORDS = r"WITH words AS (SELECT doc_id AS media_id, unnest(list) AS text, unnest(range(len(list))) AS ix FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\S+\s*') AS list FROM documents)), "
+
+
+@query(_WITH_WORDS + _ENDS + " SELECT media_id, count(*) AS n_words, count(*) FILTER (WHERE ends) AS n_ends FROM ends GROUP BY media_id")
+def sentence_ends(spark, sf_dir):
+    return words(spark, sf_dir).groupBy("media_id").agg(F.count("*").alias("n_words"), F.count_if(T.ends_sentence(F.col("text"))).alias("n_ends"))
+
+
+@query(_WITH_WORDS + _ENDS + r""",
+timed AS (SELECT media_id, ix, text, ends, length(text) * CAST(0.05 AS DOUBLE) AS spoken, CAST(CASE WHEN contains(text, chr(10)) THEN 1.5 ELSE 0.0 END AS DOUBLE) AS pause FROM ends),
+placed AS (SELECT *, coalesce(sum(spoken + pause) OVER (PARTITION BY media_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS s FROM timed),
+g AS (SELECT *, s + spoken AS e, lag(s + spoken) OVER w AS before, lag(ends) OVER w AS ended FROM placed WINDOW w AS (PARTITION BY media_id ORDER BY ix)),
+o AS (SELECT *, CASE WHEN coalesce(s - before > 1.2 OR ended, true) THEN 1 ELSE 0 END AS opens FROM g),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS sentence_ix FROM o)
+SELECT media_id, CAST(sentence_ix AS BIGINT) AS sentence_ix, count(*) AS n_words, round(min(s), 4) AS s, round(max(e), 4) AS e FROM n GROUP BY 1, 2""")
+def doc_sentences(spark, sf_dir):
+    rows = C.sentences(words(spark, sf_dir))
+    return rows.groupBy("media_id", "sentence_ix").agg(F.count("*").alias("n_words"), F.round(F.min("s"), 4).alias("s"), F.round(F.max("e"), 4).alias("e"))
+
+
+_NEGATIONS = ", ".join("'" + n.replace("'", "''") + "'" for n in T.NEGATIONS)
+
+
+@query(rf"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda w: w IN ({_NEGATIONS}) OR ends_with(w, 'n''t'))) AS BIGINT) AS n_negations,
+  CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n_numbers, array_to_string(regexp_extract_all(text, '[0-9]+'), ' ') AS numbers
+FROM documents""")
+def negation_number_profile(spark, sf_dir):
+    found = T.numbers(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.negations(F.col("text")).cast("long").alias("n_negations"), F.size(found).cast("long").alias("n_numbers"), F.array_join(found, " ").alias("numbers"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?i)</?(i|b|u|s|font|c|v|lang|ruby|rt|span)([.\s][^>]*)?>|<\d+:[\d:.]+>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '\{\\[^}]*\}', '', 'g') AS t FROM a)
+SELECT page_id, md5(trim(replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&quot;', '"'), '&apos;', chr(39)), '&lrm;', ''), '&rlm;', ''), '&amp;', '&'))) AS digest FROM b""")
+def clean_markup(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_markup(F.col("html"))).alias("digest"))
+
+
+@query(r"""
+WITH s AS (SELECT source, lang, sum(length(regexp_replace(text, '[^\p{L}\p{N}'']', '', 'g'))) AS n FROM documents GROUP BY 1, 2)
+SELECT source, arg_max(lang, struct_pack(n := n, lang := lang)) AS lang, round(max(n) / sum(n), 6) AS share FROM s GROUP BY source""")
+def dominant_language(spark, sf_dir):
+    return rounded(E.dominant_language(read(spark, sf_dir, "documents"), "source"), "share")
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS a, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS l FROM documents)
+SELECT doc_id, round(a / nullif(l, 0), 6) AS share, l >= 8 AND coalesce(a / nullif(l, 0) >= 0.85, false) AS other_script FROM c""")
+def latin_share(spark, sf_dir):
+    text = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(T.latin_share(text), 6).alias("share"), F.coalesce(T.clearly_other_script(text, F.lit("Russian")), F.lit(False)).alias("other_script"))
+
+
+_CLOCK = """printf('%02d:%02d:%02d,%03d', CAST({0} AS BIGINT) // 3600000, CAST({0} AS BIGINT) // 60000 % 60, CAST({0} AS BIGINT) // 1000 % 60, CAST({0} AS BIGINT) % 1000)"""
+_MS = 'round("{}" * 1000)'
+
+
+@query(_WITH_CUES + f"t AS (SELECT * FROM cues) SELECT media_id, ix, {_CLOCK.format(_MS.format('start'))} AS \"from\", {_CLOCK.format(_MS.format('end'))} AS \"to\" FROM t")
+def cue_timeline(spark, sf_dir):
+    return cues(spark, sf_dir).select("media_id", "ix", T.format_time(F.col("start")).alias("from"), T.format_time(F.col("end")).alias("to"))
+
+
+@query(_WITH_CUES + r"""s AS (SELECT media_id, ix, length(regexp_replace(src, '\s', '', 'g')) / greatest(0.1, "end" - "start") AS cps FROM cues) SELECT media_id, ix, round(cps, 4) AS cps FROM s WHERE cps > 14.9999""")
+def fast_cues(spark, sf_dir):
+    rows = cues(spark, sf_dir).select("media_id", "ix", T.reading_speed(F.col("src"), F.col("start"), F.col("end")).alias("cps"))
+    return rows.filter("cps > 14.9999").select("media_id", "ix", F.round("cps", 4).alias("cps"))
+
+
+@query(_WITH_CUES + """
+a AS (SELECT media_id, ix, greatest(0.0, "start" - 0.05) AS s, "end" AS e FROM cues),
+b AS (SELECT *, coalesce(lead(s) OVER w, e + 5) AS nxt FROM a WINDOW w AS (PARTITION BY media_id ORDER BY ix)),
+c AS (SELECT media_id, ix, s, greatest(e, least(greatest(e + 0.3, s + 0.9), nxt - 0.06)) AS e FROM b),
+d AS (SELECT *, coalesce(lag(e) OVER w, 0.0) AS prv FROM c WINDOW w AS (PARTITION BY media_id ORDER BY ix))
+SELECT media_id, ix, round(CASE WHEN e - s < 0.9 THEN least(s, greatest(prv + 0.06, e - 0.9, s - 0.3)) ELSE s END, 6) AS "start", round(e, 6) AS "end" FROM d""")
+def polish_timing_native(spark, sf_dir):
+    return rounded(C.polished(cues(spark, sf_dir)), "start", "end").select("media_id", "ix", "start", "end")
+
+
+@query()
+def polish_timing(spark, sf_dir):
+    return C.polish(cues(spark, sf_dir))
+
+
+_STRETCHED = '"end" + 0.5 AS "end"'
+
+
+@query(_WITH_CUES + f"""
+c AS (SELECT media_id, ix, "start", {_STRETCHED} FROM cues),
+n AS (SELECT *, lead("start") OVER (PARTITION BY media_id ORDER BY "start", "end", ix) AS nxt FROM c),
+t AS (SELECT media_id, ix, "start", coalesce("end" > nxt + 0.001, false) AS trimmed, CASE WHEN coalesce("end" > nxt + 0.001, false) THEN nxt ELSE "end" END AS "end" FROM n)
+SELECT media_id, ix, round("start", 6) AS "start", round("end", 6) AS "end", trimmed FROM t WHERE "end" - "start" >= 0.05""")
+def trim_overlaps(spark, sf_dir):
+    rows = cues(spark, sf_dir).select("media_id", "ix", "start", (F.col("end") + 0.5).alias("end"))
+    return rounded(C.trim_overlaps(rows), "start", "end")
+
+
+@query(_WITH_CUES + """
+c AS (SELECT media_id, ix, "start", "end" - 0.25 AS "end" FROM cues),
+d AS (SELECT media_id, max("end") + 2 AS duration FROM c GROUP BY media_id),
+r AS (SELECT c.*, duration, coalesce(max(least("end", duration)) OVER (PARTITION BY media_id ORDER BY "start", ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS reach FROM c JOIN d USING (media_id)),
+k AS (SELECT media_id, ix, reach, greatest("start", reach) AS s, least("end", duration) AS e FROM r WHERE least("end", duration) - greatest("start", reach) >= 0.01),
+z AS (SELECT d.media_id, coalesce(max(e), 0.0) AS last, min(duration) AS duration FROM d LEFT JOIN k ON d.media_id = k.media_id GROUP BY d.media_id),
+u AS (SELECT media_id, s, e, ix FROM k UNION ALL SELECT media_id, reach, s, NULL FROM k WHERE s - reach > 0.0005 UNION ALL SELECT media_id, last, greatest(duration + 1, last + 0.05), NULL FROM z)
+SELECT media_id, round(s, 6) AS s, round(e, 6) AS e, ix FROM u""")
+def gap_fill(spark, sf_dir):
+    rows = cues(spark, sf_dir).select("media_id", "ix", "start", (F.col("end") - 0.25).alias("end"))
+    return rounded(C.fill_gaps(rows, rows.groupBy("media_id").agg((F.max("end") + 2).alias("duration"))), "s", "e")
+
+
+@query(_WITH_CUES + r"""
+e AS (SELECT media_id, ix AS win_ix, "start" AS a, "end" AS b, unnest(list) AS text, unnest(range(len(list))) AS ix FROM (SELECT *, regexp_extract_all(src, '\S+\s*') AS list FROM cues)),
+k AS (SELECT *, greatest(1, length(regexp_replace(text, '[^\p{L}\p{N}'']', '', 'g'))) AS w FROM e),
+t AS (SELECT *, sum(w) OVER (PARTITION BY media_id, win_ix ORDER BY ix ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY media_id, win_ix) AS total FROM k)
+SELECT media_id, win_ix, ix, text, round(a + (b - a) * (upto - w) / total, 6) AS s, round(a + (b - a) * upto / total, 6) AS e FROM t""")
+def proportional_timing(spark, sf_dir):
+    windows = cues(spark, sf_dir).select("media_id", F.col("ix").alias("win_ix"), F.col("src").alias("text"), F.col("start").alias("s"), F.col("end").alias("e"))
+    return rounded(C.proportional_words(windows), "s", "e")
+
+
+def _purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points: every frame. Cues: the frames of the first event type by name, each as long as the next such frame allows."""
+    rows = frames(spark, sf_dir)
+    kind = rows.filter("event_type = 'purchase'").select("media_id", F.col("frame_ix").alias("ix"), (F.col("frame_ix") * 1.0).alias("start"))
+    nxt = F.lead("start").over(Window.partitionBy("media_id").orderBy("ix"))
+    spans = kind.withColumn("end", F.least(F.col("start") + 5, F.coalesce(nxt, F.col("start") + 5)))
+    points = rows.select("media_id", F.col("frame_ix").alias("point_id"), (F.col("frame_ix") + 0.5).alias("t"))
+    return points, spans
+
+
+_SPANS = """
+k AS (SELECT media_id, frame_ix AS ix, frame_ix * 1.0 AS "start" FROM frames WHERE event_type = 'purchase'),
+spans AS (SELECT *, least("start" + 5, coalesce(lead("start") OVER (PARTITION BY media_id ORDER BY ix), "start" + 5)) AS "end" FROM k),
+points AS (SELECT media_id, frame_ix AS point_id, frame_ix + 0.5 AS t FROM frames)"""
+
+
+@query(_WITH_FRAMES + _SPANS + """ SELECT p.media_id, point_id, CAST(t AS DOUBLE) AS t, CASE WHEN t < "end" THEN ix END AS ix FROM points p ASOF LEFT JOIN spans s ON p.media_id = s.media_id AND p.t >= s."start" """)
+def active_at(spark, sf_dir):
+    points, spans = _purchases(spark, sf_dir)
+    return R.active_at(points, spans).withColumn("t", F.col("t").cast("double"))
+
+
+@query(_WITH_FRAMES + _SPANS + """
+SELECT p.media_id, p.point_id, min(s.ix) FILTER (WHERE s."start" > p.t + 0.01) AS next_ix, max(s.ix) FILTER (WHERE s."start" < p.t - 0.3) AS prev_ix
+FROM points p LEFT JOIN spans s ON p.media_id = s.media_id GROUP BY 1, 2""")
+def neighbour_cues(spark, sf_dir):
+    return R.neighbours(*_purchases(spark, sf_dir))
+
+
+_INTERVALS = """
+a AS (SELECT media_id, frame_ix AS a_ix, frame_ix * 1.0 AS s, frame_ix + 3.5 AS e FROM frames WHERE event_type = 'purchase'),
+b AS (SELECT media_id, frame_ix AS b_ix, frame_ix * 1.0 AS s, frame_ix + 1.5 AS e FROM frames WHERE event_type <> 'purchase')"""
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = frames(spark, sf_dir)
+    make = lambda name, length: ["media_id", F.col("frame_ix").alias(name), (F.col("frame_ix") * 1.0).cast("double").alias("s"), (F.col("frame_ix") + length).cast("double").alias("e")]
+    return rows.filter("event_type = 'purchase'").select(*make("a_ix", 3.5)), rows.filter("event_type <> 'purchase'").select(*make("b_ix", 1.5))
+
+
+@query(_WITH_FRAMES + _INTERVALS + " SELECT a.media_id, a_ix, b_ix, CAST(greatest(a.s, b.s) AS DOUBLE) AS s, CAST(least(a.e, b.e) AS DOUBLE) AS e FROM a JOIN b ON a.media_id = b.media_id AND a.e > b.s AND a.s < b.e")
+def interval_overlap(spark, sf_dir):
+    return R.overlaps(*_intervals(spark, sf_dir))
+
+
+@query(_WITH_FRAMES + _INTERVALS + """,
+m AS (SELECT *, max(e) OVER (PARTITION BY media_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM a),
+o AS (SELECT *, sum(CASE WHEN coalesce(s > reached + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT media_id, CAST(island AS BIGINT) AS island, CAST(min(s) AS DOUBLE) AS s, CAST(max(e) AS DOUBLE) AS e, count(*) AS n FROM o GROUP BY 1, 2""")
+def interval_union(spark, sf_dir):
+    return R.union_intervals(_intervals(spark, sf_dir)[0], slack=1.0)
+
+
+@query(_WITH_CUES + "c AS (SELECT media_id, ix, string_agg(src, chr(10)) OVER (PARTITION BY media_id ORDER BY ix ROWS BETWEEN 8 PRECEDING AND 5 FOLLOWING) AS context FROM cues) SELECT media_id, ix, md5(context) AS digest FROM c")
+def neighbour_context(spark, sf_dir):
+    return X.with_context(cues(spark, sf_dir)).select("media_id", "ix", F.md5("context").alias("digest"))
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as replies to the turn before."""
+    return cues(spark, sf_dir).filter("role = 'assistant' AND ix > 0").select("media_id", (F.col("ix") - 1).alias("ix"), F.col("src").alias("text"))
+
+
+_REPLIES = "replies AS (SELECT media_id, ix - 1 AS ix, src AS text FROM cues WHERE role = 'assistant' AND ix > 0)"
+
+
+@query(_WITH_CUES + _REPLIES + " SELECT c.media_id, c.ix, c.src, coalesce(r.text, '') AS tgt FROM cues c LEFT JOIN replies r ON c.media_id = r.media_id AND c.ix = r.ix")
+def reply_join(spark, sf_dir):
+    return X.join_replies(cues(spark, sf_dir), _replies(spark, sf_dir)).select("media_id", "ix", "src", "tgt")
+
+
+@query(_WITH_CUES + _REPLIES + r" SELECT media_id, ix, src FROM cues c WHERE regexp_matches(src, '[\p{L}\p{N}]') AND NOT EXISTS (SELECT 1 FROM replies r WHERE r.media_id = c.media_id AND r.ix = c.ix)")
+def missing_replies(spark, sf_dir):
+    return X.missing(cues(spark, sf_dir), _replies(spark, sf_dir)).select("media_id", "ix", "src")
+
+
+@query(_WITH_CUES + _REPLIES + """,
+sent AS (SELECT r.media_id, r.ix, CASE WHEN r.ix % 4 = 0 THEN c.src || '!' ELSE c.src END AS sent_src, r.text FROM replies r JOIN cues c ON c.media_id = r.media_id AND c.ix = r.ix)
+SELECT c.media_id, c.ix, CASE WHEN sent_src = src THEN text END AS tgt, sent_src IS NOT NULL AND sent_src <> src AS skipped FROM cues c LEFT JOIN sent s ON c.media_id = s.media_id AND c.ix = s.ix""")
+def stale_guard(spark, sf_dir):
+    rows = cues(spark, sf_dir)
+    sent = _replies(spark, sf_dir).join(rows.select("media_id", "ix", "src"), ["media_id", "ix"])
+    sent = sent.select("media_id", "ix", F.when(F.col("ix") % 4 == 0, F.concat("src", F.lit("!"))).otherwise(F.col("src")).alias("sent_src"), "text")
+    return X.apply_if_unchanged(rows, sent).select("media_id", "ix", "tgt", "skipped")
+
+
+@query(_WITH_CUES + r"""
+l AS (SELECT media_id, ix, '[' || row_number() OVER (PARTITION BY media_id ORDER BY ix) || '] ' || src AS line FROM cues),
+u AS (SELECT media_id, ix, sum(length(line) // 4 + 2) OVER (PARTITION BY media_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS used FROM l)
+SELECT media_id, ix, CAST(used AS BIGINT) AS used FROM u WHERE used <= 200""")
+def token_budget(spark, sf_dir):
+    return X.within_budget(cues(spark, sf_dir), 200).select("media_id", "ix", "used")
+
+
+@query(_WITH_CUES + "s AS (SELECT * FROM cues WHERE contains(lower(src), 'the')) SELECT media_id, ix, src FROM s")
+def search_cues(spark, sf_dir):
+    return E.search(cues(spark, sf_dir), "The").select("media_id", "ix", "src")
+
+
+@query("""
+WITH q AS (SELECT l_orderkey, sum(l_quantity) AS quantity, count(*) AS lines FROM lineitem GROUP BY 1)
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS requests, CAST(round(sum(coalesce(quantity, 0))) AS BIGINT) AS prompt, CAST(sum(coalesce(lines, 0)) AS BIGINT) AS completion, CAST(0 AS BIGINT) AS cache_hit
+FROM orders LEFT JOIN q ON o_orderkey = l_orderkey GROUP BY 1""")
+def monthly_usage(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines"))
+    runs = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    runs = runs.select(F.col("o_orderdate").alias("ts"), F.lit(1).cast("long").alias("requests"), F.coalesce("quantity", F.lit(0)).alias("prompt"), F.coalesce("lines", F.lit(0)).alias("completion"), F.lit(0).cast("long").alias("cache_hit"))
+    return E.usage_by_month(runs).withColumn("prompt", F.round("prompt").cast("long"))
+
+
+@query(_WITH_CUES + """
+d AS (SELECT media_id, max("end") AS duration FROM cues GROUP BY media_id),
+s AS (SELECT media_id, ix, least(greatest("start" - 4.5, 0.0), duration) AS "start", least(greatest("end" - 4.5, 0.0), duration) AS "end" FROM cues JOIN d USING (media_id))
+SELECT media_id, ix, round("start", 6) AS "start", round("end", 6) AS "end" FROM s WHERE "end" - "start" > 0.05""")
+def shift_offset(spark, sf_dir):
+    rows = cues(spark, sf_dir)
+    return rounded(E.shift(rows, -4.5, rows.groupBy("media_id").agg(F.max("end").alias("duration"))), "start", "end").select("media_id", "ix", "start", "end")
+
+
+@query(_WITH_CUES + """
+o AS (SELECT *, CASE WHEN coalesce(lag(ix) OVER (PARTITION BY media_id ORDER BY ix) % 3 = 0, false) THEN 0 ELSE 1 END AS opens FROM cues),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT media_id, min(ix) AS ix, round(min("start"), 6) AS "start", round(max("end"), 6) AS "end", string_agg(src, ' ' ORDER BY ix) AS src, count(*) AS n FROM i GROUP BY media_id, island""")
+def merge_next(spark, sf_dir):
+    rows = cues(spark, sf_dir)
+    return rounded(E.merge_next(rows, rows.filter("ix % 3 = 0")), "start", "end")
+
+
+@query(_WITH_CUES + """
+p AS (SELECT media_id, ix, "start", "end", ix % 2 = 0 AND "end" - "start" >= 0.4 AS cut, ("start" + "end") / 2 AS m FROM cues),
+u AS (SELECT media_id, ix, 0 AS part, "start", CASE WHEN cut THEN m ELSE "end" END AS "end" FROM p UNION ALL SELECT media_id, ix, 1, m, "end" FROM p WHERE cut)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY ix, part) - 1 AS ix, round("start", 6) AS "start", round("end", 6) AS "end" FROM u""")
+def split_cue(spark, sf_dir):
+    rows = cues(spark, sf_dir)
+    return rounded(E.split_cues(rows, rows.filter("ix % 2 = 0").select("media_id", "ix", F.lit(-1.0).alias("t"))), "start", "end").select("media_id", "ix", "start", "end")
+
+
+@query("""
+WITH e AS (SELECT user_id AS media_id, event_id, epoch(ts) AS t, event_type AS key FROM events),
+o AS (SELECT *, CASE WHEN coalesce(lag(key) OVER w <> key OR t - lag(t) OVER w > 36000, true) THEN 1 ELSE 0 END AS opens FROM e WINDOW w AS (PARTITION BY media_id ORDER BY t, event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session_ix FROM o),
+g AS (SELECT media_id, session_ix, min(key) AS key, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT media_id, CAST(session_ix AS BIGINT) AS session_ix, key, n FROM g QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY session_ix DESC) <= 150""")
+def coalesce_edits(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("media_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_type").alias("key"))
+    return E.edit_sessions(rows, gap=36000).select("media_id", "session_ix", "key", "n")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def orphan_rows(spark, sf_dir):
+    refs = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return E.orphans(read(spark, sf_dir, "part").select("p_partkey"), refs, "p_partkey")
+
+
+@query(_WITH_CUES + r"""c AS (SELECT *, length(regexp_replace(src, '\s', '', 'g')) AS v FROM cues) SELECT media_id, count(*) AS n_cues, round(max("end"), 6) AS duration, CAST(sum(v) AS BIGINT) AS n_chars FROM c GROUP BY media_id""")
+def catalog(spark, sf_dir):
+    return rounded(E.catalog(cues(spark, sf_dir)), "duration")
+
+
+@query(_WITH_CUES + f"""
+f AS (SELECT media_id, ix, row_number() OVER (PARTITION BY media_id ORDER BY ix) AS n, {_CLOCK.format(_MS.format('start'))} || ' --> ' || {_CLOCK.format(_MS.format('end'))} AS t, regexp_replace(trim(replace(src, '-->', '→')), '\\n\\s*\\n', chr(10), 'g') AS src FROM cues WHERE length(trim(src)) > 0)
+SELECT media_id, md5(string_agg(n || chr(10) || t || chr(10) || src || chr(10), chr(10) ORDER BY n)) AS digest, count(*) AS n FROM f GROUP BY media_id""")
+def export_srt(spark, sf_dir):
+    from ..sources.export import export_subtitles
+
+    rows = cues(spark, sf_dir).withColumn("tgt", F.lit(""))
+    return export_subtitles(rows, "srt", "src").select("media_id", F.md5("document").alias("digest"), "n")
+
+
+@query(_WITH_CUES + r"""
+i AS (SELECT media_id, ix, unnest(list_filter([CASE WHEN trim(src) = '' THEN 'empty' END, CASE WHEN "end" <= "start" THEN 'not_positive' END,
+  CASE WHEN length(regexp_replace(src, '\s', '', 'g')) / greatest(0.1, "end" - "start") > 14.9999 THEN 'fast' END], lambda x: x IS NOT NULL)) AS issue FROM cues)
+SELECT media_id, ix, issue FROM i""")
+def qa_report(spark, sf_dir):
+    return E.qa_report(cues(spark, sf_dir), limit=14.9999).filter("issue NOT IN ('unordered', 'overlap')")
+
+
+@query()
+def collapse_repeats(spark, sf_dir):
+    return X.collapse_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def plan_batches(spark, sf_dir):
+    return X.plan_batches(cues(spark, sf_dir).select("media_id", "ix", "src"), size=4, slack=2)
+
+
+@query()
+def build_cues(spark, sf_dir):
+    return C.build_cues(words(spark, sf_dir))
+
+
+@query()
+def guard_fixes(spark, sf_dir):
+    rows = cues(spark, sf_dir).select("media_id", "ix", F.col("src").alias("old"), F.regexp_replace("src", r"^(\S+?)(\S)(\s)", "$1$3").alias("new"))
+    return X.guard_fixes(rows).select("media_id", "ix", "ok")
