@@ -463,3 +463,54 @@ def build_cues(spark, sf_dir):
 def guard_fixes(spark, sf_dir):
     rows = cues(spark, sf_dir).select("media_id", "ix", F.col("src").alias("old"), F.regexp_replace("src", r"^(\S+?)(\S)(\s)", "$1$3").alias("new"))
     return X.guard_fixes(rows).select("media_id", "ix", "ok")
+
+
+@query(_WITH_CUES + f"""
+f AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY ix) AS n, round("start" * 1000) AS a, round("end" * 1000) AS b, regexp_replace(trim(src), '\\s*\\n\\s*', ' ', 'g') AS src FROM cues WHERE length(trim(src)) > 0)
+SELECT CAST(media_id AS VARCHAR) AS path, CAST(n - 1 AS BIGINT) AS ix, CAST(a AS BIGINT) AS start_ms, CAST(b AS BIGINT) AS end_ms, src FROM f""")
+def subtitle_round_trip(spark, sf_dir):
+    """Cues written as SRT documents, and these read as files: decoded, scanned, normalised."""
+    from ..sources.export import export_subtitles
+    from ..sources.subtitles import ingest_subtitles
+
+    documents = export_subtitles(cues(spark, sf_dir).withColumn("tgt", F.lit("")), "srt", "src")
+    files = documents.select(F.col("media_id").cast("string").alias("path"), F.col("document").cast("binary").alias("content"))
+    found, _ = ingest_subtitles(files, mode="src")
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return found.select("path", "ix", ms("start").alias("start_ms"), ms("end").alias("end_ms"), "src")
+
+
+@query(_WITH_CUES + r"t AS (SELECT * FROM cues) SELECT media_id, ix, CASE WHEN regexp_matches(src, '[\p{L}\p{N}]') THEN 'x ' || src ELSE '' END AS tgt, CAST(CASE WHEN regexp_matches(src, '[\p{L}\p{N}]') THEN 1 ELSE 0 END AS INTEGER) AS attempts FROM t")
+def translate_job(spark, sf_dir):
+    """The model hook with a stand-in that answers every line."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return X.translate_corpus(cues(spark, sf_dir).select("media_id", "ix", "src"), lambda batch: {x["id"]: "x " + x["src"] for x in batch}, folder).select("media_id", "ix", "tgt", "attempts")
+
+
+@query()
+def wrap_lines(spark, sf_dir):
+    from ..operators import align
+
+    return align.wrap_lines(cues(spark, sf_dir).select("media_id", "ix", "src"))
+
+
+@query()
+def fuse_transcripts(spark, sf_dir):
+    """Each conversation's whole text spread over its turns."""
+    from ..operators import align
+
+    rows = cues(spark, sf_dir)
+    whole = rows.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "src"))), lambda x: x["src"]), " ").alias("text"))
+    windows = rows.select("media_id", F.lit(0).cast("long").alias("chunk_ix"), F.col("ix").alias("win_ix"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("src").alias("text"))
+    return align.fuse(whole.withColumn("chunk_ix", F.lit(0).cast("long")), windows)
+
+
+@query()
+def repair_timings(spark, sf_dir):
+    """Turns as words of a user's recording, against the user's frames."""
+    from ..operators import align
+
+    spoken = cues(spark, sf_dir).select("media_id", "ix", F.col("src").alias("text"), F.col("start").alias("s"), (F.col("start") + 4 * (F.col("end") - F.col("start"))).alias("e"))
+    return align.repair_timings(spoken, frames(spark, sf_dir))
