@@ -222,5 +222,5 @@ def media_info(probes: DataFrame) -> DataFrame:
         "media_id", F.col("p.format.duration").try_cast("double").alias("duration"), F.col("p.format.format_name").alias("format"), v["codec_name"].alias("vcodec"),
         F.when(turned, v["height"]).otherwise(v["width"]).alias("width"), F.when(turned, v["width"]).otherwise(v["height"]).alias("height"),
         (rate[0].try_cast("double") / F.nullif(rate[1].try_cast("double"), F.lit(0.0))).alias("fps"), F.size(audio).alias("audio_tracks"), subs.alias("subs"),
-        F.coalesce(v["color_transfer"].isin("smpte2084", "arib-std-b67"), F.lit(False)).alias("hdr"), ~F.arrays_overlap(F.split("p.format.format_name", ","), F.array(*map(F.lit, UNSAFE))).alias("safe"),
+        F.coalesce(v["color_transfer"].isin("smpte2084", "arib-std-b67"), F.lit(False)).alias("hdr"), (~F.arrays_overlap(F.split("p.format.format_name", ","), F.array(*map(F.lit, UNSAFE)))).alias("safe"),
     )

@@ -31,11 +31,11 @@ def progress_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max("progress").alias("progress"))
 
 
-def regions_stream(frames: DataFrame, on: float = 0.45, off: float = 0.3, timeout_ms: int = 3_600_000) -> DataFrame:
+def regions_stream(frames: DataFrame, on: float = 0.45, off: float = 0.3, timeout_ms: int | None = None) -> DataFrame:
     """frames: media_id, frame_ix, p. media_id, first, last, n: two-threshold regions as they close.
 
-    Within a micro-batch frames are ordered by index; a frame at or before the last one seen is dropped. A key that is
-    silent for the timeout gives its open region and its state up.
+    Within a micro-batch frames are ordered by index; a frame at or before the last one seen is dropped. With a timeout, a
+    key that is silent for so long gives its open region and its state up; without one state stays.
     """
     media = frames.schema["media_id"].dataType.simpleString()
 
@@ -58,10 +58,11 @@ def regions_stream(frames: DataFrame, on: float = 0.45, off: float = 0.3, timeou
                     out.append((first, last, n))
                     first, last, n = -1, -1, 0
             state.update((seen, first, last, n))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"media_id": [key[0]] * len(out), "first": [x[0] for x in out], "last": [x[1] for x in out], "n": [x[2] for x in out]})
 
-    return frames.select("media_id", "frame_ix", "p").groupBy("media_id").applyInPandasWithState(step, f"media_id {media}, first long, last long, n long", "seen long, first long, last long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.select("media_id", "frame_ix", "p").groupBy("media_id").applyInPandasWithState(step, f"media_id {media}, first long, last long, n long", "seen long, first long, last long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def loops(tail: list, period: int = LOOP_PERIOD, repeats: int = LOOP_REPEATS) -> bool:
