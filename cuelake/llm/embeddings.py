@@ -21,6 +21,8 @@ from .components import connected
 THRESHOLD = 0.95
 #: The bound of the sample that centroids are fitted on, and of their number: both bound what the driver and a broadcast hold.
 SAMPLE, MAX_CELLS, ITERATIONS = 20_000, 4096, 8
+#: Vectors at home in a cell, as planned: as long as cells stay under MAX_CELLS, a vector is compared with as many at every size.
+PER_CELL = 128
 #: Vectors of one cell that a task compares with one another, or with as many others.
 BLOCK = 1024
 
@@ -31,6 +33,10 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def fit_cells(sample: np.ndarray, cells: int, seed: int = 4) -> np.ndarray:
     """Spherical k-means: unit centroids. An empty cell keeps its centroid."""
     rng = np.random.default_rng(seed)
@@ -62,11 +68,11 @@ def _assign(distinct: DataFrame, centres: np.ndarray, threshold: float) -> DataF
         reach = offset * min(1.0, 3 / np.sqrt(dim))
         for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK)):
             vectors = batch.column(2)
-            sizes = np.array([len(v) for v in vectors])
+            sizes = vectors.value_lengths().to_numpy()
             of_dim = np.nonzero(sizes == dim)[0]
             rows, cells, homes = [np.nonzero(sizes != dim)[0]], [-sizes[sizes != dim]], [-sizes[sizes != dim]]
             if len(of_dim):
-                dots = unit(np.array(vectors.take(pa.array(of_dim)).to_pylist())) @ centres.T
+                dots = unit(_matrix(vectors.take(pa.array(of_dim)))) @ centres.T
                 home = dots.argmax(axis=1)
                 margin = (dots[np.arange(len(of_dim)), home][:, None] - dots) / apart[home]
                 at = (margin <= reach) & (np.arange(len(centres)) < home[:, None])
@@ -102,7 +108,7 @@ def link_vectors(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     spark = distinct.sparkSession
     by_size = distinct.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     n = distinct.count()
-    cells = int(min(MAX_CELLS, max(1, np.ceil(np.sqrt(n)))))
+    cells = int(min(MAX_CELLS, max(1, np.ceil(n / PER_CELL))))
     rows = distinct.filter(F.size("vector") == (by_size["d"] if by_size else 0)).orderBy(F.xxhash64("id", F.lit(4))).limit(SAMPLE).select("vector").collect()
     centres = fit_cells(unit(np.array([r["vector"] for r in rows])), cells) if rows else np.zeros((1, 1))
     placed = materialize(_assign(distinct, centres, threshold), "cells")
@@ -115,7 +121,7 @@ def link_vectors(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda name: table.column(name).to_numpy()
-        vectors = np.array(table.column("vector").to_pylist())
+        vectors = np.concatenate([_matrix(x) for x in table.column("vector").chunks if len(x)])
         ids = column("id")
         counts, forest = _compare(int(column("cell")[0]), column("side"), column("home"), ids, column("weight"), vectors, threshold)
         some = np.nonzero(counts)[0]
