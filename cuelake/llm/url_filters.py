@@ -2,7 +2,8 @@
 
 Hosts of pages that a rule allows are trusted, hosts of pages that one blocks are not. Personalised
 PageRank carries trust along links and distrust against them: who links to a blocked host earns
-distrust. A host whose distrust exceeds its trust by a factor is blocked. DataFrame functions alone.
+distrust. A host whose distrust exceeds its trust,
+and a small trust that every host has, by a factor is blocked. DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .common import materialize, read_table
 #: (host, path, verdict): fits the host and its subdomains where the path starts so; the longest rule wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING, ROUNDS, FACTOR = 0.85, 8, 2.0
+#: Trust that every host has from the start, in pages: what the evidence against it must exceed.
+PRIOR = 0.35
 #: Rounds between two writes that cut the lineage.
 ROUNDS_PER_WRITE = 4
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -79,7 +82,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     trust = propagate(links, seeds.filter("allowed > 0").select("host", F.col("allowed").alias("seed")))
     against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(against, seeds.filter("blocked > 0").select("host", F.col("blocked").alias("seed")))
-    bad = distrust.toDF("host", "distrust").join(trust.toDF("host", "trust"), "host", "left").filter(F.col("distrust") > factor * F.coalesce("trust", F.lit(0.0))).select("host", F.lit("block").alias("by_links"))
+    bad = distrust.toDF("host", "distrust").join(trust.toDF("host", "trust"), "host", "left").filter(F.col("distrust") > factor * (F.coalesce("trust", F.lit(0.0)) + (1 - DAMPING) * PRIOR)).select("host", F.lit("block").alias("by_links"))
     out = rows.join(bad, "host", "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce(ruled, F.col("by_links"), F.lit("allow")).alias("verdict"))
 
@@ -118,7 +121,7 @@ l AS (SELECT src, dst, count(*) AS n FROM h WHERE src <> '' AND src <> dst GROUP
     return (
         sql
         + f"""
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d.score > {FACTOR!r} * coalesce(t.score, 0.0) THEN 'block' END, 'allow') AS verdict
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d.score > {FACTOR!r} * (coalesce(t.score, 0.0) + {(1 - DAMPING) * PRIOR!r}) THEN 'block' END, 'allow') AS verdict
 FROM j LEFT JOIN t{ROUNDS} t ON j.host = t.host LEFT JOIN d{ROUNDS} d ON j.host = d.host
 """
     )

@@ -286,7 +286,6 @@ def test_url_filters(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages).collect()}
     assert got[1] == ("bad.example.org", "/es/x", "example.org/es/", "block") and got[7] == ("sub.com", "/fr/a", "com/fr/", "allow")
     assert got[3] == ("ok.net", "/a", None, "allow") and got[5] == got[6] == ("", "", None, "allow") and got[8][2] is None and got[9] == ("a.org", "", None, "allow")
-    # friend.net earns 0.85 * 0.15 of trust from good.org, and as much distrust by linking to the blocked host
     ranks = {r.host: r.score for r in url_filters.propagate(spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 3)], "src string, dst string, n long"), spark.createDataFrame([("a", 1)], "host string, seed long")).collect()}
     want = dict.fromkeys("abc", 0.0) | {"a": 0.15}
     for _ in range(url_filters.ROUNDS):
