@@ -22,7 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE_SQL,
-    "op4_embeddings": embeddings.op4_embeddings,
     "op6_url_filters": url_filters.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
