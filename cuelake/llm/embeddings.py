@@ -1,9 +1,10 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one kept per component.
 
 A vector is at home in the cell of its nearest centroid and a guest in lower-numbered cells across whose
-border a partner may lie. A pair is compared once, in the lower of its two home cells. How far guests
-reach across a border is three standard deviations of a random partner's offset, and never more than
-the largest offset that any partner can have; tests measure the recall against brute force.
+border a partner may lie. A pair is compared in the lower of its two home cells alone, and homes there
+with members, not guests with guests. How far guests reach across a border is three standard deviations
+of a random partner's offset, and never more than the largest offset that any partner can have; tests
+measure the recall against brute force.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ THRESHOLD = 0.95
 SAMPLE, MAX_CELLS, ITERATIONS = 20_000, 4096, 8
 #: Vectors at home in a cell, as planned: as long as cells stay under MAX_CELLS, a vector is compared with as many at every size.
 PER_CELL = 128
-#: Vectors of one cell that a task compares with one another, or with as many others.
+#: Vectors at home in a cell that a task compares, with eight times as many of its members.
 BLOCK = 1024
 
 
@@ -86,21 +87,24 @@ def _assign(distinct: DataFrame, centres: np.ndarray, threshold: float) -> DataF
     return distinct.select("id", "weight", "vector").mapInArrow(run, f"cell int, home int, id long, weight long, vector {kind}")
 
 
-def _compare(cell: int, sides: np.ndarray, home: np.ndarray, ids: np.ndarray, weight: np.ndarray, vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of one block pair: how many vectors each links to here, and links that join what these join."""
-    x = unit(vectors)
-    near = x @ x.T >= threshold
-    np.fill_diagonal(near, False)
-    near &= (home == cell)[:, None] | (home == cell)[None, :]
-    if len(np.unique(sides)) > 1:  # two blocks: the pairs across them alone
-        near &= sides[:, None] != sides[None, :]
-    counts, label, forest = near @ weight, np.arange(len(ids)), []
-    for i in np.nonzero(counts)[0]:
-        others = np.nonzero(near[i])[0]
+def _compare(cell: int, homes: tuple[np.ndarray, ...], members: tuple[np.ndarray, ...], threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Some homes of a cell against some of its members, each given as ids, home cells, weights and unit vectors.
+
+    Returns the links of each home, those of each guest, both by weight, and links that join what these join. A member
+    that is at home here gets its count where it is among the homes.
+    """
+    (a, _, a_weight, x), (b, b_home, b_weight, y) = homes, members
+    near = (x @ y.T >= threshold) & (a[:, None] != b[None, :])
+    of_guests = np.where(b_home == cell, 0, a_weight @ near)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, forest = np.arange(len(nodes)), []
+    for i in np.nonzero(near.any(axis=1))[0]:
+        others = at[len(a) :][near[i]]
         labels, first = np.unique(label[others], return_index=True)
-        forest += [(int(ids[i]), int(ids[others[j]])) for j, k in zip(first, labels, strict=True) if k != label[i]]
-        label[np.isin(label, [*labels, label[i]])] = min(labels[0], label[i])
-    return counts, forest
+        own = label[at[i]]
+        forest += [(int(a[i]), int(nodes[others[j]])) for j, k in zip(first, labels, strict=True) if k != own]
+        label[np.isin(label, [*labels, own])] = min(labels[0], own)
+    return near @ b_weight, of_guests, forest
 
 
 def link_vectors(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -112,24 +116,30 @@ def link_vectors(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     rows = distinct.filter(F.size("vector") == (by_size["d"] if by_size else 0)).orderBy(F.xxhash64("id", F.lit(4))).limit(SAMPLE).select("vector").collect()
     centres = fit_cells(unit(np.array([r["vector"] for r in rows])), cells) if rows else np.zeros((1, 1))
     placed = materialize(_assign(distinct, centres, threshold), "cells")
-    # one row for each cell, MAX_CELLS and the odd lengths at most: large cells are split into pairs of blocks
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(blocks, "cell").withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = rows.select("cell", "home", "id", "weight", "vector", "side", other.alias("other"))
-    pairs = pairs.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other", "blocks")
+    # one row for each cell, MAX_CELLS and the odd lengths at most: how many blocks its homes and its members make
+    at_home = F.col("home") == F.col("cell")
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count_if(at_home) / BLOCK).cast("int").alias("home_blocks"), F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("member_blocks"))
+    rows = placed.join(blocks, "cell")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cell", "home", "id", "weight", "vector"]
+    homes = rows.filter(at_home).select(*columns, F.lit(True).alias("as_home"), block("home_blocks").alias("a"), every("member_blocks").alias("b"))
+    members = rows.filter("home_blocks > 0").select(*columns, F.lit(False).alias("as_home"), every("home_blocks").alias("a"), block("member_blocks").alias("b"))
 
     def run(table: pa.Table) -> pa.Table:
-        column = lambda name: table.column(name).to_numpy()
-        vectors = np.concatenate([_matrix(x) for x in table.column("vector").chunks if len(x)])
-        ids = column("id")
-        counts, forest = _compare(int(column("cell")[0]), column("side"), column("home"), ids, column("weight"), vectors, threshold)
-        some = np.nonzero(counts)[0]
-        a = np.concatenate([ids[some], np.array([x for x, _ in forest], dtype=np.int64)])
-        to = [None] * len(some) + [x for _, x in forest]
-        return pa.table({"id": pa.array(a, pa.int64()), "n": pa.array([*counts[some].tolist(), *[0] * len(forest)], pa.int64()), "to": pa.array(to, pa.int64())})
-
-    return pairs.groupBy("cell", "low", "high").applyInArrow(run, "id long, n long, to long")
+        ids, home, weight, as_home = (table.column(c).to_numpy() for c in ("id", "home", "weight", "as_home"))
+        vectors = unit(np.concatenate([_matrix(x) for x in table.column("vector").chunks if len(x)]))
+        h, m = (tuple(c[side] for c in (ids, home, weight, vectors)) for side in (as_home, ~as_home))
+        if not len(h[0]) or not len(m[0]):
+            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
+        of_homes, of_guests, forest = _compare(int(table.column("cell")[0].as_py()), h, m, threshold)
+        n = np.concatenate([of_homes, of_guests, np.zeros(len(forest), np.int64)]).astype(np.int64)
+        who = np.concatenate([h[0], m[0], np.array([x for x, _ in forest], dtype=np.int64)])
+        to = np.array([None] * (len(h[0]) + len(m[0])) + [x for _, x in forest], dtype=object)
+        some = (n > 0) | (np.arange(len(n)) >= len(n) - len(forest))
+        return pa.table({"id": pa.array(who[some], pa.int64()), "n": pa.array(n[some], pa.int64()), "to": pa.array(to[some].tolist(), pa.int64())})
+
+    return homes.unionByName(members).groupBy("cell", "a", "b").applyInArrow(run, "id long, n long, to long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
