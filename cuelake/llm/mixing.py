@@ -15,6 +15,8 @@ from .common import materialize, read_table, word_count
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 NEWTON_ROUNDS, NARROWING_ROUNDS, CELLS = 12, 2, 1024
+#: Up to this many sources, what is known of each is broadcast to the documents; beyond it, it is joined by shuffle.
+BROADCAST_SOURCES = 10_000
 #: Sums of rates go through decimals, so that they don't depend on the order in which Spark adds them.
 _EXACT = "decimal(38,12)"
 
@@ -95,14 +97,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # A document gains its k-th copy once the shift of its source reaches k - rate - draw. The words gained at each
     # shift are a histogram per source; the cell in which they reach the target is cut again.
-    of = rows.join(plan, "source_key").withColumn("rate", F.round(_rate(F.col("tilt"), F.col("size").cast("double"), F.col("mean"), cap), 9))
+    few = goal.count() <= BROADCAST_SOURCES
+    sent = lambda per_source: F.broadcast(per_source) if few else per_source
+    of = rows.join(sent(plan), "source_key").withColumn("rate", F.round(_rate(F.col("tilt"), F.col("size").cast("double"), F.col("mean"), cap), 9))
     flips = F.explode(F.array(*[F.lit(float(k)) - F.col("rate") - F.col("draw") for k in range(1, cap + 1)]))
     span = float(cap + 2)
     shift = plan.select("source_key", "target", F.lit(-span / 2).alias("from"), F.lit(0).cast("long").alias("taken"))
     width = span
     for i in range(NARROWING_ROUNDS):
         cell = F.floor((F.col("flip") - F.col("from")) / (width / CELLS))
-        inside = of.filter("size > 0").select("source_key", "size", flips.alias("flip")).join(shift, "source_key").filter((F.col("flip") >= F.col("from")) & (F.col("flip") < F.col("from") + width))
+        inside = of.filter("size > 0").select("source_key", "size", flips.alias("flip")).join(sent(shift), "source_key").filter((F.col("flip") >= F.col("from")) & (F.col("flip") < F.col("from") + width))
         cells = inside.groupBy("source_key", cell.cast("int").alias("cell")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         reach = cells.withColumn("total", F.sum("words").over(run)).join(shift, "source_key")
@@ -119,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         width /= CELLS
     limit = shift.select("source_key", F.col("from").alias("limit"))
     copies = sum(((F.lit(float(k)) - F.col("rate") - F.col("draw") < F.col("limit")).cast("int") for k in range(1, cap + 1)), F.lit(0))
-    out = of.join(limit, "source_key").withColumn("copies", copies)
+    out = of.join(sent(limit), "source_key").withColumn("copies", copies)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies")
 
 
