@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import bpe, mixing, pii, quality_rules, simhash
+from cuelake.llm import bpe, jaccard, mixing, pii, quality_rules
 from cuelake.llm.common import materialize, read_table
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, fingerprints within three bits."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each near-duplicate group stays: Jaccard similarity 0.8 or more over five-word shingles."""
+    return jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("PII", personal_data),
     ("mixing sources to target weights", mixture),
     ("BPE encoding and decoding", encode),
 ]
 
-#: SQL can't express SimHash components, entropy balancing or BPE; tests hold run() against a brute-force version.
+#: SQL can't express near-duplicate components, entropy balancing or BPE; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
