@@ -77,21 +77,19 @@ def tilts(groups: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int = NE
     return state.select("source_key", "tilt", "mean")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 8) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, rate (double), copies (int: 0 to cap).
+def _source_key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
 
-    size is the number of words of the text (null: 0). A document of no words has rate 1. A null source is a
-    source of its own. The draw of a document hashes its id, size and the seed, so reruns agree, and repeated
-    rows fall alike. An empty table gives no rows; a source without words has target 0.
-    """
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("source_key"), word_count(F.col(text_col)).alias("size"))
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, cap: int, seed: int) -> DataFrame:
+    """id, source_key, size, source_size, target, rate, copies: see mix(). Rows of equal id, source and size are dealt alike."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _source_key(source_col).alias("source_key"), word_count(F.col(text_col)).alias("size"))
     draw = (F.xxhash64("id", "size", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) + 0.5) / float(1 << 40)
     rows = materialize(rows.withColumn("draw", draw), "sizes")
     groups = materialize(rows.groupBy("source", "source_key", "size").agg(F.count("*").alias("n")), "size-groups")
     sizes = groups.groupBy("source", "source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     named = targets(sizes.select("source", "source_size"), weights, share, cap)
-    goal = materialize(named.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("source_key"), "source_size", "target"), "targets")
+    goal = materialize(named.select(_source_key("source").alias("source_key"), "source_size", "target"), "targets")
     tilt = tilts(groups.filter("size > 0"), goal.select("source_key", "target"), cap)
     plan = goal.join(tilt, "source_key", "left").select("source_key", "source_size", "target", F.coalesce("tilt", F.lit(0.0)).alias("tilt"), F.coalesce("mean", F.lit(1.0)).alias("mean"))
 
@@ -124,13 +122,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     limit = shift.select("source_key", F.col("from").alias("limit"))
     copies = sum(((F.lit(float(k)) - F.col("rate") - F.col("draw") < F.col("limit")).cast("int") for k in range(1, cap + 1)), F.lit(0))
     out = of.join(sent(limit), "source_key").withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies")
+    return out.select("id", "source_key", "size", "source_size", "target", "rate", "copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 8) -> DataFrame:
+    """One row per row of docs: id, size, source_size, target, rate (double), copies (int: 0 to cap).
+
+    size is the number of words of the text (null: 0). A document of no words has rate 1. A null source is a
+    source of its own. The draw of a document hashes its id, size and the seed, so reruns agree, and repeated
+    rows fall alike. An empty table gives no rows; a source without words has target 0.
+    """
+    dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, seed)
+    return dealt.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies")
 
 
-def expand(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: the rows of docs, columns unchanged, each as often as its copies. Repeated ids must be repeated rows."""
-    copies = mix(docs, id_col, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias("__copies"))
-    return docs.join(copies, id_col).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 8) -> DataFrame:
+    """The mix itself: the rows of docs, columns unchanged, each as often as its copies.
+
+    A row is found again by id, source and size, which decide its copies, and an id may be null: so rows without an
+    id, and rows that share one and hold different texts, are each dealt by their own size and source.
+    """
+    dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, seed).filter("copies > 0").groupBy("id", "source_key", "size").agg(F.max("copies").alias("__copies"))
+    dealt = dealt.select(F.col("id").alias("__id"), F.col("source_key").alias("__of"), F.col("size").alias("__size"), "__copies")
+    rows = docs.withColumn("__source_key", _source_key(source_col)).withColumn("__words", word_count(F.col(text_col)))
+    joined = rows.join(dealt, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__source_key") == F.col("__of")) & (F.col("__words") == F.col("__size")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 from .components import connected
+from .jaccard import keep_rows
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Anchors with more homes than this are cut again. It moves work between tasks and changes no result.
@@ -185,12 +186,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that lead their component, columns unchanged; of rows that share the leading id, one."""
-    found = near_duplicates(docs, id_col, text_col, distance, shingle)
-    lead = found.filter(F.col(id_col) == F.col("component_id")).select(id_col)
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    kept = docs.join(lead, id_col, "left_semi").select("*", F.row_number().over(order).alias("__nth"))
-    return kept.filter("__nth = 1").select(*docs.columns)
+    """One row of each component, columns unchanged: the least id leads, null last.
+
+    A row is its id and text: rows that share an id and hold unrelated texts all stay, and a row with a null id stays
+    unless its component has another.
+    """
+    row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    found = near_duplicates(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", distance, shingle)
+    return keep_rows(docs, found.select("component_id.*").distinct(), id_col, text_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

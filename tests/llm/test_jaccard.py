@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from cuelake.llm import jaccard
+from cuelake.llm import jaccard, mixing, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -87,3 +87,24 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, a), (None, b), (None, b + " more"), (7, c), (7, d), (7, d), (8, e), (None, e), (9, None)]
     got = jaccard.keep_one(spark.createDataFrame([(*r, "en", None, None) for r in rows], SCHEMA))
     assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == sorted([(0, a), (0, min(b, b + " more", key=lambda t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])), (7, c), (7, d), (8, e), (9, "")])
+
+
+def test_simhash_keeps_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = (words(40) for _ in range(5))
+    rows = [(None, a), (None, b), (7, c), (7, d), (7, d), (8, e), (None, e)]
+    got = simhash.keep_one(spark.createDataFrame([(*r, "en", None, None) for r in rows], SCHEMA))
+    assert sorted(((r.doc_id or 0), r.text) for r in got.collect()) == sorted([(0, a), (0, b), (7, c), (7, d), (8, e)])
+
+
+def test_mixing_keeps_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else i // 3, "w " * (i + 5), "en", f"s{i % 2}" if i % 5 else None, None) for i in range(60)]
+    rows += [(2, "x " * 200, "en", "s1", None), (2, "y " * 300, "en", "s0", None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    copies = {(r.doc_id, r.size): r.copies for r in mixing.mix(frame).collect()}
+    got = {}
+    for r in mixing.expand(frame).collect():
+        at = (r.doc_id, len(r.text.split()))
+        got[at] = got.get(at, 0) + 1
+    assert len(copies) == len(rows) and got == {k: n for k, n in copies.items() if n} and any(i is None for i, _ in got)
