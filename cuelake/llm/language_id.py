@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, read_table, words_of
+from .common import let, materialize, read_table, words_of
 
 UNDETERMINED = "und"
 #: The bounds of the sample: texts in all, and words of one text that training looks at, drawn over the whole text.
@@ -111,21 +111,34 @@ def train(rows: list[tuple[bytes, str]], seed: int = 7) -> Model:
 
 
 def bounded_sample(docs: DataFrame, text_col: str, lang_col: str, limit: int = SAMPLE_TEXTS) -> list[tuple[bytes, str]]:
-    """At most limit labelled texts, about as many of every language, chosen and ordered by hash: the same each time."""
+    """At most limit labelled texts, chosen and ordered by hash: the same each time.
+
+    Equal texts of a language count once. Every language has its quota, limit by the number of languages, or all its
+    texts where it has fewer; of more than limit languages, the limit with the most texts have one each.
+    """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(limit).collect()}
+    # equal texts of a language are one, however often they come
+    labelled = labelled.withColumn("text_hash", F.xxhash64("text", F.lit(12)))
+    texts = materialize(labelled.select("text_hash", "lang").distinct(), "labelled-texts")
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(limit).collect()}
     if not counts:
         return []
     each = max(1, limit // len(counts))
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.0 * each / n))])
+    # thinned to a few times the quota, so that the ranking below sees a bounded number of rows; a scarce language is thinned little or not
+    draw = F.xxhash64("text_hash", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * each + 60) / n))])
+    thinned = texts.filter(draw <= F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("text_hash"))
+    picked = thinned.withColumn("nth", nth).filter(F.col("nth") <= each).select("text_hash", "lang")  # limit rows at most
+
     # words spread over the whole text are all that training looks at
     def spread(words: Column) -> Column:
         step = F.greatest(F.lit(1), F.floor(F.size(words) / SAMPLE_WORDS).cast("int"))
         return let(step, lambda k: F.array_join(F.filter(words, lambda w, i: i % k == 0), " "))
 
-    drawn = labelled.filter(draw <= F.coalesce(share[F.col("lang")], F.lit(0.0))).orderBy(F.xxhash64("text", F.lit(12)), "lang").limit(limit)
-    thin = drawn.select(let(words_of(F.col("text")), spread).cast("binary").alias("text"), "lang")
+    drawn = labelled.join(F.broadcast(picked), ["text_hash", "lang"])
+    thin = drawn.select("text_hash", "lang", let(words_of(F.col("text")), spread).cast("binary").alias("text"))
+    thin = thin.groupBy("text_hash", "lang").agg(F.min("text").alias("text")).orderBy("text_hash", "lang")
     return [(bytes(r["text"]), r["lang"]) for r in thin.collect()]
 
 
