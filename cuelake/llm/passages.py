@@ -1,7 +1,7 @@
 """Repeated passages: MinHash banding of paragraphs, and of blocks cut where the content says.
 
-A paragraph is a line of LINE_WORDS words or more. Paragraphs that agree in a band of MinHash values meet,
-and those of Jaccard SIMILARITY or more over five-word shingles are linked. A passage that recurs inside
+A paragraph is a line of LINE_WORDS words or more: every line that has a five-word shingle. Paragraphs that agree
+in a band of MinHash values meet, and those of Jaccard SIMILARITY or more over five-word shingles are linked. A passage that recurs inside
 other text shares no paragraph with its copies, so texts are also cut into blocks of BLOCK_WORDS words that
 begin at the least shingle hash of any WINDOW: a run of WINDOW + BLOCK_WORDS - 1 equal words holds an equal
 block. Blocks match exactly. Classes are components over both.
@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 from .components import connected
+from .jaccard import links
 
 SHINGLE, SIMILARITY = 5, 0.8
-LINE_WORDS, BLOCK_WORDS, WINDOW = 50, 34, 17
-#: Bands of two MinHash values: of pairs at similarity 0.8, 99.4 % meet in one of five.
-BANDS, ROWS = 5, 2
+LINE_WORDS, BLOCK_WORDS, WINDOW = SHINGLE, 34, 17
+#: Bands of two MinHash values: of pairs at similarity 0.8, all but 4 in 100,000 meet in one of ten.
+BANDS, ROWS = 10, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 16
 
@@ -106,12 +107,7 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _line_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """a, b: hashes of different paragraphs that meet in a band and are similar, enough of them to join all that are."""
     lines = rows.filter("bands IS NOT NULL").groupBy("hash").agg(F.min(F.struct("id", "start", "stop")).alias("at"), F.min("bands").alias("bands"))
-    keyed = materialize(lines.select("hash", "at", F.explode("bands").alias("key")), "bands")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = materialize(keyed.join(shared, "key"), "band-members")
-    if members.isEmpty():
-        return members.select(F.col("hash").alias("a"), F.col("hash").alias("b"))
-    wanted = members.select("hash", "at").distinct().groupBy("at.id").agg(F.collect_list(F.struct("hash", "at.start", "at.stop")).alias("wanted"))
+    lines = materialize(lines, "lines")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
@@ -124,43 +120,12 @@ def _line_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, si
                         found.append(text.set_of(p["start"], p["stop"]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["hash", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    shingles = texts.join(wanted, "id").select("text", "wanted").mapInArrow(sets, "hash long, shingles array<long>").dropDuplicates(["hash"])
-
-    def compare(hashes: list[int], found: list[np.ndarray]) -> list[tuple[int, int]]:
-        label, links = np.arange(len(hashes)), []
-        for i in range(len(hashes)):
-            for j in range(i + 1, len(hashes)):
-                if label[i] != label[j]:
-                    small, large = sorted((len(found[i]), len(found[j])))
-                    if small < similarity * large:
-                        continue
-                    both = len(np.intersect1d(found[i], found[j], assume_unique=True))
-                    if both >= similarity * (small + large - both):
-                        links.append((hashes[i], hashes[j]))
-                        label[label == label[j]] = label[i]
-        return links
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hashes, found = None, [], []
-
-        def out() -> pa.RecordBatch:
-            links = compare(hashes, found)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            for k, h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if k != key:
-                    if len(hashes) > 1:
-                        yield out()
-                    key, hashes, found = k, [], []
-                hashes.append(h)
-                found.append(s.values.to_numpy())
-        if len(hashes) > 1:
-            yield out()
-
-    filled = members.select("key", "hash").join(shingles, "hash").select("key", "hash", "shingles")
-    return filled.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(link, "a long, b long")
+    def fetch(hashes: DataFrame) -> DataFrame:
+        wanted = lines.join(hashes, "hash").groupBy("at.id").agg(F.collect_list(F.struct("hash", "at.start", "at.stop")).alias("wanted"))
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+        return texts.join(wanted, "id").select("text", "wanted").mapInArrow(sets, "hash long, shingles array<long>").dropDuplicates(["hash"])
+
+    return links(lines.select("hash", F.explode("bands").alias("key")), fetch, similarity)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
