@@ -2,7 +2,8 @@
 
 A word's features are its hashed character n-grams, edges marked; a text's vector is the mean of
 their embeddings. The model is trained by stochastic gradient descent in numpy on a bounded sample
-of labelled texts; a temperature and a rejection threshold are then fitted on a part held back.
+of labelled texts, of which tasks count the n-grams; a temperature and a rejection threshold are then
+fitted on a part held back.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, read_table, words_of
+from .common import materialize, read_table
 
 UNDETERMINED = "und"
-#: The bounds of the sample: texts in all, and words of one text that training looks at, drawn over the whole text.
-SAMPLE_TEXTS, SAMPLE_WORDS = 2000, 200
+#: The bound of the sample in texts. They are counted whole, where they lie; what the driver gets is BUCKETS numbers a text at most.
+SAMPLE_TEXTS = 2000
 BUCKETS, DIMENSION, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 EPOCHS, RATE = 6, 0.5
 #: Bytes of a text that are hashed at a time.
@@ -52,14 +53,15 @@ def bucket_counts(text: bytes) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    #: The score of every bucket for every language: embedding times output weights.
-    scores: np.ndarray
+    #: BUCKETS x DIMENSION numbers, and DIMENSION numbers a language.
+    embedding: np.ndarray
+    weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
 
-    def logits(self, total: np.ndarray, count: int) -> np.ndarray:
-        return total / max(count, 1) + self.bias
+    def logits(self, ids: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return share @ self.embedding[ids] @ self.weights + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -67,18 +69,14 @@ class Model:
         return e / e.sum()
 
 
-def train(rows: list[tuple[bytes, str]], seed: int = 7) -> Model:
-    """rows: (text in UTF-8, language), in a fixed order. Every fifth is held back to calibrate. No rows: one language, und."""
-    languages = sorted({lang for _, lang in rows}) or [UNDETERMINED]
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model:
+    """rows: (buckets, counts, language), in a fixed order. Every fifth is held back to calibrate. No rows: one language, und."""
+    languages = sorted({lang for *_, lang in rows}) or [UNDETERMINED]
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSION))
     weights, bias = np.zeros((DIMENSION, len(languages))), np.zeros(len(languages))
     place = {lang: i for i, lang in enumerate(languages)}
-    data = []
-    for text, lang in rows:
-        counts = bucket_counts(text)
-        if len(ids := np.nonzero(counts)[0]):
-            data.append((ids, counts[ids] / counts[ids].sum(), place[lang]))
+    data = [(ids, counts / counts.sum(), place[lang]) for ids, counts, lang in rows if len(ids)]
     fitted, held = [x for i, x in enumerate(data) if i % 5], data[::5]
     steps, total = 0, max(1, EPOCHS * len(fitted))
     for _ in range(EPOCHS):
@@ -95,9 +93,9 @@ def train(rows: list[tuple[bytes, str]], seed: int = 7) -> Model:
             weights -= rate * 10 * np.outer(hidden, p)
             bias -= rate * 0.1 * p
             embedding[ids] -= rate * 10 * np.outer(share, back)
-    model = Model(languages, embedding @ weights, bias)
+    model = Model(languages, embedding, weights, bias)
     if held:
-        logits = np.array([share @ model.scores[ids] + bias for ids, share, _ in held])
+        logits = np.array([model.logits(ids, share) for ids, share, _ in held])
         truth = np.array([y for *_, y in held])
 
         def loss(t: float) -> float:
@@ -110,43 +108,44 @@ def train(rows: list[tuple[bytes, str]], seed: int = 7) -> Model:
     return model
 
 
-def bounded_sample(docs: DataFrame, text_col: str, lang_col: str, limit: int = SAMPLE_TEXTS) -> list[tuple[bytes, str]]:
-    """At most limit labelled texts, chosen and ordered by hash: the same each time.
+def bounded_sample(docs: DataFrame, text_col: str, lang_col: str, limit: int = SAMPLE_TEXTS) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """Buckets and counts of the n-grams of labelled texts, and the language: whole texts, chosen and ordered by hash, the same each time.
 
-    Equal texts of a language count once. Every language has its quota, limit by the number of languages, or all its
-    texts where it has fewer; of more than limit languages, the limit with the most texts have one each.
+    At most `limit` texts, or one a language where there are more languages than that. Equal texts of a language count
+    once. Every language has its quota, limit by the number of languages, or all its texts where it has fewer.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     # equal texts of a language are one, however often they come
     labelled = labelled.withColumn("text_hash", F.xxhash64("text", F.lit(12)))
     texts = materialize(labelled.select("text_hash", "lang").distinct(), "labelled-texts")
-    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(limit).collect()}
-    if not counts:
-        return []
-    each = max(1, limit // len(counts))
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, limit // max(1, sizes.count()))
     # thinned to a few times the quota, so that the ranking below sees a bounded number of rows; a scarce language is thinned little or not
     draw = F.xxhash64("text_hash", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * each + 60) / n))])
-    thinned = texts.filter(draw <= F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    thinned = texts.join(F.broadcast(sizes), "lang").filter(draw <= (2.0 * each + 60) / F.col("n"))  # a row a language
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("text_hash"))
-    picked = thinned.withColumn("nth", nth).filter(F.col("nth") <= each).select("text_hash", "lang")  # limit rows at most
+    picked = thinned.withColumn("nth", nth).filter(F.col("nth") <= each).select("text_hash", "lang")
 
-    # words spread over the whole text are all that training looks at
-    def spread(words: Column) -> Column:
-        step = F.greatest(F.lit(1), F.floor(F.size(words) / SAMPLE_WORDS).cast("int"))
-        return let(step, lambda k: F.array_join(F.filter(words, lambda w, i: i % k == 0), " "))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                counts = bucket_counts(batch.column(2)[i].as_py())
+                ids = np.nonzero(counts)[0]
+                arrays = [pa.array([x], pa.list_(t)) for x, t in ((ids.astype(np.int32), pa.int32()), (counts[ids].astype(np.float32), pa.float32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *arrays], ["text_hash", "lang", "ids", "counts"])
 
-    drawn = labelled.join(F.broadcast(picked), ["text_hash", "lang"])
-    thin = drawn.select("text_hash", "lang", let(words_of(F.col("text")), spread).cast("binary").alias("text"))
-    thin = thin.groupBy("text_hash", "lang").agg(F.min("text").alias("text")).orderBy("text_hash", "lang")
-    return [(bytes(r["text"]), r["lang"]) for r in thin.collect()]
+    drawn = labelled.join(F.broadcast(picked), ["text_hash", "lang"]).groupBy("text_hash", "lang").agg(F.min("text").cast("binary").alias("text"))
+    found = drawn.mapInArrow(count, "text_hash long, lang string, ids array<int>, counts array<float>").orderBy("text_hash", "lang").drop("text_hash").toArrow()
+    columns = (found.column("ids").combine_chunks(), found.column("counts").combine_chunks())
+    return [(*(c[i].values.to_numpy() for c in columns), lang) for i, lang in enumerate(found.column("lang").to_pylist())]
 
 
 def predict_one(model: Model, text: bytes | None) -> tuple[str, float, bool]:
     if not text or not _LETTER.search(text.decode("utf-8", "replace")):
         return UNDETERMINED, 0.0, True
     counts = bucket_counts(text)
-    p = model.probabilities(model.logits(counts @ model.scores, int(counts.sum())))
+    ids = np.nonzero(counts)[0]
+    p = model.probabilities(model.logits(ids, counts[ids] / counts[ids].sum()))
     best = int(p.argmax())
     return model.languages[best], float(p[best]), bool(p[best] < model.reject_below)
 
@@ -157,7 +156,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Texts are read whole. A text that is null, empty or has no letter is und, scores 0 and is rejected.
     Only the text is an input. Repeated rows give repeated results; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIMENSION numbers and DIMENSION a language, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,66 +14,80 @@ from pyspark.sql import functions as F
 from .common import materialize, read_table, word_count
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-NEWTON_ROUNDS, NARROWING_ROUNDS, CELLS = 12, 2, 1024
+NARROWING_ROUNDS, CELLS = 2, 1024
+#: Newton steps go on until every source's expected words are as near to its target as this share of it.
+RESIDUAL = 1e-7
 #: Up to this many sources, what is known of each is broadcast to the documents; beyond it, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 #: Sums of rates go through decimals, so that they don't depend on the order in which Spark adds them.
 _EXACT = "decimal(38,12)"
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """Adds rank, from zero: sources by code point, null last. Each range of sources is counted by itself and moved by what comes before it."""
+    order = [F.col("source").isNull(), F.col("source")]
+    rows = sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = materialize(rows, "ranges")
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return rows.withColumn("nth", nth).join(F.broadcast(before), "part").select(*sizes.columns, (F.col("before") + F.col("nth") - 1).alias("rank"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """sizes: source, source_size, one row per source. Adds weight and target.
 
     Sources are ranked by code point, null last; weights repeat in that order. The share of all sizes is dealt
-    by weight; what exceeds cap times a source's size is dealt again, by weight, until none exceeds it. A
-    ranking of the sources is a window over one row per source, not over documents.
+    by weight; what exceeds cap times a source's size is dealt again, by weight, until none exceeds it. A round of
+    dealing is one aggregate over the sources: it raises the level, words a weight, until it fills no further source.
     """
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
     table = F.array(*map(F.lit, weights))
-    ranked = sizes.withColumn("weight", table[(F.row_number().over(rank) - 1) % len(weights)].cast("double"))
-    ranked = ranked.withColumn("most", cap * F.col("source_size").cast("double"))
-    # sources reach their cap in the order of most / weight: the level is what is left over the weight that is left
-    level = F.col("most") / F.col("weight")
-    by_level = Window.orderBy(level, F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = ranked.select(
-        "*",
-        level.alias("level"),
-        ((share * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))).alias("left_level"),
-    )
-    # the first source, in that order, that the level of what is left doesn't fill
-    common = F.min(F.when(F.col("left_level") <= F.col("level"), F.struct("level", "left_level"))).over(whole)["left_level"]
-    return filled.select("source", "source_size", "weight", F.least("most", F.coalesce(common * F.col("weight"), F.col("most"))).alias("target"))
+    rows = ranked(sizes).withColumns({"weight": F.element_at(table, (F.col("rank") % len(weights)).cast("int") + 1).cast("double"), "most": cap * F.col("source_size").cast("double")})
+    rows = materialize(rows.drop("rank"), "weights")
+    level, filled = float("-inf"), F.col("most") / F.col("weight")
+    while True:
+        full = filled <= level
+        words, capped, free = rows.agg(F.sum("source_size"), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not free:  # nothing is left to be dealt to
+            return rows.select("source", "source_size", "weight", F.col("most").alias("target"))
+        new = (share * words - (capped or 0.0)) / free
+        if new <= level:
+            return rows.select("source", "source_size", "weight", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
+        level = new
 
 
 def _rate(tilt: Column, size: Column, mean: Column, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(F.lit(50.0), tilt * size / mean)))
 
 
-def tilts(groups: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int = NEWTON_ROUNDS) -> DataFrame:
+def tilts(groups: DataFrame, goal: DataFrame, cap: float = CAP, residual: float = RESIDUAL) -> DataFrame:
     """groups: source_key, size, n (documents of that size). goal: source_key, target. Returns source_key, tilt, mean.
 
     Safeguarded Newton steps on the dual of each source: its gradient is the expected words less the target, and
-    grows with the tilt. Every round is one aggregate over (source, size) groups, for all sources together.
+    grows with the tilt. Every round is one aggregate over (source, size) groups, for all sources together. A source
+    is done where its residual is small or its bracket closed. A target of all that the cap allows has the greatest tilt.
     """
-    mean = groups.groupBy("source_key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    state = goal.join(mean, "source_key").select("source_key", "target", F.greatest("mean", F.lit(1e-9)).alias("mean"), F.lit(0.0).alias("tilt"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"))
-    for i in range(rounds):
-        size = F.col("size").cast("double")
-        rate = _rate(F.col("tilt"), size, F.col("mean"), cap)
-        slope = F.when(rate < cap, rate * size * size / F.col("mean")).otherwise(0.0)
-        sums = groups.join(state, "source_key").groupBy("source_key").agg(
-            F.sum((rate * size * F.col("n")).cast(_EXACT)).cast("double").alias("words"), F.sum((slope * F.col("n")).cast(_EXACT)).cast("double").alias("slope")
-        )
-        over = F.col("words") > F.col("target")
-        low, high = F.when(over, F.col("low")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - (F.col("words") - F.col("target")) / F.col("slope")
-        inside = F.coalesce((newton > low) & (newton < high) & (F.col("slope") > 0), F.lit(False))
-        step = F.when(F.col("words") == F.col("target"), F.col("tilt")).when(inside, newton).otherwise((low + high) / 2)
-        state = state.join(sums, "source_key").select("source_key", "target", "mean", F.round(step, 9).alias("tilt"), low.alias("low"), high.alias("high"))
-        if i % 3 == 2 or i == rounds - 1:
-            state = materialize(state, "tilts")
+    mean = groups.groupBy("source_key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.sum(F.col("size") * F.col("n")).alias("all"))
+    whole = F.col("target") >= cap * F.col("all") * (1 - 1e-12)
+    state = goal.join(mean, "source_key").select("source_key", "target", F.greatest("mean", F.lit(1e-9)).alias("mean"), F.when(whole, 60.0).otherwise(0.0).alias("tilt"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"), whole.alias("done"))
+    while True:
+        for _ in range(3):
+            size = F.col("size").cast("double")
+            rate = _rate(F.col("tilt"), size, F.col("mean"), cap)
+            slope = F.when(rate < cap, rate * size * size / F.col("mean")).otherwise(0.0)
+            sums = groups.join(state, "source_key").groupBy("source_key").agg(
+                F.sum((rate * size * F.col("n")).cast(_EXACT)).cast("double").alias("words"), F.sum((slope * F.col("n")).cast(_EXACT)).cast("double").alias("slope")
+            )
+            over = F.col("words") > F.col("target")
+            low, high = F.when(over, F.col("low")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("high"))
+            newton = F.col("tilt") - (F.col("words") - F.col("target")) / F.nullif("slope", F.lit(0.0))
+            inside = F.coalesce((newton > low) & (newton < high) & (F.col("slope") > 0), F.lit(False))
+            done = F.col("done") | (F.abs(F.col("words") - F.col("target")) <= residual * F.col("target")) | (high - low < 1e-8)
+            step = F.when(done, F.col("tilt")).when(inside, newton).otherwise((low + high) / 2)
+            state = state.join(sums, "source_key").select("source_key", "target", "mean", F.round(step, 12).alias("tilt"), low.alias("low"), high.alias("high"), done.alias("done"))
+        state = materialize(state, "tilts")
+        if state.filter("NOT done").isEmpty():
+            break
     return state.select("source_key", "tilt", "mean")
 
 
@@ -81,11 +95,14 @@ def _source_key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
 
 
-def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, cap: int, seed: int) -> DataFrame:
-    """id, source_key, size, source_size, target, rate, copies: see mix(). Rows of equal id, source and size are dealt alike."""
+def _draw(id_col: Column, size: Column, seed: int) -> Column:
+    return (F.xxhash64(id_col, size, F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) + 0.5) / float(1 << 40)
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, cap: int, seed: int) -> DataFrame:
+    """__of (the source's key), source_size, target, tilt, mean, limit: what decides a document's copies, one row a source."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _source_key(source_col).alias("source_key"), word_count(F.col(text_col)).alias("size"))
-    draw = (F.xxhash64("id", "size", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) + 0.5) / float(1 << 40)
-    rows = materialize(rows.withColumn("draw", draw), "sizes")
+    rows = materialize(rows.select("source", "source_key", "size", _draw(F.col("id"), F.col("size"), seed).alias("draw")), "sizes")
     groups = materialize(rows.groupBy("source", "source_key", "size").agg(F.count("*").alias("n")), "size-groups")
     sizes = groups.groupBy("source", "source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     named = targets(sizes.select("source", "source_size"), weights, share, cap)
@@ -95,16 +112,14 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
 
     # A document gains its k-th copy once the shift of its source reaches k - rate - draw. The words gained at each
     # shift are a histogram per source; the cell in which they reach the target is cut again.
-    few = goal.count() <= BROADCAST_SOURCES
-    sent = lambda per_source: F.broadcast(per_source) if few else per_source
-    of = rows.join(sent(plan), "source_key").withColumn("rate", F.round(_rate(F.col("tilt"), F.col("size").cast("double"), F.col("mean"), cap), 9))
+    of = rows.filter("size > 0").join(_sent(plan), "source_key").select("source_key", "size", "draw", _rounded_rate(cap).alias("rate"))
     flips = F.explode(F.array(*[F.lit(float(k)) - F.col("rate") - F.col("draw") for k in range(1, cap + 1)]))
     span = float(cap + 2)
     shift = plan.select("source_key", "target", F.lit(-span / 2).alias("from"), F.lit(0).cast("long").alias("taken"))
     width = span
     for i in range(NARROWING_ROUNDS):
         cell = F.floor((F.col("flip") - F.col("from")) / (width / CELLS))
-        inside = of.filter("size > 0").select("source_key", "size", flips.alias("flip")).join(sent(shift), "source_key").filter((F.col("flip") >= F.col("from")) & (F.col("flip") < F.col("from") + width))
+        inside = of.select("source_key", "size", flips.alias("flip")).join(_sent(shift), "source_key").filter((F.col("flip") >= F.col("from")) & (F.col("flip") < F.col("from") + width))
         cells = inside.groupBy("source_key", cell.cast("int").alias("cell")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         reach = cells.withColumn("total", F.sum("words").over(run)).join(shift, "source_key")
@@ -119,10 +134,26 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
         shift = shift.join(passed, "source_key", "left").select("source_key", "target", (F.col("from") + start * (width / CELLS)).alias("from"), (F.col("taken") + below).alias("taken"))
         shift = materialize(shift, "shifts")
         width /= CELLS
-    limit = shift.select("source_key", F.col("from").alias("limit"))
-    copies = sum(((F.lit(float(k)) - F.col("rate") - F.col("draw") < F.col("limit")).cast("int") for k in range(1, cap + 1)), F.lit(0))
-    out = of.join(sent(limit), "source_key").withColumn("copies", copies)
-    return out.select("id", "source_key", "size", "source_size", "target", "rate", "copies")
+    whole = plan.join(shift.select("source_key", F.col("from").alias("limit")), "source_key")
+    return materialize(whole.withColumnRenamed("source_key", "__of"), "mixing-plan")
+
+
+def _sent(per_source: DataFrame) -> DataFrame:
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
+
+
+def _rounded_rate(cap: float) -> Column:
+    return F.round(_rate(F.col("tilt"), F.col("size").cast("double"), F.col("mean"), cap), 9)
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, cap: int, seed: int) -> DataFrame:
+    """__row (all columns of docs), size, source_size, target, rate, copies: a document's copies follow from itself and its source's plan."""
+    plan = _plan(docs, id_col, text_col, source_col, weights, share, cap, seed)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.select(row.alias("__row"), _source_key(source_col).alias("__of"), word_count(F.col(text_col)).alias("size"))
+    rows = rows.withColumn("__draw", _draw(F.col(f"__row.`{id_col}`"), F.col("size"), seed)).join(_sent(plan), "__of").withColumn("rate", _rounded_rate(cap))
+    copies = sum(((F.lit(float(k)) - F.col("rate") - F.col("__draw") < F.col("limit")).cast("int") for k in range(1, cap + 1)), F.lit(0))
+    return rows.select("__row", "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 8) -> DataFrame:
@@ -130,23 +161,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     size is the number of words of the text (null: 0). A document of no words has rate 1. A null source is a
     source of its own. The draw of a document hashes its id, size and the seed, so reruns agree, and repeated
-    rows fall alike. An empty table gives no rows; a source without words has target 0.
+    rows, or rows without an id of one size, fall alike. An empty table gives no rows; a source without words has target 0.
     """
     dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, seed)
-    return dealt.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies")
+    return dealt.select(F.col(f"__row.`{id_col}`").alias(id_col), "size", "source_size", "target", "rate", "copies")
 
 
 def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 8) -> DataFrame:
-    """The mix itself: the rows of docs, columns unchanged, each as often as its copies.
+    """The mix itself: the rows of docs, columns unchanged, each as often as its copies. Nulls, repeats and no rows as in mix().
 
-    A row is found again by id, source and size, which decide its copies, and an id may be null: so rows without an
-    id, and rows that share one and hold different texts, are each dealt by their own size and source.
+    Documents don't move: the plan, one row a source, is joined to them.
     """
-    dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, seed).filter("copies > 0").groupBy("id", "source_key", "size").agg(F.max("copies").alias("__copies"))
-    dealt = dealt.select(F.col("id").alias("__id"), F.col("source_key").alias("__of"), F.col("size").alias("__size"), "__copies")
-    rows = docs.withColumn("__source_key", _source_key(source_col)).withColumn("__words", word_count(F.col(text_col)))
-    joined = rows.join(dealt, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__source_key") == F.col("__of")) & (F.col("__words") == F.col("__size")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, seed)
+    each = F.explode_outer(F.slice(F.sequence(F.lit(1), F.lit(cap)), F.lit(1), F.col("copies")))
+    return dealt.select("__row", each.alias("__copy")).filter("__copy IS NOT NULL").select("__row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

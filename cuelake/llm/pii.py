@@ -1,10 +1,10 @@
 r"""Personal data: exact patterns, and terms that give a protected entity away.
 
-Patterns find the protected entities (e-mail and IP addresses, card and phone numbers). A term near a
-mention discloses the entity as far as the corpus says so: its pointwise mutual information with the
-entity, log2 of df(entity, term) N / (df(entity) df(term)), as a share of the information that the
-entity's own name carries, log2 of N / df(entity). From GENERALISE on a term is generalised, from
-REMOVE on it is removed. DataFrame functions alone.
+Patterns find the protected entities (e-mail and IP addresses, card and phone numbers). A term of a text that
+mentions an entity discloses it as far as the corpus says so: its pointwise mutual information with the entity,
+log2 of df(entity, term) N / (df(entity) df(term)), as a share of the information that the entity's own name
+carries, log2 of N / df(entity). All four numbers count whole texts, equal texts once. From GENERALISE on a term is
+generalised, from REMOVE on it is removed, everywhere in the texts that mention the entity. DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "term")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-#: A term, and how far around a mention it is looked for, in characters.
-TERM, REACH = r"[\p{L}\p{N}]{3,}+", 80
-#: Shares of an entity's information, and the documents in which term and entity must meet: a single meeting is no evidence.
+TERM = r"[\p{L}\p{N}]{3,}+"
+#: Shares of an entity's information, and the different texts in which term and entity must meet: a single meeting is no
+#: evidence, since every rare word of a text would then disclose whatever the text mentions once.
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.98, 2
-#: Up to this many candidate terms the table of terms is broadcast; beyond it, it is joined by shuffle.
-BROADCAST_TERMS = 50_000
+#: Up to this many rows a table of terms or texts is broadcast; beyond it, it is joined by shuffle.
+BROADCAST_ROWS = 50_000
+#: Characters of a piece of a text, from which parts are cut: a cut never counts characters from the beginning of the text.
+PIECE = 4096
 
 _PLACES = "array<struct<s:int,e:int,text:string>>"
 
@@ -48,23 +50,38 @@ def _passes(kind: str) -> Callable[[Column], Column]:
     return lambda x: x.isNotNull()
 
 
-def places(text: Column, pattern: str, passes: Callable[[Column], Column]) -> Column:
-    """array of (s, e, text) of the pattern's matches that pass; code points, end exclusive. Cost: linear in the text."""
-    none = F.array().cast(_PLACES)
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The running totals of an array of ints under step (a sum, a maximum).
+
+    Arrays grow by copying, so totals are taken in blocks as long as the blocks are many: n elements cost n to the
+    power 1.5 copies, and those of a few thousand no more than a scan.
+    """
+    none = F.array().cast("array<int>")
+    onto = lambda total, x: F.when(total.isNull(), x).otherwise(step(total, x))
+    grow = lambda acc, x: F.concat(acc, F.array(onto(F.try_element_at(acc, F.lit(-1)), x)))
+
+    def in_blocks(of: Column) -> Column:
+        length = F.ceil(F.sqrt(F.size(of))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(of) / length).cast("int") - 1), lambda b: F.aggregate(F.slice(of, b * length + 1, length), none, grow))
+        total = lambda blocks: F.aggregate(F.transform(blocks, lambda b: F.element_at(b, -1)), none, grow)
+        joined = lambda blocks: let(total(blocks), lambda t: F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: step(F.get(t, F.greatest(i - 1, F.lit(0))), x))))))
+        return let(cut, joined)
 
-    def folded(matches: Column) -> Column:
+    return let(values, lambda of: F.when(F.size(of) == 0, none).otherwise(in_blocks(of)))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["0"])
-            end = start + F.length(x["1"])
-            one = F.array(F.struct(start.alias("s"), end.alias("e"), x["1"].alias("text")))
-            return F.struct(end.alias("at"), F.when(x["1"].isNotNull() & passes(x["1"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-        pairs = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, match: F.struct(gap.alias("0"), match.alias("1")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+def places(text: Column, pattern: str, passes: Callable[[Column], Column]) -> Column:
+    """array of (s, e, text) of the pattern's matches that pass; code points, end exclusive."""
+    none = F.array().cast(_PLACES)
+
+    def placed(matches: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
+        ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda gap, m: gap + F.length(m)), lambda a, b: a + b)
+        each = F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("text")))
+        return F.filter(each, lambda x: passes(x["text"]))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(found, lambda m: F.when(F.exists(m, passes), folded(m)).otherwise(none))
+    return let(found, lambda m: F.when(F.exists(m, passes), placed(m)).otherwise(none))
 
 
 def base_places(text: Column, kind: str) -> Column:
@@ -75,91 +92,138 @@ def base_places(text: Column, kind: str) -> Column:
 
 def _merged(spans: Column) -> Column:
     """Sorted spans (s, e, label), overlapping ones made one; the first gives the label."""
-    last = lambda acc: F.element_at(acc, -1)
 
-    def merge(acc: Column, x: Column) -> Column:
-        grown = F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e"), last(acc)["label"].alias("label"))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["s"] < last(acc)["e"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
+    def joined(of: Column, reach: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(of) - 1), lambda i: (i == 0) | (F.get(of, i)["s"] >= F.get(reach, F.greatest(i - 1, F.lit(0)))))
+        last = lambda all_, k: F.coalesce(F.get(all_, k + 1), F.size(of)) - 1
+        return let(opens, lambda all_: F.transform(all_, lambda i, k: F.struct(F.get(of, i)["s"].alias("s"), F.get(reach, last(all_, k)).alias("e"), F.get(of, i)["label"].alias("label"))))
 
-    return F.aggregate(spans, F.array().cast("array<struct<s:int,e:int,label:string>>"), merge)
+    ends = lambda of: running(F.transform(of, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+    return let(spans, lambda of: F.when(F.size(of) == 0, of).otherwise(let(ends(of), lambda reach: joined(of, reach))))
 
 
 def _replaced(text: Column, merged: Column, label: Callable[[Column], Column]) -> Column:
-    """The text with label(span) for every one of the merged spans."""
+    """The text with label(span) for every one of the merged spans; there is at least one."""
 
-    def rebuilt(spans: Column) -> Column:
+    def between(pieces: Column, start: Column, stop: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(stop / PIECE).cast("int")
+        head = F.substring(F.get(pieces, first), start % PIECE + 1, F.least(stop - first * PIECE, F.lit(PIECE)) - start % PIECE)
+        middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.when(last > first, F.substring(F.get(pieces, last), F.lit(1), stop % PIECE)).otherwise("")
+        return F.concat(F.coalesce(head, F.lit("")), middle, F.coalesce(tail, F.lit("")))
+
+    def rebuilt(spans: Column, pieces: Column) -> Column:
         before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, F.greatest(i - 1, F.lit(0)))["e"])
-        parts = F.transform(spans, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["s"] - before(i)), label(x)))
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(spans, -1)["e"] + 1, F.length(text)))
-
-    return let(merged, rebuilt)
-
-
-def _mentions(blanked: Column, span: Column, kind: str) -> Column:
-    """array of (entity, term, s, e): the terms within reach of a mention that lie wholly there. blanked: the text with base spans blanked out."""
-    entity = F.concat(F.lit(f"{kind}:"), F.regexp_replace(F.lower(span["text"]), "[ ().-]", "") if kind in ("card", "phone") else F.lower(span["text"]))
-    begin = F.greatest(span["s"] - REACH, F.lit(0))
-    left, right = F.substring(blanked, begin + 1, span["s"] - begin), F.substring(blanked, span["e"] + 1, F.lit(REACH))
-    shifted = lambda found, by: F.transform(found, lambda t: F.struct(entity.alias("entity"), F.lower(t["text"]).alias("term"), (t["s"] + by).alias("s"), (t["e"] + by).alias("e")))
-    every = lambda x: x.isNotNull()
-    before = F.filter(places(left, TERM, every), lambda t: (t["s"] > 0) | (begin == 0))
-    after = F.filter(places(right, TERM, every), lambda t: t["e"] < REACH)
-    return F.concat(shifted(before, begin), shifted(after, span["e"]))
-
-
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, one array of places per kind, and near, the terms near them: a table of the shared folder, without texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-
-    def all_of(found: Column) -> Column:
-        unnamed = lambda k: F.transform(found[k], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("label")))
-        spans = F.array_sort(F.concat(*map(unnamed, PATTERNS)))
-        blanked = _replaced(F.col("text"), _merged(spans), lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))
-        of_kind = lambda k, plain: F.flatten(F.transform(found[k], lambda x: _mentions(plain, x, k)))
-        near = lambda plain: F.flatten(F.array(*[of_kind(k, plain) for k in PATTERNS]))
-        none = F.array().cast("array<struct<entity:string,term:string,s:int,e:int>>")
-        some = F.size(F.concat(*[found[k] for k in PATTERNS])) > 0
-        return F.struct(*[found[k].alias(k) for k in PATTERNS], F.when(some, let(blanked, near)).otherwise(none).alias("near"))
-
-    each = F.struct(*[base_places(F.col("text"), k).alias(k) for k in PATTERNS])
-    return materialize(rows.select("id", F.xxhash64("text").alias("text_hash"), let(each, all_of).alias("x")).select("id", "text_hash", "x.*"), "mentions")
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """entity, term, share: pairs that meet in SUPPORT documents or more and reach GENERALISE. Counts are over all documents."""
-    near = found.select("id", "text_hash", F.explode("near").alias("x")).select("id", "text_hash", "x.entity", "x.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("df_pair")).filter(F.col("df_pair") >= SUPPORT)
-    pairs = materialize(pairs, "pairs")
-    total = found.count()
-    entities = near.select("id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    terms = materialize(pairs.select("term").distinct(), "terms")
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    in_text = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))
-    of_term = docs.select(F.explode(in_text).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df_term"))
-    joined = pairs.join(of_term, "term").join(entities, "entity")
-    carried = F.log2(F.lit(float(total)) / F.col("df_entity"))
-    mutual = F.log2(F.col("df_pair") * F.lit(float(total)) / (F.col("df_entity").cast("double") * F.col("df_term")))
-    return joined.select("entity", "term", F.when(carried > 0, mutual / carried).otherwise(0.0).alias("share")).filter(F.col("share") >= GENERALISE)
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        parts = F.transform(spans, lambda x, i: F.concat(between(pieces, before(i), x["s"]), label(x)))
+        return F.concat(F.array_join(parts, ""), between(pieces, F.element_at(spans, -1)["e"], F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(merged, lambda spans: let(pieces, lambda p: rebuilt(spans, p)))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def _entity(kind: str, text: Column) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.regexp_replace(F.lower(text), "[ ().-]", "") if kind in ("card", "phone") else F.lower(text))
+
+
+def _base(text: Column) -> Column:
+    return let(F.struct(*[base_places(text, k).alias(k) for k in PATTERNS]), lambda x: x)
+
+
+def _spans(found: Column, label: Callable[[str], Column]) -> list[Column]:
+    return [F.transform(found[k], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), label(k).alias("label"))) for k in PATTERNS]
+
+
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with every character of a base span a blank."""
+
+    def blank(spans: Column) -> Column:
+        return F.when(F.size(spans) == 0, text).otherwise(_replaced(text, _merged(spans), lambda x: F.repeat(F.lit(" "), x["e"] - x["s"])))
+
+    return let(F.array_sort(F.concat(*_spans(base, lambda _: F.lit("")))), blank)
+
+
+def _terms(text: Column) -> Column:
+    """The different terms of a text, in lower case, what base spans hold apart."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(let(_base(text), lambda x: _blanked(text, x)), F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row per different text: text_hash, n (how often it comes), entities (array): a table of the shared folder."""
+    rows = docs.select(F.xxhash64(_text(text_col)).alias("text_hash"), _base(_text(text_col)).alias("x"))
+    names = F.array_distinct(F.concat(*[F.transform(F.col("x")[k], lambda p: _entity(k, p["text"])) for k in PATTERNS]))
+    each = rows.select("text_hash", names.alias("entities")).groupBy("text_hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"))
+    return materialize(each, "mentions")
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
+    """text_hash, term, share: of each text the terms that disclose an entity which it mentions, with the greatest share.
+
+    found: as mentions() gives it. An entity counts from `support` texts on. With share >= GENERALISE, df(term) is at most
+    N ** (1 - GENERALISE) * df(entity) ** GENERALISE: commoner terms are dropped before any pair is made, which loses none.
+    """
+    total = float(found.count())
+    named = found.select("text_hash", F.explode("entities").alias("entity"))
+    shared = named.groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= support)
+    shared = materialize(named.join(shared, "entity"), "shared-entities")
+    if shared.isEmpty():
+        return shared.select("text_hash", F.col("entity").alias("term"), F.lit(0.0).alias("share"))
+    at = materialize(shared.groupBy("text_hash").agg(F.max("df_entity").alias("most")), "sharing-texts")
+    text_hash = F.xxhash64(_text(text_col)).alias("text_hash")
+    sharing = docs.select(text_hash, _text(text_col).alias("text")).join(_sent(at), "text_hash")
+    terms = sharing.select("text_hash", "most", F.explode(_terms(F.col("text"))).alias("term")).distinct()
+    terms = materialize(terms, "terms")
+    candidates = materialize(terms.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).filter(F.col("n") >= support).select("term", "most"), "candidate-terms")
+    # every copy of a text counts by its share of the copies, so that the text counts once
+    copies = materialize(found.filter("n > 1").select("text_hash", "n"), "copied-texts")
+    every = docs.select(text_hash, F.explode(_terms(_text(text_col))).alias("term"))
+    of_term = every.join(_sent(candidates), "term").join(_sent(copies), "text_hash", "left").groupBy("term").agg(F.max("most").alias("most"), F.round(F.sum(1 / F.coalesce("n", F.lit(1)))).alias("df_term"))
+    bound = lambda df: F.pow(F.lit(total), F.lit(1 - GENERALISE)) * F.pow(df.cast("double"), F.lit(GENERALISE)) * 1.000001
+    rare = materialize(of_term.filter(F.col("df_term") <= bound(F.col("most"))).select("term", "df_term"), "rare-terms")
+    met = terms.select("text_hash", "term").join(_sent(rare), "term").join(shared, "text_hash").filter(F.col("df_term") <= bound(F.col("df_entity")))
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("df_pair"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity")).filter(F.col("df_pair") >= support)
+    carried = F.log2(F.lit(total) / F.col("df_entity"))
+    mutual = F.log2(F.col("df_pair") * F.lit(total) / (F.col("df_entity").cast("double") * F.col("df_term")))
+    share = F.when(carried > 0, mutual / carried).otherwise(0.0)
+    flagged = materialize(pairs.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE), "disclosing-pairs")
+    return met.select("text_hash", "entity", "term").join(flagged, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("share").alias("share"))
+
+
+def _flagged(docs: DataFrame, text_col: str, support: int) -> DataFrame:
+    """text_hash, flagged: term -> whether it is removed; a row for every text that holds such a term."""
+    found = mentions(docs, text_col)
+    terms = disclosing_terms(docs, found, text_col, support)
+    each = terms.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", (F.col("share") >= REMOVE).alias("remove")))).alias("flagged"))
+    return materialize(each, "flagged-terms")
+
+
+def _with_places(docs: DataFrame, text_col: str, support: int) -> DataFrame:
+    """__row (all columns of docs), __text (never null), text_hash, __base, __terms (s, e, text, remove): what there is to replace."""
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.select(row.alias("__row"), _text(text_col).alias("__text"), F.xxhash64(_text(text_col)).alias("text_hash"))
+    rows = rows.join(_sent(_flagged(docs, text_col, support)), "text_hash", "left").withColumn("__base", _base(F.col("__text")))
+    rows = rows.withColumn("__blanked", F.when(F.col("flagged").isNotNull(), _blanked(F.col("__text"), F.col("__base"))).otherwise(""))
+    each = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["text"]).alias("text"), F.element_at("flagged", F.lower(x["text"])).alias("remove"))
+    found = F.transform(places(F.col("__blanked"), TERM, lambda x: x.isNotNull()), each)
+    return rows.withColumn("__terms", F.filter(found, lambda x: x["remove"].isNotNull())).drop("__blanked", "flagged")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """One row per row of docs: id, text_hash, places per kind, and terms: array of (s, e, text, remove).
 
-    A null text is an empty one and has no spans. Documents count by id and text, so repeated rows are one document
-    in the statistics and give repeated results; extra columns are not read. Terms are only looked for near mentions,
-    so a document without a mention keeps every word. An empty table gives no rows.
+    A null text is an empty one and has no spans. Equal texts, repeated rows among them, are one text in the statistics
+    and have equal spans; ids play no part, so they may be null or repeated. Extra columns are not read. A text whose
+    entities no other text mentions keeps every term. An empty table gives no rows.
     """
-    found = mentions(docs, id_col, text_col)
-    flagged = disclosing_terms(docs, found, text_col)
-    near = found.select("id", "text_hash", F.explode("near").alias("x")).select("id", "text_hash", "x.*")
-    hits = near.join(flagged, ["entity", "term"]).groupBy("id", "text_hash", "s", "e").agg(F.max("share").alias("share"), F.min("term").alias("text"))
-    terms = hits.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("s", "e", "text", (F.col("share") >= REMOVE).alias("remove")))).alias("terms"))
-    right = terms.withColumnRenamed("id", "hit_id").withColumnRenamed("text_hash", "hit_hash")
-    none = F.array().cast("array<struct<s:int,e:int,text:string,remove:boolean>>")
-    out = found.join(right, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
-    return out.select(F.col("id").alias(id_col), "text_hash", *PATTERNS, F.coalesce("terms", none).alias("terms"))
+    rows = _with_places(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", support)
+    return rows.select(F.col("__row.id").alias(id_col), "text_hash", "__base.*", F.col("__terms").alias("terms"))
 
 
 def _written(kinds: tuple[str, ...]) -> Column:
@@ -167,24 +231,24 @@ def _written(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*map(written, kinds)), ",")
 
 
-def sanitised(text: Column) -> Column:
-    """The text with base spans replaced by labels, and terms by a general word or nothing; columns as find() names them."""
-    labelled = lambda k: F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(LABELS[k]).alias("label")))
-    general = F.transform(F.col("terms"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["remove"], "").when(x["text"].rlike(r"^[0-9]+$"), "[NUMBER]").otherwise("[TERM]").alias("label")))
-    ordered = F.array_sort(F.concat(*map(labelled, PATTERNS), general))
-    return F.when(F.size(ordered) == 0, text).otherwise(_replaced(text, _merged(ordered), lambda x: x["label"]))
+def _ordered(base: Column, terms: Column) -> Column:
+    """Base spans with their labels, and terms with a general word or nothing; of spans that begin together the longer one leads."""
+    general = F.transform(terms, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["remove"], "").when(x["text"].rlike(r"^[0-9]+$"), "[NUMBER]").otherwise("[TERM]").alias("label")))
+    return F.array_sort(F.concat(*_spans(base, lambda k: F.lit(LABELS[k])), general), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """docs with text_col sanitised, columns and rows as they were; a null text stays null. length_col, if given, becomes the new length."""
-    found = find(docs, id_col, text_col).filter(" OR ".join(f"size({c}) > 0" for c in (*PATTERNS, "terms"))).dropDuplicates([id_col, "text_hash"])
-    found = found.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), F.struct(*PATTERNS, "terms").alias("__found"))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash")), "left")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    opened = joined.select(row.alias("__row"), F.col(text_col).alias("__text"), "__found").select("__row", "__text", F.col("__found").isNotNull().alias("__any"), "__found.*")
-    text = F.when(F.col("__any"), sanitised(F.col("__text"))).otherwise(F.col("__text"))
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, support: int = SUPPORT) -> DataFrame:
+    """docs with text_col sanitised, columns and rows as they were; a null text stays null. length_col, if given, becomes the new length.
+
+    Texts are handled where they lie: what is joined to them is the short table of texts that hold a disclosing term.
+    Nulls, repeated rows, empty tables and other columns as in find(); id_col is not read.
+    """
+    rows = _with_places(docs, text_col, support).select("__row", "__text", _ordered(F.col("__base"), F.col("__terms")).alias("__spans"))
+    rows = rows.withColumn("__merged", _merged(F.col("__spans")))
+    clean = F.when(F.size("__merged") == 0, F.col("__text")).otherwise(_replaced(F.col("__text"), F.col("__merged"), lambda x: x["label"]))
+    clean = F.when(F.col(f"__row.`{text_col}`").isNotNull(), clean)
     new = {text_col: F.col("__new")} | ({length_col: F.length("__new").cast(docs.schema[length_col].dataType)} if length_col else {})
-    return opened.select("__row", text.alias("__new")).select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    return rows.select("__row", clean.alias("__new")).select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

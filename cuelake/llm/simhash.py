@@ -5,7 +5,8 @@ halves. The first 31 bits of a half are covered by the perfect Hamming code: eac
 one bit of exactly one codeword, its home anchor. A fingerprint goes to every anchor within the
 covering radius plus that one bit, sixteen at most, and meets there each fingerprint that is at
 home. So every link is found at an anchor. An anchor with very many homes is cut once more in the
-same way, by the halves of the other half.
+same way, by the halves of the other half. What is crowded still, by homes or by guests, is dealt to
+block pairs of a bounded number of rows: some homes against some members.
 """
 
 from __future__ import annotations
@@ -18,13 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import keep_rows, materialize, read_table
 from .components import connected
-from .jaccard import keep_rows
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Anchors with more homes than this are cut again. It moves work between tasks and changes no result.
-HOT_HOMES = 4096
+#: Anchors with more homes than this are cut again; groups of more members than BLOCK_ROWS become block pairs. They move work between tasks and change no result.
+HOT_HOMES, BLOCK_ROWS = 4096, 4096
 #: Groups up to this size are compared all at once, many groups in one numpy call.
 SMALL_GROUP = 32
 
@@ -157,19 +157,47 @@ def _links(placed: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def link_fingerprints(fps: DataFrame, distance: int = DISTANCE, hot_homes: int = HOT_HOMES) -> DataFrame:
-    """a, b: links between the distinct fingerprints in fps.fp, enough to join all that are within distance (3 at most)."""
+def _counted(placed: DataFrame, block_rows: int) -> DataFrame:
+    """key, homes, members of the crowded groups."""
+    crowded = placed.groupBy("key").agg(F.count_if("home").alias("homes"), F.count("*").alias("members"))
+    return materialize(crowded.filter((F.col("members") > block_rows) & (F.col("homes") > 0)), "crowded-anchors")
+
+
+def _dealt(placed: DataFrame, crowded: DataFrame, block_rows: int) -> DataFrame:
+    """The members of crowded groups as block pairs: key becomes a key of the group, a block of its homes and one of its members."""
+    rows = placed.join(crowded, "key")
+    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("fp"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    homes = rows.filter("home").select("key", "fp", "home", own("homes").alias("i"), every("members").alias("j"))
+    members = rows.select("key", "fp", F.lit(False).alias("home"), every("homes").alias("i"), own("members").alias("j"))
+    return homes.unionByName(members).select(F.xxhash64("key", "i", "j").alias("key"), "fp", "home")
+
+
+def _all_links(placed: DataFrame, crowded: DataFrame, distance: int, block_rows: int) -> DataFrame:
+    if crowded.isEmpty():
+        return _links(placed, distance)
+    return _links(placed.join(crowded, "key", "left_anti").unionByName(_dealt(placed, crowded, block_rows)), distance)
+
+
+def link_fingerprints(fps: DataFrame, distance: int = DISTANCE, hot_homes: int = HOT_HOMES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b: links between the distinct fingerprints in fps.fp, enough to join all that are within distance (3 at most).
+
+    A task holds one group at a time: block_rows members, or as many homes and members of a block pair.
+    """
     if not 0 <= distance <= DISTANCE:
         raise ValueError("anchors cover up to three differing bits")
     placed = _placed(fps)
-    hot = materialize(placed.filter("home").groupBy("key").count().filter(F.col("count") > hot_homes).select("key"), "hot-anchors")
+    crowded = _counted(placed, min(block_rows, hot_homes))
+    hot = crowded.filter(F.col("homes") > hot_homes)
     if hot.isEmpty():
-        return _links(placed, distance)
-    usual, again = placed.join(hot, "key", "left_anti"), placed.join(hot, "key", "left_semi")
-    return _links(usual, distance).unionByName(_links(_placed_again(again), distance))
+        return _all_links(placed, crowded, distance, block_rows)
+    usual = placed.join(hot, "key", "left_anti")
+    again = materialize(_placed_again(placed.join(hot, "key", "left_semi")), "hot-anchors")
+    return _all_links(usual, crowded.filter(F.col("homes") <= hot_homes), distance, block_rows).unionByName(_all_links(again, _counted(again, block_rows), distance, block_rows))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, hot_homes: int = HOT_HOMES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, hot_homes: int = HOT_HOMES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of docs: id, fp (long), component_id, the least id reachable over links, its own included.
 
     Texts without words, null ones included, have fingerprint zero and link like any other. Copies share a
@@ -178,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle).toDF("id", "fp"), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    roots = connected(link_fingerprints(distinct, distance, hot_homes)).toDF("fp", "root")
+    roots = connected(link_fingerprints(distinct, distance, hot_homes, block_rows)).toDF("fp", "root")
     rooted = materialize(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")

@@ -2,12 +2,16 @@
 
 Hosts of pages that a rule allows are trusted, hosts of pages that one blocks are not. Personalised
 PageRank carries trust along links and distrust against them: who links to a blocked host earns
-distrust. A host whose distrust exceeds its trust,
-and a small trust that every host has, by a factor is blocked. DataFrame functions alone.
+distrust. Either is a distribution over the hosts: its seeds sum to one, and so do its scores, which
+are then measured by what a seed host would hold if all was dealt to these evenly. A host whose distrust
+exceeds its trust, and a small prior, by a factor is blocked; so neither the number of pages nor that of
+hosts elsewhere moves a verdict. DataFrame functions alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +19,12 @@ from .common import materialize, read_table
 
 #: (host, path, verdict): fits the host and its subdomains where the path starts so; the longest rule wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, ROUNDS, FACTOR = 0.85, 8, 2.0
-#: Trust that every host has from the start, in pages: what the evidence against it must exceed.
-PRIOR = 0.35
-#: Rounds between two writes that cut the lineage.
-ROUNDS_PER_WRITE = 4
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+DAMPING, FACTOR = 0.85, 2.0
+#: The part of a trusted seed host's even share that every host is trusted with: what the evidence against it must exceed.
+PRIOR = 0.1
+#: Rounds go on until another ROUNDS_PER_WRITE of them add less than this share; each round adds at most DAMPING of what the one before added.
+TOLERANCE, ROUNDS_PER_WRITE = 1e-4, 4
+LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 _URL = "://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,24 +51,30 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank. links: src, dst, n. seeds: host, seed. Returns host, score for every host that mass reaches.
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank. links: src, dst, n. seeds: host, seed. Returns host, score for every host that mass reaches; scores sum to one.
 
-    What a host without links holds ends there. A round is one join on the host and one sum with map-side partials.
+    What hosts without links hold goes back to the seeds, in their proportion: that is the same as to let it end there
+    and to scale the result to one, which is what is done. A round is one join on the host and one sum with map-side partials.
     """
+    total = lambda of, c: of.agg(F.sum(c)).first()[0] or 0.0  # noqa: E731  # one number
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     share = materialize(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
-    base = seeds.select("host", ((1 - damping) * F.col("seed")).alias("score"))
-    if share.isEmpty():  # nothing to carry
-        return base
-    base = materialize(base, "seeds")
-    rank = base
-    for i in range(rounds):
-        moved = share.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
-        rank = base.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % ROUNDS_PER_WRITE == ROUNDS_PER_WRITE - 1:
-            rank = materialize(rank, "rank")
-    return rank
+    base = materialize(seeds.select("host", F.col("seed").cast("double").alias("score")), "seeds")
+    known = total(base, "score")
+    scaled = lambda rank, by: rank.select("host", (F.col("score") / F.lit(by)).alias("score"))
+    if share.isEmpty() or not known:  # nothing to carry
+        return scaled(base, known or 1.0)
+    base = materialize(scaled(base, known / (1 - damping)), "seeds")
+    rank, known, grown = base, 1 - damping, True
+    while grown:
+        for _ in range(ROUNDS_PER_WRITE):
+            moved = share.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
+            rank = base.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
+        rank = materialize(rank, "rank")
+        before, known = known, total(rank, "score")
+        grown = known - before > tolerance * known
+    return scaled(rank, known)
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", factor: float = FACTOR) -> DataFrame:
@@ -72,7 +82,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
     A null url, or one without ://, has an empty host and path, no rule and is allowed. A null html has no links.
     Hosts that neither trust nor distrust reaches are allowed. Repeated rows give repeated results and count
-    repeatedly as seeds and links; other columns are not read.
+    repeatedly as seeds and links; all pages so many times over get the same verdicts. Other columns are not read.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
@@ -82,7 +92,10 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     trust = propagate(links, seeds.filter("allowed > 0").select("host", F.col("allowed").alias("seed")))
     against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(against, seeds.filter("blocked > 0").select("host", F.col("blocked").alias("seed")))
-    bad = distrust.toDF("host", "distrust").join(trust.toDF("host", "trust"), "host", "left").filter(F.col("distrust") > factor * (F.coalesce("trust", F.lit(0.0)) + (1 - DAMPING) * PRIOR)).select("host", F.lit("block").alias("by_links"))
+    seeded = lambda c: seeds.filter(F.col(c) > 0).count()  # noqa: E731  # one number
+    trusted, distrusted = seeded("allowed"), seeded("blocked")
+    enough = factor * (F.coalesce("trust", F.lit(0.0)) * trusted + PRIOR)
+    bad = distrust.toDF("host", "distrust").join(trust.toDF("host", "trust"), "host", "left").filter(F.col("distrust") * distrusted > enough).select("host", F.lit("block").alias("by_links"))
     out = rows.join(bad, "host", "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce(ruled, F.col("by_links"), F.lit("allow")).alias("verdict"))
 
@@ -91,6 +104,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"))
 
 
+#: As many rounds as the tolerance can need.
+_ORACLE_ROUNDS = math.ceil(math.log(TOLERANCE * (1 - DAMPING)) / math.log(DAMPING))
+
+
 def _oracle() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     fits = "".join(
@@ -109,20 +126,23 @@ j AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS ruled FROM p),
 s AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS allowed, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM j WHERE ruled IS NOT NULL AND host <> '' GROUP BY host),
 h AS (SELECT DISTINCT page_id, host AS src, translate(dst, '{_UPPER}', '{_LOWER}') AS dst
   FROM (SELECT page_id, host, unnest(regexp_extract_all(coalesce(html, ''), {quote(LINK)}, 1)) AS dst FROM p)),
-l AS (SELECT src, dst, count(*) AS n FROM h WHERE src <> '' AND src <> dst GROUP BY src, dst)"""
+l AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM h WHERE src <> '' AND src <> dst GROUP BY src, dst)"""
     for name, seed, src, dst in (("t", "allowed", "src", "dst"), ("d", "blocked", "dst", "src")):
         sql += f""",
-{name}e AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM l),
-{name}b AS (SELECT host, {1 - DAMPING!r} * {seed} AS score FROM s WHERE {seed} > 0),
-{name}0 AS (SELECT * FROM {name}b)"""
-        for i in range(ROUNDS):
+{name}e AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM l),
+{name}b AS MATERIALIZED (SELECT host, {1 - DAMPING!r} * {seed} / sum({seed}) OVER () AS score FROM s WHERE {seed} > 0),
+{name}0 AS MATERIALIZED (SELECT * FROM {name}b)"""
+        for i in range(_ORACLE_ROUNDS):
             sql += f""",
-{name}{i + 1} AS (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}b UNION ALL SELECT e.dst, {DAMPING!r} * e.share * r.score FROM {name}e e JOIN {name}{i} r ON e.src = r.host) GROUP BY host)"""
+{name}{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}b UNION ALL SELECT e.dst, {DAMPING!r} * e.share * r.score FROM {name}e e JOIN {name}{i} r ON e.src = r.host) GROUP BY host)"""
+        sql += f""",
+{name} AS (SELECT host, score / sum(score) OVER () AS score FROM {name}{_ORACLE_ROUNDS})"""
     return (
         sql
-        + f"""
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d.score > {FACTOR!r} * (coalesce(t.score, 0.0) + {(1 - DAMPING) * PRIOR!r}) THEN 'block' END, 'allow') AS verdict
-FROM j LEFT JOIN t{ROUNDS} t ON j.host = t.host LEFT JOIN d{ROUNDS} d ON j.host = d.host
+        + f""",
+n AS (SELECT count(*) FILTER (WHERE allowed > 0) AS trusted, count(*) FILTER (WHERE blocked > 0) AS distrusted FROM s)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN d.score * distrusted > {FACTOR!r} * (coalesce(t.score, 0.0) * trusted + {PRIOR!r}) THEN 'block' END, 'allow') AS verdict
+FROM j CROSS JOIN n LEFT JOIN t ON j.host = t.host LEFT JOIN d ON j.host = d.host
 """
     )
 

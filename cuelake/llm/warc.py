@@ -26,6 +26,8 @@ REVISIT_FROM = 1000
 MAX_GAP, MAX_RANGE = 64 << 10, 4 << 20
 #: A task begins another archive beyond this size.
 ARCHIVE_BYTES = 128 << 20
+#: Bytes of archives that one task reads back, as planned.
+READ_BYTES = 32 << 20
 CRLF = "\r\n"
 _END = b"\r\n\r\n"
 _INDEX = "page_id long, archive string, offset long, length long, url string, digest string, payload_bytes long, record_type string, refers_to long"
@@ -109,7 +111,8 @@ def read_records(selected: DataFrame, path: str, max_gap: int = MAX_GAP, max_ran
     """Read the records that rows of the index select: page_id, url, digest, record_type, refers_to, payload_bytes, payload (binary; null of a revisit).
 
     Everything returned comes from the archives. Each archive's selected records are sorted by offset and joined
-    into ranges, which are dealt over the cluster and read once each.
+    into ranges, which are read once each. Ranges are dealt by the bytes that they stand for, READ_BYTES a task, and
+    over all cores where there is less: their own rows are tiny, so their number says nothing of the work.
     """
     by_place = Window.partitionBy("archive").orderBy("offset")
     end = F.col("offset") + F.col("length")
@@ -142,7 +145,9 @@ def read_records(selected: DataFrame, path: str, max_gap: int = MAX_GAP, max_ran
                 names = ["page_id", "url", "digest", "record_type", "refers_to", "payload_bytes", "payload"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    ranges = ranges.select("archive", "from", "to", "places")
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    ranges = ranges.select("archive", "from", "to", "places").repartition(max(cores, -(-size // READ_BYTES)), "archive", "from")
     return ranges.mapInArrow(read, "page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long, payload binary")
 
 

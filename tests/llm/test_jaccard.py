@@ -58,11 +58,11 @@ def test_stage_takes_jaccard(spark, rows):
     assert len(want(rows)) < len(rows) - 100 and jaccard.keep_one(frame.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("block_rows", "listed"), [(256, 8), (7, 8), (7, 0), (256, 0)])
-def test_blocks_change_nothing(spark, rows, block_rows, listed):
+@pytest.mark.parametrize(("block_rows", "listed", "stars"), [(256, 8, 3), (7, 8, 1), (7, 0, 1), (256, 0, 1), (7, 0, 2)])
+def test_blocks_change_nothing(spark, rows, block_rows, listed, stars):
     sets = {i: shingles(t) for i, t, *_ in rows[180:300]}
     table = spark.createDataFrame([(i, sorted(hash(x) % 2**62 for x in s)) for i, s in sets.items()], "hash long, shingles array<long>")
-    found = jaccard.links(table.select(F.lit(1).cast("long").alias("key"), "hash"), lambda hashes: table.join(hashes, "hash"), 0.8, block_rows, listed)
+    found = jaccard.links(table.select(F.lit(1).cast("long").alias("key"), "hash"), lambda hashes: table.join(hashes, "hash"), 0.8, block_rows, listed, stars)
     pairs = {(r.a, r.b) for r in found.collect()}
     assert all(similar(sets[a], sets[b]) for a, b in pairs)
     join = lambda ps: _components(sets, ps)
