@@ -2,8 +2,8 @@
 
 Hosts of pages that a rule allows are trusted, hosts of pages that one blocks are not. Personalised
 PageRank carries trust along links and distrust against them: who links to a blocked host earns
-distrust. Either is a distribution over the hosts: its seeds sum to one, and so do its scores, which
-are then measured by what a seed host would hold if all was dealt to these evenly. A host whose distrust
+distrust. A score counts visits: of a walk that begins at a seed host, by its share of the seed pages,
+and goes on with the damping's chance, measured by those of an average seed host. A host whose distrust
 exceeds its trust, and a small prior, by a factor is blocked; so neither the number of pages nor that of
 hosts elsewhere moves a verdict. DataFrame functions alone.
 """
@@ -20,8 +20,8 @@ from .common import materialize, read_table
 #: (host, path, verdict): fits the host and its subdomains where the path starts so; the longest rule wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING, FACTOR = 0.85, 2.0
-#: The part of a trusted seed host's even share that every host is trusted with: what the evidence against it must exceed.
-PRIOR = 0.1
+#: Trust that every host has, in visits of an average seed host: what the evidence against it must exceed.
+PRIOR = 0.35
 #: Rounds go on until another ROUNDS_PER_WRITE of them add less than this share; each round adds at most DAMPING of what the one before added.
 TOLERANCE, ROUNDS_PER_WRITE = 1e-4, 4
 LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -52,21 +52,20 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """Personalised PageRank. links: src, dst, n. seeds: host, seed. Returns host, score for every host that mass reaches; scores sum to one.
+    """Personalised PageRank. links: src, dst, n. seeds: host, seed. Returns host, score for every host that a walk reaches.
 
-    What hosts without links hold goes back to the seeds, in their proportion: that is the same as to let it end there
-    and to scale the result to one, which is what is done. A round is one join on the host and one sum with map-side partials.
+    score: the visits that a walk pays it, begun at a seed host by its share of all seeds and going on at each step with
+    the chance `damping`. Where a host has no links the walk ends, and the next one begins: PageRank with that mass given
+    back to the seeds is this, up to a common factor. A round is one join on the host and one sum with map-side partials.
     """
     total = lambda of, c: of.agg(F.sum(c)).first()[0] or 0.0  # noqa: E731  # one number
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     share = materialize(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
-    base = materialize(seeds.select("host", F.col("seed").cast("double").alias("score")), "seeds")
-    known = total(base, "score")
-    scaled = lambda rank, by: rank.select("host", (F.col("score") / F.lit(by)).alias("score"))
-    if share.isEmpty() or not known:  # nothing to carry
-        return scaled(base, known or 1.0)
-    base = materialize(scaled(base, known / (1 - damping)), "seeds")
-    rank, known, grown = base, 1 - damping, True
+    base = seeds.select("host", (F.col("seed").cast("double") / F.lit(total(seeds, "seed") or 1.0)).alias("score"))
+    if share.isEmpty():  # nowhere to go
+        return base
+    base = materialize(base, "seeds")
+    rank, known, grown = base, 1.0, True
     while grown:
         for _ in range(ROUNDS_PER_WRITE):
             moved = share.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
@@ -74,7 +73,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         rank = materialize(rank, "rank")
         before, known = known, total(rank, "score")
         grown = known - before > tolerance * known
-    return scaled(rank, known)
+    return rank
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", factor: float = FACTOR) -> DataFrame:
@@ -130,13 +129,13 @@ l AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM h WHERE src <> '' AND src
     for name, seed, src, dst in (("t", "allowed", "src", "dst"), ("d", "blocked", "dst", "src")):
         sql += f""",
 {name}e AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM l),
-{name}b AS MATERIALIZED (SELECT host, {1 - DAMPING!r} * {seed} / sum({seed}) OVER () AS score FROM s WHERE {seed} > 0),
+{name}b AS MATERIALIZED (SELECT host, {seed} / sum({seed}) OVER () AS score FROM s WHERE {seed} > 0),
 {name}0 AS MATERIALIZED (SELECT * FROM {name}b)"""
         for i in range(_ORACLE_ROUNDS):
             sql += f""",
 {name}{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}b UNION ALL SELECT e.dst, {DAMPING!r} * e.share * r.score FROM {name}e e JOIN {name}{i} r ON e.src = r.host) GROUP BY host)"""
         sql += f""",
-{name} AS (SELECT host, score / sum(score) OVER () AS score FROM {name}{_ORACLE_ROUNDS})"""
+{name} AS (SELECT * FROM {name}{_ORACLE_ROUNDS})"""
     return (
         sql
         + f""",
