@@ -13,6 +13,9 @@ PERIODS = ".．"
 CLOSERS = "」』”’\")】》〉"
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "sra", "jr", "st", "mt", "vs", "etc", "e.g", "i.e", "cf", "no", "vol", "fig", "inc", "ltd", "co", "corp", "dept", "approx", "u.s", "u.k", "a.m", "p.m", "hr", "fr", "hrn")
 NEGATIONS = ("not", "no", "never", "n't", "dont", "don't", "cannot", "can't", "won't", "isn't", "aren't", "wasn't", "weren't", "didn't", "doesn't", "nothing", "nobody", "none", "nor", "ne", "pas", "nicht", "kein", "nunca", "nada")
+CJK_NEGATIONS = "不沒没無无別别非未莫勿"
+NEGATIVE_ENDINGS = ("ない", "ません", "なかった", "안", "못", "않", "없")
+CJK_NUMERALS = "零〇一二三四五六七八九十百千萬万億亿兩两"
 SCRIPTS = {"Japanese": "[぀-ヿ]", "Korean": "[가-힯]", "Thai": "[฀-๿]", "Arabic": "[؀-ۿ]", "Persian": "[؀-ۿ]", "Russian": "[Ѐ-ӿ]", "Hindi": "[ऀ-ॿ]", "Greek": "[Ͱ-Ͽ]"}
 OTHER_SCRIPTS = ("Chinese", "Cantonese", *SCRIPTS)
 
@@ -66,17 +69,26 @@ def visible_length(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"\s", ""))
 
 
+def reading_limit(lang: Column) -> Column:
+    """Characters a second from which a text is fast: 9 in Chinese, Cantonese, Japanese and Korean, 21 otherwise."""
+    return F.when(lang.isin("Chinese", "Cantonese", "Japanese", "Korean", "zh", "yue", "ja", "ko"), 9.0).otherwise(21.0)
+
+
 def reading_speed(text: Column, start: Column, end: Column) -> Column:
     return visible_length(text) / F.greatest(F.lit(0.1), end - start)
 
 
 def negations(text: Column) -> Column:
+    """How many words, characters and endings of a text negate."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
-    return F.size(F.filter(words, lambda w: w.isin(*NEGATIONS) | F.endswith(w, F.lit("n't"))))
+    latin = F.size(F.filter(words, lambda w: w.isin(*NEGATIONS) | F.endswith(w, F.lit("n't"))))
+    endings = sum((F.regexp_count(text, F.lit(x)) for x in NEGATIVE_ENDINGS), F.lit(0))
+    return latin + F.regexp_count(text, F.lit(f"[{CJK_NEGATIONS}]")) + endings
 
 
 def numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[0-9]+"), F.lit(0))
+    """The runs of digits, and each CJK numeral, as they come."""
+    return F.concat(F.regexp_extract_all(text, F.lit(r"[0-9]+"), F.lit(0)), F.regexp_extract_all(text, F.lit(f"[{CJK_NUMERALS}]"), F.lit(0)))
 
 
 def looks_like(text: Column, lang: Column) -> Column:
@@ -125,6 +137,12 @@ def parse_time(text: Column) -> Column:
     return value.cast("double")
 
 
+def parse_edit_time(text: Column) -> Column:
+    """a, a:b or a:b:c to base 60, in seconds; null where a part is no number."""
+    parts = F.transform(F.split(F.trim(text), ":"), lambda x: F.trim(x).try_cast("double"))
+    return F.when(F.size(parts) <= 3, F.aggregate(parts, F.lit(0.0), lambda acc, x: acc * 60 + x))
+
+
 def format_time(seconds: Column, mark: str = ",") -> Column:
     ms = F.greatest(F.lit(0), F.round(seconds * 1000)).cast("long")
     pad = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranges import union_intervals
 
 
 def _item():
@@ -18,12 +19,19 @@ def renumber(cues: DataFrame, *order: str) -> DataFrame:
 
 
 def split_position(text: Column, share: Column) -> Column:
-    """Where a text is cut near a share of its length: at the nearest blank or mark within a quarter of it, else right there."""
+    """Where a text is cut near a share of its length: at the nearest blank or mark within a quarter of it, else right there.
+
+    Only the quarter on either side is looked at: its reverse and itself, by the length of what comes before their first mark.
+    """
     n = F.length(text)
-    goal = F.round(n * share).cast("int")
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(1)).rlike(r"[\s,.!?;:、。，！？]"))
-    near = F.array_min(F.transform(places, lambda i: F.struct(F.abs(i - goal).alias("d"), i.alias("i"))))
-    return F.when(near["d"] <= n / 4, near["i"]).otherwise(goal)
+    goal = F.greatest(F.least(F.round(n * share).cast("int"), n - 1), F.lit(1))
+    reach = F.floor(n / 4).cast("int")
+    marks = r"^[^\s,.!?;:、。，！？]*"
+    left = F.substring(text, F.greatest(goal - reach, F.lit(1)), goal - F.greatest(goal - reach, F.lit(1)) + 1)
+    right = F.substring(text, goal + 1, F.least(reach, n - 1 - goal))
+    before, after = (F.length(F.regexp_extract(x, marks, 0)) for x in (F.reverse(left), right))
+    has_left, has_right = before < F.length(left), after < F.length(right)
+    return F.when(has_left & (~has_right | (before <= after + 1)), goal - before).when(has_right, goal + after + 1).otherwise(goal)
 
 
 def split_cues(cues: DataFrame, edits: DataFrame) -> DataFrame:
@@ -59,6 +67,23 @@ def insert_after(cues: DataFrame, edits: DataFrame, length: float = 2.45) -> Dat
     return renumber(cues.select("media_id", "ix", "start", "end", "src").unionByName(new))
 
 
+def insert_at(cues: DataFrame, edits: DataFrame, length: float = 2.5, shortest: float = 0.2) -> DataFrame:
+    """edits: media_id, t, src. A cue from t on, up to `length` or 0.05 s before the next; none inside a cue or where there is no room.
+
+    As-of on both sides: the last cue that starts at or before t, and the first one after it, by one union and one window.
+    """
+    order = Window.partitionBy("media_id").orderBy("t", "kind")
+    marks = cues.select("media_id", F.col("start").alias("t"), F.lit(0).alias("kind"), "end", F.lit(None).cast("string").alias("src"))
+    asked = edits.select("media_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("end"), "src")
+    rows = marks.unionByName(asked).withColumns({
+        "held": F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), "next": F.min(F.when(F.col("kind") == 0, F.col("t"))).over(order.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    end = F.least(F.col("t") + length, F.col("next") - 0.05)
+    free = (F.col("kind") == 1) & ~F.coalesce(F.col("t") < F.col("held"), F.lit(False)) & (end - F.col("t") >= shortest)
+    new = rows.filter(free).select("media_id", F.lit(None).cast(cues.schema["ix"].dataType).alias("ix"), F.col("t").alias("start"), end.alias("end"), "src")
+    return renumber(cues.select("media_id", "ix", "start", "end", "src").unionByName(new))
+
+
 def delete(cues: DataFrame, edits: DataFrame) -> DataFrame:
     return renumber(cues.join(edits.select("media_id", "ix"), ["media_id", "ix"], "left_anti"), "ix")
 
@@ -69,11 +94,20 @@ def revert(cues: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.withColumns({"src": F.when(F.col("__edit"), F.coalesce("src_orig", "src")).otherwise(F.col("src")), "src_orig": F.when(F.col("__edit").isNull(), F.col("src_orig"))}).drop("__edit")
 
 
-def shift(cues: DataFrame, offset: float, duration: DataFrame) -> DataFrame:
-    """All cues moved, clamped to [0, duration]; those of 0.05 s or less go."""
+def _shifted(cues: DataFrame, offset: float, duration: DataFrame) -> DataFrame:
     rows = cues.join(duration, "media_id")
     clamp = lambda x: F.least(F.greatest(x + offset, F.lit(0.0)), F.col("duration"))
-    return rows.withColumns({"start": clamp(F.col("start")), "end": clamp(F.col("end"))}).filter(F.col("end") - F.col("start") > 0.05).drop("duration")
+    return rows.withColumns({"start": clamp(F.col("start")), "end": clamp(F.col("end"))}).withColumn("dropped", F.col("end") - F.col("start") <= 0.05).drop("duration")
+
+
+def shift(cues: DataFrame, offset: float, duration: DataFrame) -> DataFrame:
+    """All cues moved, clamped to [0, duration]; those of 0.05 s or less go."""
+    return _shifted(cues, offset, duration).filter("NOT dropped").drop("dropped")
+
+
+def shift_counts(cues: DataFrame, offset: float, duration: DataFrame) -> DataFrame:
+    """media_id, kept, dropped: what shift() does to each item's cues."""
+    return _shifted(cues, offset, duration).groupBy("media_id").agg(F.count_if(~F.col("dropped")).alias("kept"), F.count_if("dropped").alias("dropped"))
 
 
 def retime(cues: DataFrame, edits: DataFrame) -> DataFrame:
@@ -116,21 +150,101 @@ def usage_by_month(runs: DataFrame) -> DataFrame:
     return runs.filter("requests > 0").groupBy(month.alias("month")).agg(*[F.sum(c).alias(c) for c in ("requests", "prompt", "completion", "cache_hit")])
 
 
+def merge_usage(ledger: DataFrame, months: DataFrame) -> DataFrame:
+    """ledger and months: month, requests, prompt, completion, cache_hit. The ledger with the months added to it, one row a month."""
+    return ledger.unionByName(months).groupBy("month").agg(*[F.sum(c).alias(c) for c in ("requests", "prompt", "completion", "cache_hit")])
+
+
 def catalog(cues: DataFrame) -> DataFrame:
     """media_id, n_cues, duration, n_chars: counts, length of the timeline, and visible characters per item."""
     return cues.groupBy("media_id").agg(F.count("*").alias("n_cues"), F.max("end").alias("duration"), F.sum(T.visible_length(F.col("src"))).alias("n_chars"))
 
 
-def dominant_language(rows: DataFrame, key: str, lang: str = "lang", text: str = "text") -> DataFrame:
-    """key, lang, share: the language with most kept characters, the first by name on a tie."""
-    sums = rows.groupBy(key, lang).agg(F.sum(T.kept_length(F.col(text))).alias("n"))
-    best = sums.groupBy(key).agg(F.max(F.struct(F.col("n"), F.col(lang))).alias("best"), F.sum("n").alias("total"))
-    return best.select(key, F.col(f"best.{lang}").alias("lang"), (F.col("best.n") / F.nullif("total", F.lit(0))).alias("share"))
+def catalog_list(projects: DataFrame, cues: DataFrame, files: DataFrame) -> DataFrame:
+    """projects: media_id, name, updated, mode, recovered, broken. cues: media_id and more. files: media_id, length.
+
+    media_id, name, updated, mode, n_cues, bytes, recovered, broken, newest first, ties by media_id. Counts are aggregated
+    before the joins; a project without cues or files has none.
+    """
+    n = cues.groupBy("media_id").agg(F.count("*").alias("n_cues"))
+    rows = projects.join(n, "media_id", "left").join(folder_bytes(files), "media_id", "left")
+    rows = rows.select("media_id", "name", "updated", "mode", F.coalesce("n_cues", F.lit(0)).alias("n_cues"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "recovered", "broken")
+    return rows.orderBy(F.desc_nulls_last("updated"), "media_id")
+
+
+def folder_bytes(files: DataFrame, key: str = "media_id") -> DataFrame:
+    """key, bytes: the sum of length of the files of each key. Of binaryFile tables only the length is read."""
+    return files.groupBy(key).agg(F.sum("length").cast("long").alias("bytes"))
+
+
+def timeline_length(cues: DataFrame, durations: DataFrame) -> DataFrame:
+    """media_id, length: the known duration of an item, else a second beyond its last cue; items of either table."""
+    ends = cues.groupBy("media_id").agg(F.max("end").alias("last"))
+    known = durations.groupBy("media_id").agg(F.max("duration").alias("duration"))
+    return known.join(ends, "media_id", "full").select("media_id", F.coalesce(F.nullif("duration", F.lit(0.0)), F.col("last") + 1).alias("length"))
+
+
+def first_seen(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key, value, first, nth: different values of each key in the order in which they first come."""
+    found = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("first"))
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("first", value)))
+
+
+def join_ranges(faces: DataFrame, ranges: DataFrame, slack: float = 0.0) -> DataFrame:
+    """faces: family and more. ranges: family, s, e. faces with ranges, the union of their family's, in order; null where it has none."""
+    joined = union_intervals(ranges, slack, key="family").groupBy("family").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ranges"))
+    return faces.join(joined, "family", "left")
+
+
+def zip_positions(left: DataFrame, right: DataFrame, value: str = "text") -> DataFrame:
+    """left: media_id, ix and more. right: media_id, ix, value. left with value where both lists of an item are of one length, null elsewhere; zipped tells which."""
+    counts = lambda of, name: of.groupBy("media_id").agg(F.count("*").alias(name))
+    same = counts(left, "n").join(counts(right, "m"), "media_id").filter("n = m").select("media_id", F.lit(True).alias("zipped"))
+    nth = lambda of: of.withColumn("__nth", F.row_number().over(_item()))
+    other = nth(right.select("media_id", "ix", value)).join(same, "media_id").drop("ix")
+    return nth(left.drop(value)).join(other, ["media_id", "__nth"], "left").drop("__nth").withColumn("zipped", F.coalesce("zipped", F.lit(False)))
+
+
+def with_names(rows: DataFrame, names: DataFrame, column: str = "lang") -> DataFrame:
+    """names: code, name, note: a caller's list of languages or tones. rows with name and note of their code, compared in lower case; a code not listed is its own name."""
+    listed = names.select(F.lower("code").alias("__code"), F.col("name"), F.col("note")).dropDuplicates(["__code"])
+    found = rows.join(listed, F.lower(column) == F.col("__code"), "left").drop("__code")
+    return found.withColumn("name", F.coalesce("name", column))
+
+
+def chinese_script(rows: DataFrame, traditional: str, simplified: str, column: str = "text", sample: int = 4000) -> DataFrame:
+    """rows with script: Traditional where, of the first `sample` characters, a map of equal length changes three, and a hundredth, else Simplified; null without CJK.
+
+    The map is the caller's: the n-th character of `traditional` becomes that of `simplified`.
+    """
+    head = F.substring(F.coalesce(column, F.lit("")), 1, sample)
+    changed = "".join(a for a, b in zip(traditional, simplified, strict=True) if a != b)
+    escaped = "".join("\\" + c if c in "[]\\^-&" else c for c in changed)
+    n = F.regexp_count(head, F.lit(f"[{escaped}]")) if changed else F.lit(0)
+    script = F.when(n >= F.greatest(F.lit(3.0), F.length(head) * 0.01), "Traditional").otherwise("Simplified")
+    return rows.withColumn("script", F.when(head.rlike(T.CJK), script))
+
+
+def dominant_language(rows: DataFrame, key: str, lang: str = "lang", text: str = "text", order: str | None = None) -> DataFrame:
+    """key, lang, share: the language with most kept characters. On a tie the one seen first by `order`, or without it the first by name.
+
+    Rows without a language don't count.
+    """
+    sums = rows.filter(F.col(lang).isNotNull()).groupBy(key, lang).agg(F.sum(T.kept_length(F.col(text))).alias("n"), (F.min(order) if order else F.lit(0)).alias("seen"))
+    best = sums.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("less"), "seen", F.col(lang).alias("lang"))).alias("best"), F.sum("n").alias("total"))
+    return best.select(key, F.col("best.lang").alias("lang"), (-F.col("best.less") / F.nullif("total", F.lit(0))).alias("share"))
 
 
 def search(cues: DataFrame, query: str) -> DataFrame:
-    """Cues that hold the query, letter case aside; an empty query keeps all."""
-    return cues if not query else cues.filter(F.contains(F.lower("src"), F.lit(query.lower())))
+    """Cues whose source or translation holds the query, letter case aside; an empty query keeps all."""
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False))
+    return cues if not query else cues.filter(holds("src") | holds("tgt") if "tgt" in cues.columns else holds("src"))
+
+
+def fast_cues(cues: DataFrame, lang: Column, text: str = "tgt") -> DataFrame:
+    """Cues that are read faster than their language allows, with cps and limit."""
+    rows = cues.withColumns({"cps": T.reading_speed(F.coalesce(text, F.lit("")), F.col("start"), F.col("end")), "limit": T.reading_limit(lang)})
+    return rows.filter(F.col("cps") > F.col("limit"))
 
 
 def qa_report(cues: DataFrame, durations: DataFrame | None = None, limit: float = 21.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +37,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session may do without spark.checkpoint.dir."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -114,9 +124,16 @@ def group_windows(spark, sf_dir):
     return S.group_windows(plan_windows(spark, sf_dir), target=2.0, max_len=3.0)
 
 
-@query()
+@query(_WITH_FRAMES + _REGIONS + """,
+h AS (SELECT r.media_id, region_ix AS win_ix, s, e, p, value FROM regions r JOIN frames f ON r.media_id = f.media_id AND frame_ix >= floor(s / CAST(0.032 AS DOUBLE) + 1e-9)
+  AND frame_ix < greatest(floor(e / CAST(0.032 AS DOUBLE) + 1e-9), floor(s / CAST(0.032 AS DOUBLE) + 1e-9) + 1)),
+t AS (SELECT media_id, win_ix, s, e, max(p) AS max_p, sqrt(avg(value * value)) AS rms FROM h GROUP BY ALL)
+SELECT media_id, win_ix, round(s, 6) AS s, round(e, 6) AS e, round(max_p, 6) AS max_p, round(rms, 4) AS rms FROM t WHERE max_p >= 0.5 AND rms >= 20""")
 def live_windows(spark, sf_dir):
-    return S.live_windows(plan_windows(spark, sf_dir), frames(spark, sf_dir))
+    """Speech regions as windows, the loud ones."""
+    rows = frames(spark, sf_dir)
+    windows = S.speech_regions(rows).select("media_id", F.col("region_ix").alias("win_ix"), "s", "e")
+    return rounded(S.live_windows(windows, rows, 0.5, 20.0), "s", "e", "max_p").withColumn("rms", F.round("rms", 4))
 
 
 @query("""
@@ -187,10 +204,19 @@ def clean_markup(spark, sf_dir):
 
 
 @query(r"""
-WITH s AS (SELECT source, lang, sum(length(regexp_replace(text, '[^\p{L}\p{N}'']', '', 'g'))) AS n FROM documents GROUP BY 1, 2)
-SELECT source, arg_max(lang, struct_pack(n := n, lang := lang)) AS lang, round(max(n) / sum(n), 6) AS share FROM s GROUP BY source""")
+WITH s AS (SELECT source, lang, sum(length(regexp_replace(text, '[^\p{L}\p{N}'']', '', 'g'))) AS n, min(doc_id) AS seen FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2)
+SELECT source, arg_min(lang, struct_pack(n := -n, seen := seen)) AS lang, round(max(n) / sum(n), 6) AS share FROM s GROUP BY source""")
 def dominant_language(spark, sf_dir):
-    return rounded(E.dominant_language(read(spark, sf_dir, "documents"), "source"), "share")
+    return rounded(E.dominant_language(read(spark, sf_dir, "documents"), "source", order="doc_id"), "share")
+
+
+@query("""
+WITH s AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS seen FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, arg_min(event_type, struct_pack(n := -n, seen := seen)) AS lang, round(max(n) / sum(n), 6) AS share FROM s GROUP BY user_id""")
+def dominant_with_ties(spark, sf_dir):
+    """Each event as a text of one character: users whose event types come equally often are decided by what came first."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.lit("x").alias("text"))
+    return rounded(E.dominant_language(rows, "user_id", "event_type", order="event_id"), "share")
 
 
 @query(r"""
@@ -361,9 +387,18 @@ def token_budget(spark, sf_dir):
     return X.within_budget(cues(spark, sf_dir), 200).select("media_id", "ix", "used")
 
 
-@query(_WITH_CUES + "s AS (SELECT * FROM cues WHERE contains(lower(src), 'the')) SELECT media_id, ix, src FROM s")
+@query(_WITH_CUES + _REPLIES + " SELECT c.media_id, c.ix, c.src, coalesce(r.text, '') AS tgt FROM cues c LEFT JOIN replies r ON c.media_id = r.media_id AND c.ix = r.ix WHERE contains(lower(c.src), 'the') OR contains(lower(coalesce(r.text, '')), 'the')")
 def search_cues(spark, sf_dir):
-    return E.search(cues(spark, sf_dir), "The").select("media_id", "ix", "src")
+    return E.search(X.join_replies(cues(spark, sf_dir), _replies(spark, sf_dir)), "The").select("media_id", "ix", "src", "tgt")
+
+
+@query(_WITH_CUES + r"""
+l AS (SELECT media_id, ix, length(regexp_replace(src, '\s', '', 'g')) / greatest(0.1, "end" - "start") AS cps, CASE WHEN ix % 2 = 0 THEN 9.0 ELSE 21.0 END AS most FROM cues)
+SELECT media_id, ix, round(cps, 4) AS cps, CAST(most AS DOUBLE) AS most FROM l WHERE cps > most""")
+def fast_by_language(spark, sf_dir):
+    """Even turns as Japanese, odd ones as English: another limit for each."""
+    rows = E.fast_cues(cues(spark, sf_dir), F.when(F.col("ix") % 2 == 0, "ja").otherwise("en"), "src")
+    return rows.select("media_id", "ix", F.round("cps", 4).alias("cps"), F.col("limit").alias("most"))
 
 
 @query("""
@@ -395,13 +430,17 @@ def merge_next(spark, sf_dir):
     return rounded(E.merge_next(rows, rows.filter("ix % 3 = 0")), "start", "end")
 
 
-@query(_WITH_CUES + """
-p AS (SELECT media_id, ix, "start", "end", ix % 2 = 0 AND "end" - "start" >= 0.4 AS cut, ("start" + "end") / 2 AS m FROM cues),
-u AS (SELECT media_id, ix, 0 AS part, "start", CASE WHEN cut THEN m ELSE "end" END AS "end" FROM p UNION ALL SELECT media_id, ix, 1, m, "end" FROM p WHERE cut)
-SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY ix, part) - 1 AS ix, round("start", 6) AS "start", round("end", 6) AS "end" FROM u""")
+@query(_WITH_CUES + r"""
+p AS (SELECT media_id, ix, src, "start", "end", ix % 2 = 0 AND "end" - "start" >= 0.4 AS cut, ("start" + "end") / 2 AS m, length(src) AS n FROM cues),
+g AS (SELECT *, greatest(least(CAST(round(n * ((m - "start") / ("end" - "start"))) AS INTEGER), n - 1), 1) AS goal FROM p),
+k AS (SELECT *, list_min(list_transform(list_filter(range(1, n), lambda i: abs(i - goal) <= n // 4 AND regexp_matches(src[i], '[\s,.!?;:、。，！？]')), lambda i: struct_pack(d := abs(i - goal), i := i))) AS near FROM g),
+c AS (SELECT *, CASE WHEN near IS NULL THEN goal ELSE near.i END AS place FROM k),
+u AS (SELECT media_id, ix, 0 AS part, "start", CASE WHEN cut THEN m ELSE "end" END AS "end", CASE WHEN cut THEN trim(substring(src, 1, CAST(place AS INTEGER))) ELSE src END AS src FROM c
+  UNION ALL SELECT media_id, ix, 1, m, "end", trim(substring(src, CAST(place AS INTEGER) + 1)) FROM c WHERE cut)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY ix, part) - 1 AS ix, round("start", 6) AS "start", round("end", 6) AS "end", src FROM u""")
 def split_cue(spark, sf_dir):
     rows = cues(spark, sf_dir)
-    return rounded(E.split_cues(rows, rows.filter("ix % 2 = 0").select("media_id", "ix", F.lit(-1.0).alias("t"))), "start", "end").select("media_id", "ix", "start", "end")
+    return rounded(E.split_cues(rows, rows.filter("ix % 2 = 0").select("media_id", "ix", F.lit(-1.0).alias("t"))), "start", "end").select("media_id", "ix", "start", "end", "src")
 
 
 @query("""
@@ -437,11 +476,18 @@ def export_srt(spark, sf_dir):
 
 
 @query(_WITH_CUES + r"""
-i AS (SELECT media_id, ix, unnest(list_filter([CASE WHEN trim(src) = '' THEN 'empty' END, CASE WHEN "end" <= "start" THEN 'not_positive' END,
-  CASE WHEN length(regexp_replace(src, '\s', '', 'g')) / greatest(0.1, "end" - "start") > 14.9999 THEN 'fast' END], lambda x: x IS NOT NULL)) AS issue FROM cues)
+b AS (SELECT media_id, ix, src, CASE WHEN ix % 5 = 4 THEN "start" - 30 ELSE "start" END AS "start", CASE WHEN ix % 3 = 0 THEN "end" + 0.5 ELSE "end" END AS "end" FROM cues),
+w AS (SELECT *, max("end") OVER (PARTITION BY media_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached, lag("start") OVER (PARTITION BY media_id ORDER BY ix) AS before FROM b),
+d AS (SELECT media_id, max("end") - 0.75 AS duration FROM cues GROUP BY media_id),
+i AS (SELECT w.media_id, ix, unnest(list_filter([CASE WHEN trim(src) = '' THEN 'empty' END, CASE WHEN "end" <= "start" THEN 'not_positive' END, CASE WHEN "start" < before THEN 'unordered' END,
+  CASE WHEN "start" < reached THEN 'overlap' END, CASE WHEN length(regexp_replace(src, '\s', '', 'g')) / greatest(0.1, "end" - "start") > 14.9999 THEN 'fast' END, CASE WHEN "end" > duration THEN 'beyond_end' END], lambda x: x IS NOT NULL)) AS issue
+  FROM w LEFT JOIN d ON w.media_id = d.media_id)
 SELECT media_id, ix, issue FROM i""")
 def qa_report(spark, sf_dir):
-    return E.qa_report(cues(spark, sf_dir), limit=14.9999).filter("issue NOT IN ('unordered', 'overlap')")
+    """Turns of which some begin too early, some end too late, and the last ones lie beyond a given end."""
+    rows = cues(spark, sf_dir)
+    moved = rows.withColumns({"start": F.when(F.col("ix") % 5 == 4, F.col("start") - 30).otherwise(F.col("start")), "end": F.when(F.col("ix") % 3 == 0, F.col("end") + 0.5).otherwise(F.col("end"))})
+    return E.qa_report(moved, rows.groupBy("media_id").agg((F.max("end") - 0.75).alias("duration")), limit=14.9999)
 
 
 @query()
@@ -449,7 +495,22 @@ def collapse_repeats(spark, sf_dir):
     return X.collapse_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+_BODIES = r"""
+b AS (SELECT *, regexp_replace(regexp_replace(src, '\s+$', ''), '[」』”’")】》〉]+$', '') AS body, row_number() OVER (PARTITION BY media_id ORDER BY ix) AS nth, count(*) OVER (PARTITION BY media_id) AS n FROM cues)"""
+_BATCHES = rf"""
+t AS (SELECT *, right(body, 1) AS tail, lower(regexp_extract(body, '([\p{{L}}.'']+)\.$', 1)) AS word FROM b),
+ends AS (SELECT media_id, nth FROM t WHERE length(body) > 0 AND (tail IN ('。', '！', '？', '!', '?', '…', '‼', '⁉', '؟', '۔', '।', '॥', ';')
+  OR (tail IN ('.', '．') AND (regexp_matches(body, '(\.\.|．．)$') OR NOT (word IN ({_ABBREVIATIONS}) OR (length(word) = 1 AND regexp_matches(word, '\p{{L}}'))))))),
+items AS (SELECT DISTINCT media_id, n FROM b),
+cuts AS (
+  SELECT media_id, n, 0 AS batch, CAST(0 AS BIGINT) AS upto FROM items
+  UNION ALL
+  SELECT c.media_id, c.n, c.batch + 1, CASE WHEN upto + 4 >= n THEN n ELSE coalesce((SELECT e.nth FROM ends e WHERE e.media_id = c.media_id AND e.nth BETWEEN c.upto + 2 AND c.upto + 6 ORDER BY abs(e.nth - c.upto - 4), e.nth DESC LIMIT 1), upto + 4) END
+  FROM cuts c WHERE upto < n
+)"""
+
+
+@query(_WITH_CUES.replace("WITH ", "WITH RECURSIVE ", 1) + _BODIES + "," + _BATCHES + " SELECT b.media_id, b.ix, CAST(min(c.batch) - 1 AS BIGINT) AS batch_ix FROM b JOIN cuts c ON b.media_id = c.media_id AND c.upto >= b.nth GROUP BY 1, 2")
 def plan_batches(spark, sf_dir):
     return X.plan_batches(cues(spark, sf_dir).select("media_id", "ix", "src"), size=4, slack=2)
 
@@ -475,7 +536,7 @@ def subtitle_round_trip(spark, sf_dir):
 
     documents = export_subtitles(cues(spark, sf_dir).withColumn("tgt", F.lit("")), "srt", "src")
     files = documents.select(F.col("media_id").cast("string").alias("path"), F.col("document").cast("binary").alias("content"))
-    found, _ = ingest_subtitles(files, mode="src")
+    found, _ = ingest_subtitles(files, mode="src", checkpoint_dir=_shared(spark))
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
     return found.select("path", "ix", ms("start").alias("start_ms"), ms("end").alias("end_ms"), "src")
 
@@ -483,10 +544,7 @@ def subtitle_round_trip(spark, sf_dir):
 @query(_WITH_CUES + r"t AS (SELECT * FROM cues) SELECT media_id, ix, CASE WHEN regexp_matches(src, '[\p{L}\p{N}]') THEN 'x ' || src ELSE '' END AS tgt, CAST(CASE WHEN regexp_matches(src, '[\p{L}\p{N}]') THEN 1 ELSE 0 END AS INTEGER) AS attempts FROM t")
 def translate_job(spark, sf_dir):
     """The model hook with a stand-in that answers every line."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return X.translate_corpus(cues(spark, sf_dir).select("media_id", "ix", "src"), lambda batch: {x["id"]: "x " + x["src"] for x in batch}, folder).select("media_id", "ix", "tgt", "attempts")
+    return X.translate_corpus(cues(spark, sf_dir).select("media_id", "ix", "src"), lambda batch: {x["id"]: "x " + x["src"] for x in batch}, _shared(spark)).select("media_id", "ix", "tgt", "attempts")
 
 
 @query()
@@ -498,13 +556,13 @@ def wrap_lines(spark, sf_dir):
 
 @query()
 def fuse_transcripts(spark, sf_dir):
-    """Each conversation's whole text spread over its turns."""
+    """The text of eight turns at a time spread over these."""
     from ..operators import align
 
-    rows = cues(spark, sf_dir)
-    whole = rows.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "src"))), lambda x: x["src"]), " ").alias("text"))
-    windows = rows.select("media_id", F.lit(0).cast("long").alias("chunk_ix"), F.col("ix").alias("win_ix"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("src").alias("text"))
-    return align.fuse(whole.withColumn("chunk_ix", F.lit(0).cast("long")), windows)
+    rows = cues(spark, sf_dir).withColumn("chunk_ix", F.floor(F.col("ix") / 8))
+    whole = rows.groupBy("media_id", "chunk_ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "src"))), lambda x: x["src"]), " ").alias("text"))
+    windows = rows.select("media_id", "chunk_ix", F.col("ix").cast("long").alias("win_ix"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("src").alias("text"))
+    return align.fuse(whole, windows)
 
 
 @query()
@@ -514,3 +572,200 @@ def repair_timings(spark, sf_dir):
 
     spoken = cues(spark, sf_dir).select("media_id", "ix", F.col("src").alias("text"), F.col("start").alias("s"), (F.col("start") + 4 * (F.col("end") - F.col("start"))).alias("e"))
     return align.repair_timings(spoken, frames(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS media_id, c_name AS name, max(o_orderdate) AS updated, CASE WHEN c_mktsegment < 'F' THEN 'src' ELSE 'tgt-top' END AS mode, count(o_orderkey) AS n_cues, CAST(coalesce(sum(o_orderkey % 5 + 1), 0) AS BIGINT) * 100 AS bytes
+  FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name, c_mktsegment)
+SELECT media_id, name, updated, mode, n_cues, bytes, media_id % 7 = 0 AS recovered, media_id % 11 = 0 AS broken FROM c""")
+def catalog_list(spark, sf_dir):
+    """Customers as projects, their orders as cues and as files of a hundred bytes by priority."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("media_id"), "o_orderdate", ((F.col("o_orderkey") % 5 + 1) * 100).cast("long").alias("length"))
+    customers = read(spark, sf_dir, "customer").join(orders.groupBy(F.col("media_id").alias("c_custkey")).agg(F.max("o_orderdate").alias("updated")), "c_custkey", "left")
+    projects = customers.select(F.col("c_custkey").alias("media_id"), F.col("c_name").alias("name"), "updated", F.when(F.col("c_mktsegment") < "F", "src").otherwise("tgt-top").alias("mode"), (F.col("c_custkey") % 7 == 0).alias("recovered"), (F.col("c_custkey") % 11 == 0).alias("broken"))
+    return E.catalog_list(projects, orders, orders)
+
+
+@query("SELECT ps AS folder, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT p_brand AS ps, p_size AS size FROM part) GROUP BY ps")
+def folder_bytes(spark, sf_dir):
+    return E.folder_bytes(read(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), F.col("p_size").alias("length")), "folder")
+
+
+@query(_WITH_CUES + """
+k AS (SELECT media_id, CASE WHEN count(*) % 2 = 0 THEN 0.0 ELSE count(*) * 10.0 END AS duration, max("end") AS last FROM cues GROUP BY media_id)
+SELECT media_id, round(CAST(coalesce(nullif(duration, 0.0), last + 1) AS DOUBLE), 6) AS length FROM k""")
+def timeline_length(spark, sf_dir):
+    """Items of an even number of turns have no known duration."""
+    rows = cues(spark, sf_dir)
+    n = F.count("*")
+    return rounded(E.timeline_length(rows, rows.groupBy("media_id").agg(F.when(n % 2 == 0, 0.0).otherwise(n * 10.0).alias("duration"))), "length")
+
+
+@query("""
+WITH f AS (SELECT user_id, event_type, min(event_id) AS first FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, event_type, first, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first, event_type) AS INTEGER) AS nth FROM f""")
+def first_seen(spark, sf_dir):
+    return E.first_seen(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("""
+WITH r AS (SELECT p_brand AS family, p_size AS s, p_size + p_partkey % 3 AS e FROM part WHERE p_brand < 'Brand#4'),
+m AS (SELECT *, max(e) OVER (PARTITION BY family ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
+o AS (SELECT *, sum(CASE WHEN coalesce(s > reached + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY family ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+u AS (SELECT family, island, min(s) AS s, max(e) AS e FROM o GROUP BY 1, 2),
+j AS (SELECT family, string_agg(s || '-' || e, ' ' ORDER BY s) AS ranges FROM u GROUP BY family)
+SELECT face, f.family, ranges FROM (SELECT p_partkey AS face, p_brand AS family FROM part) f LEFT JOIN j ON f.family = j.family""")
+def family_ranges(spark, sf_dir):
+    """Parts as faces of their brand, and as ranges of size: some brands have none."""
+    part = read(spark, sf_dir, "part")
+    ranges = part.filter("p_brand < 'Brand#4'").select(F.col("p_brand").alias("family"), F.col("p_size").alias("s"), (F.col("p_size") + F.col("p_partkey") % 3).alias("e"))
+    found = E.join_ranges(part.select(F.col("p_partkey").alias("face"), F.col("p_brand").alias("family")), ranges, 1.0)
+    return found.select("face", "family", F.array_join(F.transform("ranges", lambda x: F.concat(x["s"].cast("string"), F.lit("-"), x["e"].cast("string"))), " ").alias("ranges"))
+
+
+@query(_WITH_CUES + """
+r AS (SELECT media_id, ix, substring(src, 2) AS text FROM cues WHERE media_id % 3 <> 0 OR ix > 0),
+n AS (SELECT media_id, count(*) AS n FROM cues GROUP BY 1), m AS (SELECT media_id, count(*) AS m FROM r GROUP BY 1),
+z AS (SELECT media_id FROM n JOIN m USING (media_id) WHERE n = m)
+SELECT c.media_id, c.ix, CASE WHEN z.media_id IS NOT NULL THEN substring(src, 2) END AS text, z.media_id IS NOT NULL AS zipped FROM cues c LEFT JOIN z ON c.media_id = z.media_id""")
+def zip_positions(spark, sf_dir):
+    """Turns beside a second list, which lacks the first turn of every third item."""
+    rows = cues(spark, sf_dir).select("media_id", "ix", "src")
+    other = rows.filter("media_id % 3 <> 0 OR ix > 0").select("media_id", "ix", F.expr("substring(src, 2)").alias("text"))
+    return E.zip_positions(rows, other).select("media_id", "ix", "text", "zipped")
+
+
+@query("""
+SELECT n_nationkey, n_name, coalesce(r_name, n_name) AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'even' END AS note FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3""")
+def name_lookup(spark, sf_dir):
+    """Region keys as language codes; two of them aren't listed, so that their nations keep their own names."""
+    listed = read(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("code"), F.col("r_name").alias("name"), F.when(F.col("r_regionkey") % 2 == 0, "even").alias("note"))
+    rows = read(spark, sf_dir, "nation").withColumn("code", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    found = E.with_names(rows, listed, "code")
+    return found.select("n_nationkey", "n_name", F.when(F.col("name") == F.col("code"), F.col("n_name")).otherwise(F.col("name")).alias("name"), "note")
+
+
+@query(r"""
+WITH h AS (SELECT doc_id, substring(coalesce(text, ''), 1, 4000) AS head FROM documents),
+n AS (SELECT doc_id, head, length(head) - length(regexp_replace(head, '[國說時學這們]', '', 'g')) AS n FROM h)
+SELECT doc_id, CASE WHEN regexp_matches(head, '[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}]') THEN CASE WHEN n >= greatest(3.0, length(head) * 0.01) THEN 'Traditional' ELSE 'Simplified' END END AS script FROM n""")
+def chinese_script(spark, sf_dir):
+    return E.chinese_script(read(spark, sf_dir, "documents"), "國說時學這們人", "国说时学这们人").select("doc_id", "script")
+
+
+@query("""
+WITH w AS (SELECT user_id AS media_id, event_type <> 'view' AS todo, value > 50 AS aligned FROM events)
+SELECT media_id, coalesce(round(avg(CASE WHEN todo THEN CAST(aligned AS INTEGER) END), 3), 1.0) AS share FROM w GROUP BY media_id""")
+def alignment_share(spark, sf_dir):
+    """Events as windows: views need no alignment, and those of a value above 50 are aligned."""
+    from ..operators import align
+
+    return align.alignment_share(read(spark, sf_dir, "events").select(F.col("user_id").alias("media_id"), (F.col("event_type") != "view").alias("todo"), (F.col("value") > 50).alias("aligned")))
+
+
+@query(_WITH_CUES + _REPLIES + r""",
+u AS (SELECT media_id, count(*) AS requests, CAST(sum(length(src)) AS BIGINT) AS prompt, CAST(sum(ix) AS BIGINT) AS completion, CAST(0 AS BIGINT) AS cache_hit FROM cues WHERE role = 'user' GROUP BY 1),
+d AS (SELECT c.media_id, count(*) FILTER (WHERE regexp_matches(c.src, '[\p{L}\p{N}]') AND coalesce(r.text, '') = '') AS failed, count(*) FILTER (WHERE c.ix % 4 = 1) AS fixed, count(*) FILTER (WHERE c.ix % 6 = 1) AS skipped
+  FROM cues c LEFT JOIN replies r ON c.media_id = r.media_id AND c.ix = r.ix GROUP BY 1)
+SELECT d.media_id, coalesce(requests, 0) AS requests, coalesce(prompt, 0) AS prompt, coalesce(completion, 0) AS completion, coalesce(cache_hit, 0) AS cache_hit, failed, fixed, skipped FROM d LEFT JOIN u ON d.media_id = u.media_id""")
+def job_totals(spark, sf_dir):
+    """User turns as requests; turns without a reply as failures."""
+    rows = X.join_replies(cues(spark, sf_dir), _replies(spark, sf_dir))
+    rows = rows.withColumns({"src_orig": F.when(F.col("ix") % 4 == 1, F.col("src")), "skipped": F.col("ix") % 6 == 1})
+    calls = cues(spark, sf_dir).filter("role = 'user'").select("media_id", F.length("src").cast("long").alias("prompt"), F.col("ix").cast("long").alias("completion"), F.lit(None).cast("long").alias("cache_hit"))
+    return X.job_totals(calls, rows)
+
+
+@query(_WITH_CUES + "n AS (SELECT media_id, count(*) AS n, max(length(src)) AS longest FROM cues GROUP BY 1) SELECT media_id, ix, CASE WHEN n >= 4 THEN CAST(n AS VARCHAR) END AS lines, CASE WHEN n >= 4 THEN CAST(longest AS VARCHAR) END AS longest FROM cues JOIN n USING (media_id)")
+def analyse_items(spark, sf_dir):
+    """The hook that reads an item as a whole, with a stand-in that fails on short ones."""
+
+    def fn(texts):
+        if len(texts) < 4:
+            raise ValueError("too short")
+        return {"lines": len(texts), "longest": max(map(len, texts)), "other": 1}
+
+    found = X.analyse(cues(spark, sf_dir), fn, ("lines", "longest"))
+    return found.select("media_id", "ix", F.element_at("brief", F.lit("lines")).alias("lines"), F.element_at("brief", F.lit("longest")).alias("longest"))
+
+
+@query(_WITH_CUES + "t AS (SELECT * FROM cues) SELECT media_id, ix AS win_ix, substring(src, 1, 5) AS heard, length(src) AS n FROM t")
+def score_windows(spark, sf_dir):
+    """The hook that hears a window, with a stand-in."""
+    windows = cues(spark, sf_dir).select("media_id", F.col("ix").alias("win_ix"), "src")
+    return X.score_windows(windows, lambda rows: [{"heard": r["src"][:5], "n": len(r["src"])} for r in rows], "heard string, n long").select("media_id", "win_ix", "heard", "n")
+
+
+@query(_WITH_CUES + """
+k AS (SELECT media_id, ix, "start", "end" - 0.25 AS "end", src FROM cues),
+a AS (SELECT media_id, "end" + CASE WHEN ix % 2 = 0 THEN 0.01 ELSE -0.01 END AS t, 'new' AS src FROM k),
+j AS (SELECT a.*, (SELECT max("end") FROM k WHERE k.media_id = a.media_id AND k."start" <= a.t) AS held, (SELECT min("start") FROM k WHERE k.media_id = a.media_id AND k."start" > a.t) AS nxt FROM a),
+n AS (SELECT media_id, t AS "start", least(t + 2.5, nxt - 0.05) AS "end", src FROM j WHERE NOT coalesce(t < held, false) AND least(t + 2.5, coalesce(nxt - 0.05, t + 2.5)) - t >= 0.1),
+u AS (SELECT media_id, ix, "start", "end", src FROM k UNION ALL SELECT media_id, NULL, "start", coalesce("end", "start" + 2.5), src FROM n)
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY "start", "end", ix) - 1 AS ix, round("start", 6) AS "start", round("end", 6) AS "end", src FROM u""")
+def insert_cues(spark, sf_dir):
+    """Turns shortened by a quarter of a second, and a cue asked for just after or before each one's end."""
+    rows = cues(spark, sf_dir).select("media_id", "ix", "start", (F.col("end") - 0.25).alias("end"), "src")
+    asked = rows.select("media_id", (F.col("end") + F.when(F.col("ix") % 2 == 0, 0.01).otherwise(-0.01)).alias("t"), F.lit("new").alias("src"))
+    return rounded(E.insert_at(rows, asked, shortest=0.1), "start", "end")
+
+
+@query(_WITH_CUES + """
+p AS (SELECT media_id, ix, CASE ix % 4 WHEN 0 THEN CAST(ix AS VARCHAR) || ':05.5' WHEN 1 THEN '1:' || ix || ':07' WHEN 2 THEN CAST(ix AS VARCHAR) ELSE '1:x' END AS typed FROM cues)
+SELECT media_id, ix, typed, CAST(CASE ix % 4 WHEN 0 THEN ix * 60 + 5.5 WHEN 1 THEN 3600 + ix * 60 + 7 WHEN 2 THEN ix END AS DOUBLE) AS seconds FROM p""")
+def typed_times(spark, sf_dir):
+    typed = F.when(F.col("ix") % 4 == 0, F.concat(F.col("ix").cast("string"), F.lit(":05.5"))).when(F.col("ix") % 4 == 1, F.concat(F.lit("1:"), F.col("ix").cast("string"), F.lit(":07"))).when(F.col("ix") % 4 == 2, F.col("ix").cast("string")).otherwise("1:x")
+    return cues(spark, sf_dir).select("media_id", "ix", typed.alias("typed")).withColumn("seconds", T.parse_edit_time(F.col("typed")))
+
+
+@query(_WITH_CUES + """
+d AS (SELECT media_id, max("end") AS duration FROM cues GROUP BY media_id),
+s AS (SELECT media_id, least(greatest("end" - 4.5, 0.0), duration) - least(greatest("start" - 4.5, 0.0), duration) AS n FROM cues JOIN d USING (media_id))
+SELECT media_id, count(*) FILTER (WHERE n > 0.05) AS kept, count(*) FILTER (WHERE n <= 0.05) AS dropped FROM s GROUP BY media_id""")
+def shift_counts(spark, sf_dir):
+    rows = cues(spark, sf_dir)
+    return E.shift_counts(rows, -4.5, rows.groupBy("media_id").agg(F.max("end").alias("duration")))
+
+
+@query(ORACLE_SQL["monthly_usage"].replace("GROUP BY 1)\n", "GROUP BY 1),\n").replace("SELECT strftime(o_orderdate", "m AS (SELECT strftime(o_orderdate", 1) + """)
+SELECT month, CAST(requests * 2 AS BIGINT) AS requests, CAST(prompt * 2 AS BIGINT) AS prompt, CAST(completion * 2 AS BIGINT) AS completion, CAST(0 AS BIGINT) AS cache_hit FROM m""")
+def ledger_merge(spark, sf_dir):
+    """A ledger to which its own months are added again."""
+    months = monthly_usage(spark, sf_dir)
+    return E.merge_usage(months, months).select("month", *[F.col(c).cast("long").alias(c) for c in ("requests", "prompt", "completion", "cache_hit")])
+
+
+@query("""
+WITH b AS (SELECT user_id, event_id // 16 AS block_ix, event_id, value / 100 AS v FROM events),
+p AS (SELECT user_id, greatest(max(abs(v)), 1.0) AS peak FROM b GROUP BY 1)
+SELECT b.user_id, block_ix, round(sum(v / peak), 4) AS total, round(max(abs(v) / peak), 4) AS loudest FROM b JOIN p ON b.user_id = p.user_id GROUP BY 1, 2""")
+def peak_rule(spark, sf_dir):
+    """Event values as samples in blocks: a user's are divided by the peak where that is over one."""
+    from ..sources.subtitles import scaled_by_peak
+
+    blocks = read(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 16).alias("block_ix")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: (x["value"] / 100)).alias("x"))
+    found = scaled_by_peak(blocks, "user_id")
+    total = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+    return found.select("user_id", "block_ix", F.round(total, 4).alias("total"), F.round(F.array_max(F.transform("x", lambda v: F.abs(v))).cast("double"), 4).alias("loudest"))
+
+
+@query(_WITH_CUES + r"""
+f AS (SELECT media_id, ix, src, regexp_replace(src, '^(\S{3})(\S)', '\1') AS fix FROM cues WHERE ix % 2 = 0)
+SELECT c.media_id, c.ix, c.src IS NULL AS lost FROM cues c LEFT JOIN f ON c.media_id = f.media_id AND c.ix = f.ix""")
+def proofread_keeps(spark, sf_dir):
+    """Guarded fixes of every other turn: whatever is taken, the text before it is kept."""
+    rows = cues(spark, sf_dir).select("media_id", "ix", "src")
+    fixes = rows.filter("ix % 2 = 0").select("media_id", "ix", F.regexp_replace("src", r"^(\S{3})(\S)", "$1").alias("new"))
+    found = X.apply_fixes(rows, fixes).join(rows.withColumnRenamed("src", "was"), ["media_id", "ix"])
+    return found.select("media_id", "ix", (~F.coalesce("src_orig", "src").eqNullSafe(F.col("was"))).alias("lost"))
+
+
+@query(_WITH_CUES + r"""
+n AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY ix) AS nth, src || ' x' AS src FROM cues),
+b AS (SELECT DISTINCT media_id, (nth - 1) // 2 AS batch_ix FROM n)
+SELECT b.media_id, batch_ix, md5('Rules.' || chr(10) || chr(10) || (SELECT string_agg(src, chr(10) ORDER BY nth) FROM n WHERE n.media_id = b.media_id AND nth BETWEEN batch_ix * 2 + 1 - 2 AND batch_ix * 2 + 2 + 1)
+  || chr(10) || chr(10) || (SELECT string_agg('[' || (nth - batch_ix * 2) || '] ' || src, chr(10) ORDER BY nth) FROM n WHERE n.media_id = b.media_id AND nth BETWEEN batch_ix * 2 + 1 AND batch_ix * 2 + 2)) AS digest FROM b""")
+def prompt_texts(spark, sf_dir):
+    """Prompts of two turns that end no sentence, with two turns before and one after."""
+    rows = cues(spark, sf_dir).select("media_id", "ix", F.concat(F.col("src"), F.lit(" x")).alias("src"))
+    return X.prompts(rows, "Rules.", size=2, before=2, after=1).select("media_id", "batch_ix", F.md5("prompt").alias("digest"))

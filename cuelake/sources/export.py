@@ -56,8 +56,16 @@ def export_subtitles(cues: DataFrame, fmt: str, content: str = "dual", order: st
 
 
 def safe_names(rows: DataFrame, name: str = "name", key: str = "media_id") -> DataFrame:
-    """Adds file_name: forbidden characters replaced, 80 at most, a default for none, and ` (n)` where names clash."""
+    """Adds file_name: forbidden characters replaced, 80 at most, a default for none, and ` (n)` where names clash.
+
+    A number that a given name has already is left out. Equal names are numbered in the order of key, in one window a name.
+    """
     clean = F.substring(F.trim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r'[\\/:*?"<>|\x00-\x1f]', "_")), 1, 80)
     rows = rows.withColumn("__name", F.when(F.length(clean) == 0, "untitled").otherwise(clean))
+    numbered = r"^(.*) \(([0-9]{1,9})\)$"
+    taken = rows.select(F.regexp_extract("__name", numbered, 1).alias("__name"), F.regexp_extract("__name", numbered, 2).try_cast("int").alias("k")).filter("k > 1")
+    taken = taken.groupBy("__name").agg(F.sort_array(F.collect_set("k")).alias("__taken"))
     nth = F.row_number().over(Window.partitionBy("__name").orderBy(key))
-    return rows.withColumn("file_name", F.when(nth > 1, F.concat("__name", F.lit(" ("), nth.cast("string"), F.lit(")"))).otherwise(F.col("__name"))).drop("__name")
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<int>")), F.col("__nth"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    rows = rows.withColumn("__nth", nth).join(taken, "__name", "left")
+    return rows.withColumn("file_name", F.when(F.col("__nth") > 1, F.concat("__name", F.lit(" ("), free.cast("string"), F.lit(")"))).otherwise(F.col("__name"))).drop("__name", "__nth", "__taken")

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as St
@@ -10,68 +17,120 @@ from pyspark.sql import types as St
 from ..functions import text as T
 
 MAX_BYTES = 20_000_000
-# The legacy encodings tried, in this order, and the characters typical of each.
-ENCODINGS = ("big5", "gb18030", "shift_jis", "euc_kr", "cp1251", "cp1252")
-TYPICAL = {
-    "big5": r"[\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]",
-    "gb18030": r"[\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]",
-    "shift_jis": r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FF5E}]",
-    "euc_kr": r"[\x{AC00}-\x{D7AF}\x{3000}-\x{303F}]",
-    "cp1251": r"[\x{0400}-\x{04FF}«»—–…№]",
-    "cp1252": r"[\x{00C0}-\x{00FF}¡¿«»‘’“”–—…]",
-}
+#: The legacy encodings tried. Of equally plausible ones the first is taken: those of two bytes a character before those of
+#: one, and of them the one with the fewest common characters, which a text in another encoding hits least by chance.
+ENCODINGS = ("euc_kr", "shift_jis", "gb18030", "big5", "cp1251", "cp1252")
+# The marks typical of Chinese and Japanese text.
+MARKS = "，。！？、：；「」『』（）…—ー"
+#: First and last lead byte of the part of a double-byte encoding that its standard gives to the characters in common use.
+COMMON_ROWS = {"big5": (0xA4, 0xC6), "gb18030": (0xB0, 0xD7), "shift_jis": (0x88, 0x97)}
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}]"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, content: files of MAX_BYTES at most; larger ones are in no row."""
+    """path, length, content, too_large. Files of more than MAX_BYTES have a row without content, which isn't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") <= MAX_BYTES).select("path", "content")
+    small = files.filter(F.col("length") <= MAX_BYTES).select("path", "length", "content", F.lit(False).alias("too_large"))
+    large = files.filter(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("too_large"))
+    return small.unionByName(large)
+
+
+@cache
+def _common(encoding: str) -> frozenset[str]:
+    """The characters in common use, by the standard's own order, and the marks."""
+    first, last = COMMON_ROWS[encoding]
+    codes = (bytes((lead, trail)).decode(encoding, "ignore") for lead in range(first, last + 1) for trail in range(0x40 if encoding != "gb18030" else 0xA1, 0xFF))
+    return frozenset(c for c in codes if len(c) == 1) | set(MARKS)
+
 
+def plausibility(text: str, encoding: str) -> float:
+    """The share of the characters beyond ASCII that text of the encoding's languages is made of.
 
-def _utf16(content: bytes) -> str | None:
-    """UTF-16 without a mark, told by where the zero bytes of the first 4000 are."""
+    A text in another double-byte encoding reads as characters of all rows, one in its own as common ones. Western text
+    that is read as Cyrillic mixes alphabets in its words, so their share counts against it.
+    """
+    foreign = [c for c in text if c > "\x7f"]
+    if not foreign:
+        return 0.0
+    if encoding in COMMON_ROWS:
+        common = _common(encoding)
+        kana = encoding == "shift_jis"
+        good = sum(c in common or kana and "\u3040" <= c <= "\u30ff" for c in foreign)
+    else:
+        low, high, marks = {"euc_kr": ("가", "힯", ""), "cp1251": ("\u0400", "\u04ff", ""), "cp1252": ("À", "ÿ", "‘’“”–—…€")}[encoding]
+        good = sum(low <= c <= high or c in marks for c in foreign)
+    share = good / len(foreign)
+    if encoding == "cp1251" and (words := regex.findall(r"[A-Za-z\u0400-\u04ff]+", text)):
+        share *= 1 - sum(bool(regex.search("[A-Za-z]", w) and regex.search("[\u0400-\u04ff]", w)) for w in words) / len(words)
+    return share
+
+
+def utf16_without_mark(content: bytes) -> str | None:
+    """UTF-16 told by the zero bytes of its first 4000: three in ten and more on one side, hardly any on the other."""
     head = content[:4000]
-    half = len(head) / 2 or 1
-    even, odd = head[::2].count(0) / half, head[1::2].count(0) / half
-    return "utf-16-le" if odd > 0.3 and even < 0.02 else "utf-16-be" if even > 0.3 and odd < 0.02 else None
+    even, odd = head[::2].count(0), head[1::2].count(0)
+    some, few = 0.3 * len(head), 0.02 * len(head)
+    return "utf-16-le" if odd > some and even < few else "utf-16-be" if even > some and odd < few else None
+
+
+def decoded(content: bytes, forced: str | None = None) -> tuple[str, str]:
+    """Text and encoding: as forced, by mark, by zero bytes, as UTF-8, else as the legacy encoding that reads most plausibly, earlier ones first."""
+    if forced:
+        return content.decode(forced, "replace"), forced
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if content.startswith(mark):
+            return content[len(mark) :].decode(name, "replace"), name
+    if sure := utf16_without_mark(content):
+        return content.decode(sure, "replace"), sure
+    best: tuple[float, str, str] | None = None
+    for nth, name in enumerate(("utf-8", *ENCODINGS)):
+        try:
+            text = content.decode(name)
+        except UnicodeDecodeError:
+            continue
+        if not nth:
+            return text, name
+        score = plausibility(text, name) - 0.001 * nth
+        if best is None or score > best[0]:
+            best = score, text, name
+    return best[1:] if best else (content.decode("cp1252", "replace"), "cp1252")
 
 
 def decode(files: DataFrame, forced: str | None = None) -> DataFrame:
-    """path, text, encoding: by mark, by zero bytes, as UTF-8, else the legacy encoding that reads most like its script.
+    """files: path, content. path, text, encoding: a file is decoded and judged in its row, and content goes no further. Files without content have no row."""
+
+    @F.pandas_udf("struct<text:string,encoding:string>")
+    def read(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decoded(bytes(x), forced) for x in contents], columns=["text", "encoding"])
+
+    found = files.filter(F.col("content").isNotNull()).select("path", read("content").alias("c"))
+    return found.select("path", F.regexp_replace(F.regexp_replace("c.text", "^\\x{FEFF}", ""), "\r\n?", "\n").alias("text"), "c.encoding")
+
 
-    Bytes are decoded in Arrow batches, strictly; candidates are scored and ranked natively, and content goes no further.
+def read_pcm(spark: SparkSession, path: str, block: int = 16_000, pattern: str = "*.f32") -> DataFrame:
+    """path, block_ix, x (array of floats, one block): raw 32-bit little-endian samples. A recording whose peak is over 1 is divided by it.
+
+    Files are cut where they are read; a peak is an aggregate over blocks. Bytes after the last whole sample are left out, and an empty file has no row.
     """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column(1)[i].as_buffer()
+                samples = np.frombuffer(data, dtype="<f4", count=len(data) // 4)
+                for k in range(0, len(samples), block):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([k // block], pa.int64()), pa.array([samples[k : k + block]], pa.list_(pa.float32()))], ["path", "block_ix", "x"])
+
+    blocks = files.mapInArrow(cut, "path string, block_ix long, x array<float>")
+    return scaled_by_peak(blocks)
+
 
-    @F.pandas_udf("array<struct<rank:int,encoding:string,text:string>>")
-    def candidates(contents: pd.Series) -> pd.Series:
-        def one(data: bytes) -> list[tuple[int, str, str]]:
-            for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
-                if not forced and data.startswith(mark):
-                    return [(0, name, data[len(mark) :].decode(name, "replace"))]
-            if sure := forced or _utf16(data):
-                return [(0, sure, data.decode(sure, "replace"))]
-            found = []
-            for rank, name in enumerate(("utf-8", *ENCODINGS)):
-                try:
-                    found.append((rank, name, data.decode(name)))
-                except UnicodeDecodeError:
-                    continue
-                if rank == 0:
-                    return found
-            return found or [(len(ENCODINGS), "cp1252", data.decode("cp1252", "replace"))]
-
-        return contents.map(lambda x: [dict(zip(("rank", "encoding", "text"), c, strict=True)) for c in one(bytes(x))])
-
-    each = files.select("path", F.explode(candidates("content")).alias("c")).select("path", "c.*")
-    foreign = F.regexp_count("text", F.lit(r"[^\x00-\x7F]"))
-    typical = F.lit(0.0)
-    for name, script in TYPICAL.items():
-        typical = F.when(F.col("encoding") == name, F.regexp_count("text", F.lit(script)) / F.greatest(foreign, F.lit(1))).otherwise(typical)
-    mixed = F.regexp_count("text", F.lit(r"[A-Za-z][\x{0400}-\x{04FF}]|[\x{0400}-\x{04FF}][A-Za-z]")) / F.greatest(F.regexp_count("text", F.lit(r"[\x{0400}-\x{04FF}]+")), F.lit(1))
-    score = F.when(F.col("encoding") == "cp1251", typical * (1 - F.least(F.lit(1.0), mixed))).otherwise(typical) - 0.001 * F.col("rank")
-    best = F.row_number().over(Window.partitionBy("path").orderBy(score.desc(), "rank"))
-    return each.withColumn("nth", best).filter("nth = 1").select("path", F.regexp_replace(F.regexp_replace("text", "^\\x{FEFF}", ""), "\r\n?", "\n").alias("text"), "encoding")
+def scaled_by_peak(blocks: DataFrame, key: str = "path") -> DataFrame:
+    """key, block_ix, x: the samples of each key over its peak, where that is over 1."""
+    peak = blocks.groupBy(key).agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v)))).alias("peak"))
+    over = F.greatest(F.col("peak"), F.lit(1.0).cast("float"))
+    return blocks.join(peak, key).select(key, "block_ix", F.transform("x", lambda v: (v / over).cast("float")).alias("x"))
 
 
 def with_format(texts: DataFrame) -> DataFrame:
@@ -172,9 +231,9 @@ def guess_modes(cues: DataFrame, target_is_cjk: bool) -> DataFrame:
     return stats.select("path", F.when(F.col("pairs"), "tgt-top").when(F.col("share") >= 0.5, dual).otherwise("src").alias("mode"))
 
 
-def assign_languages(cues: DataFrame, modes: DataFrame) -> DataFrame:
-    """Adds src and tgt by the file's mode: src, tgt, tgt-top or src-top. Tagged cues keep their tags."""
-    rows = cues.join(modes, "path")
+def assign_languages(cues: DataFrame, modes: DataFrame | str) -> DataFrame:
+    """Adds src and tgt by the file's mode, or by one mode for all: src, tgt, tgt-top or src-top. Tagged cues keep their tags."""
+    rows = cues.withColumn("mode", F.lit(modes)) if isinstance(modes, str) else cues.join(modes, "path")
     top, bottom = _split_dual(F.col("lines"))
     whole = T.join_lines(F.col("lines"))
     tag = lambda k: F.coalesce(F.element_at("tagged", F.lit(k)), F.lit(""))
@@ -184,12 +243,23 @@ def assign_languages(cues: DataFrame, modes: DataFrame) -> DataFrame:
     return rows.select("path", "ix", "start", "end", src.alias("src"), tgt.alias("tgt"))
 
 
-def ingest_subtitles(files: DataFrame, target_is_cjk: bool = True, mode: str | None = None, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """files: path, content. Returns cues (path, ix, start, end, src, tgt) and statistics per file."""
-    texts = with_format(decode(files, encoding))
-    cues, stats = normalise(parse_blocks(texts).unionByName(parse_ass(texts)))
-    modes = cues.select("path").distinct().withColumn("mode", F.lit(mode)) if mode else guess_modes(cues, target_is_cjk)
-    return assign_languages(cues, modes), stats
+def ingest_subtitles(files: DataFrame, target_is_cjk: bool = True, mode: str | None = None, encoding: str | None = None, checkpoint_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """files: path, content. Returns cues (path, ix, start, end, src, tgt) and statistics per file.
+
+    With checkpoint_dir, a folder that all executors share, decoded texts and scanned cues are written there once and read by
+    all that follows; without it each of these decodes again.
+    """
+
+    def once(df: DataFrame) -> DataFrame:
+        if checkpoint_dir is None:
+            return df
+        path = f"{checkpoint_dir}/ingest-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    texts = once(with_format(decode(files, encoding)))
+    cues, stats = normalise(once(parse_blocks(texts).unionByName(parse_ass(texts))))
+    return assign_languages(cues, mode or guess_modes(cues, target_is_cjk)), stats
 
 
 def parse_glossary(lines: DataFrame, column: str = "value") -> DataFrame:
