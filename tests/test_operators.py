@@ -151,7 +151,7 @@ def test_vocal_cues():
     assert tidy((0, 0.2, "あっ"), (5, 5.2, "はい")) == [(5, 5.2, "はい")]
     assert tidy((0, 0.2, "uh"), (0.3, 2, "what is it")) == [(0, 2, "uh what is it")]
     assert tidy((0, 2, "what is it"), (2.1, 2.3, "uh"), (2.5, 4, "well")) == [(0, 2.3, "what is it uh"), (2.5, 4, "well")]
-    assert tidy((0, 1, "ah,"), (1.1, 2, "Ah"), (2.1, 3, "ah"), (9, 10, "so")) == [(0, 3, "ah, Ah"), (9, 10, "so")]
+    assert tidy((0, 1, "ah,"), (1.1, 2, "Ah"), (2.1, 3, "ah"), (9, 10, "so")) == [(0, 3, "ah, Ah ah"), (9, 10, "so")]
     assert [cues.is_vocal(x) for x in ("oh, ah!", "ohm", "啊啊", "ah 3", "...", "mm 嗯", "a")] == [True, False, True, False, False, True, False]
     assert [cues.is_answer(x) for x in ("はいっ", "oh, yes!", "yesterday", "OK", "嗯")] == [True, True, False, True, True]
     assert cues.compressed("ah, ah, ah, ah, ah, ah") == "ah, ah, ah, ah…" and cues.compressed("ah, ah, ah, ah, ah") == "ah, ah, ah, ah, ah"
