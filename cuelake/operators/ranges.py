@@ -31,17 +31,29 @@ def neighbours(points: DataFrame, cues: DataFrame) -> DataFrame:
     return rows.filter("kind <> 0").groupBy("media_id", "point_id").agg(F.max(F.when(F.col("kind") == 1, F.col("next"))).alias("next_ix"), F.max(F.when(F.col("kind") == -1, F.col("prev"))).alias("prev_ix"))
 
 
+#: A level of buckets is so many times as coarse as the one before; there are LEVELS of them.
+COARSER, LEVELS = 64, 3
+
+
 def overlaps(a: DataFrame, b: DataFrame, bucket: float = 20.0) -> DataFrame:
     """a: media_id, a_ix, s, e. b: media_id, b_ix, s, e. One row per overlapping pair (e > s and s < e), clipped to the overlap.
 
-    Both sides go to every bucket of time that they touch; a pair is reported in the bucket where its overlap begins,
-    so no pair is made twice and no join is without an equality. The bucket is about the usual interval's length.
+    An interval has the level of the first buckets that are as long as itself, so it touches two of them, and is listed
+    there and at the coarser levels. A pair meets at the coarser of its two levels, in the bucket where its overlap begins:
+    no pair is made twice, no join is without an equality, and a long interval is a few rows. The finest bucket is about
+    the usual interval's length.
     """
-    span = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bucket).cast("long"), F.floor(F.col(e) / bucket).cast("long")))
-    left = a.select("media_id", "a_ix", F.col("s").alias("a_s"), F.col("e").alias("a_e"), span("s", "e").alias("bucket"))
-    right = b.select("media_id", "b_ix", F.col("s").alias("b_s"), F.col("e").alias("b_e"), span("s", "e").alias("bucket"))
-    pairs = left.join(right, ["media_id", "bucket"]).filter("a_e > b_s AND a_s < b_e")
-    first = F.floor(F.greatest("a_s", "b_s") / bucket) == F.col("bucket")
+
+    def placed(of: DataFrame, ix: str, side: str) -> DataFrame:
+        length = F.col("e") - F.col("s")
+        own = sum(((length > bucket * COARSER**k).cast("int") for k in range(LEVELS - 1)), F.lit(0))
+        rows = of.select("media_id", ix, F.col("s").alias(f"{side}_s"), F.col("e").alias(f"{side}_e"), own.alias(f"{side}_level"))
+        rows = rows.withColumn("level", F.explode(F.sequence(F.col(f"{side}_level"), F.lit(LEVELS - 1))))
+        at = lambda c: F.floor(F.col(c) / (bucket * F.pow(F.lit(float(COARSER)), F.col("level")))).cast("long")
+        return rows.withColumn("bucket", F.explode(F.sequence(at(f"{side}_s"), at(f"{side}_e"))))
+
+    pairs = placed(a, "a_ix", "a").join(placed(b, "b_ix", "b"), ["media_id", "level", "bucket"]).filter("a_e > b_s AND a_s < b_e AND greatest(a_level, b_level) = level")
+    first = F.floor(F.greatest("a_s", "b_s") / (bucket * F.pow(F.lit(float(COARSER)), F.col("level")))) == F.col("bucket")
     return pairs.filter(first).select("media_id", "a_ix", "b_ix", F.greatest("a_s", "b_s").alias("s"), F.least("a_e", "b_e").alias("e"))
 
 

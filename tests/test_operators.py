@@ -181,7 +181,7 @@ def test_best_breaks():
 
 def test_intervals(spark):
     rng = random.Random(2)
-    make = lambda n: [("m", i, s := rng.uniform(0, 100), s + rng.choice([0.5, 5, 50])) for i in range(n)]
+    make = lambda n: [("m", i, s := rng.uniform(0, 100), s + rng.choice([0.5, 5, 50, 5000, 4e5])) for i in range(n)]
     a, b = make(40), make(40)
     got = ranges.overlaps(spark.createDataFrame(a, "media_id string, a_ix long, s double, e double"), spark.createDataFrame(b, "media_id string, b_ix long, s double, e double"), 7.0)
     want = {(x[1], y[1]) for x in a for y in b if x[3] > y[2] and x[2] < y[3]}
