@@ -248,6 +248,10 @@ def decode_tokens(encoded: DataFrame, id_col: str = "doc_id", tokenizer: str | N
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids' bytes), decoded_sha256 (of the decoded text in UTF-8): one row per row of docs.
+
+    A null text is an empty one: no tokens, and the digests of nothing. Repeated rows give repeated results, an empty table none.
+    """
     both = decode_tokens(encode_texts(docs))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read_table, words_of
+from .common import let, materialize, read_table, words_of
 
 #: Words in a window of the repeated-words measurement.
 WINDOW = 8
@@ -109,7 +109,7 @@ def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text"
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judge(ledger(read_table(spark, sf_dir, "documents")))
+    rows = judge(materialize(ledger(read_table(spark, sf_dir, "documents")), "quality-ledger"))
     base = F.col("failed_rules").bitwiseAND(F.lit(mask_of("base"))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "failed_rules")
 
