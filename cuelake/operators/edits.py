@@ -241,6 +241,11 @@ def search(cues: DataFrame, query: str) -> DataFrame:
     return cues if not query else cues.filter(holds("src") | holds("tgt") if "tgt" in cues.columns else holds("src"))
 
 
+def preview(cues: DataFrame, n: int = 8) -> DataFrame:
+    """The first n cues of each item."""
+    return cues.withColumn("__nth", F.row_number().over(_item())).filter(F.col("__nth") <= n).drop("__nth")
+
+
 def fast_cues(cues: DataFrame, lang: Column, text: str = "tgt") -> DataFrame:
     """Cues that are read faster than their language allows, with cps and limit."""
     rows = cues.withColumns({"cps": T.reading_speed(F.coalesce(text, F.lit("")), F.col("start"), F.col("end")), "limit": T.reading_limit(lang)})

@@ -769,3 +769,25 @@ def prompt_texts(spark, sf_dir):
     """Prompts of two turns that end no sentence, with two turns before and one after."""
     rows = cues(spark, sf_dir).select("media_id", "ix", F.concat(F.col("src"), F.lit(" x")).alias("src"))
     return X.prompts(rows, "Rules.", size=2, before=2, after=1).select("media_id", "batch_ix", F.md5("prompt").alias("digest"))
+
+
+@query(_WITH_CUES + "r AS (SELECT media_id, ix, row_number() OVER (PARTITION BY media_id ORDER BY ix) AS nth FROM cues) SELECT media_id, ix FROM r WHERE nth <= 8")
+def preview_cues(spark, sf_dir):
+    return E.preview(cues(spark, sf_dir)).select("media_id", "ix")
+
+
+@query(_WITH_CUES + r"""
+q AS (SELECT media_id, ix AS win_ix, src, "start" AS s, "end" AS e, "start" + CAST(0.3 AS DOUBLE) * ("end" - "start") AS e1, "start" + CAST(0.5 AS DOUBLE) * ("end" - "start") AS s2 FROM cues),
+w AS (SELECT *, unnest(list) AS text, unnest(range(len(list))) AS ix FROM (SELECT *, regexp_extract_all(src, '\S+\s*') AS list FROM q)),
+k AS (SELECT *, greatest(1, length(regexp_replace(text, '[^\p{L}\p{N}'']', '', 'g'))) AS n FROM w),
+t AS (SELECT *, sum(n) OVER (PARTITION BY media_id, win_ix ORDER BY ix ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY media_id, win_ix) AS total, (e1 - s) + (e - s2) AS len FROM k),
+p AS (SELECT *, (upto - n) * len / total AS p0, upto * len / total AS p1 FROM t)
+SELECT media_id, win_ix, ix, text, round(CASE WHEN p0 >= e1 - s THEN s2 + p0 - (e1 - s) ELSE s + p0 END, 4) AS s, round(CASE WHEN p1 > e1 - s THEN least(e, s2 + p1 - (e1 - s)) ELSE least(e1, s + p1) END, 4) AS e FROM p""")
+def region_timing(spark, sf_dir):
+    """Turns as windows in which three tenths, and then the second half, are speech."""
+    rows = cues(spark, sf_dir).filter(F.col("end") > F.col("start"))
+    windows = rows.select("media_id", F.col("ix").alias("win_ix"), F.col("src").alias("text"), F.col("start").alias("s"), F.col("end").alias("e"))
+    at = lambda share: F.col("s") + F.lit(share) * (F.col("e") - F.col("s"))
+    parts = F.explode(F.array(F.struct((F.col("win_ix") * 2).alias("region_ix"), F.col("s"), at(0.3).alias("e")), F.struct((F.col("win_ix") * 2 + 1).alias("region_ix"), at(0.5).alias("s"), F.col("e"))))
+    found = C.words_in_regions(windows, windows.select("media_id", parts.alias("x")).select("media_id", "x.*"))
+    return found.select("media_id", "win_ix", "ix", "text", F.round("s", 4).alias("s"), F.round("e", 4).alias("e"))
