@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 3
 #: Rows of one side of a block pair, and up to how many pairs a member a key's pairs are listed. They change no result.
 BLOCK_ROWS, LISTED = 256, 8
+#: Up to this many candidate pairs they are broadcast to the sets; beyond it, sets are joined by shuffle.
+BROADCAST_PAIRS = 200_000
 #: Rounds in which the members of a key are compared with one of them. It changes no result.
 STARS = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +66,10 @@ def _similar(a: Column, b: Column, similarity: float) -> Column:
     return F.when(small >= similarity * large, both >= similarity * (small + large - both)).otherwise(False)
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_PAIRS else rows
+
+
 def _block_links(table: pa.Table, similarity: float) -> pa.Table:
     """Links between members outside the largest component (left) and members in general, one block each: those that join what is similar."""
     left = table.column("left").to_numpy()
@@ -116,10 +122,13 @@ def links(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity:
     sets = materialize(fetch(wanted.distinct()).select("hash", "shingles"), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+        # only the sets that a pair names move
+        pairs = materialize(pairs.distinct(), "pairs")
+        left = sets.toDF("a", "set_a").join(sent(pairs.select("a").distinct()), "a")
+        both = sets.toDF("b", "set_b").join(sent(pairs), "b").join(left, "a")
         return both.filter(_similar(F.col("set_a"), F.col("set_b"), similarity)).select("a", "b")
 
-    found = materialize(verified(star.distinct()), "star-links")
+    found = materialize(verified(star), "star-links")
     n, inside = F.col("n"), F.col("major")["n"]
     for nth in range(1, stars + 1):
         labelled = members.select("key", "hash").join(connected(found).toDF("hash", "root"), "hash", "left").select("key", "hash", F.coalesce("root", "hash").alias("label"))
@@ -136,7 +145,7 @@ def links(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity:
         if nth < stars:
             leaders = rest.filter("NOT few AND label <> major").groupBy("key").agg(F.min(F.struct(F.xxhash64("hash", F.lit(nth)).alias("rank"), "hash", "label")).alias("leader"))
             star = rest.join(leaders, "key").filter(F.col("label") != F.col("leader.label")).select(F.col("leader.hash").alias("a"), F.col("hash").alias("b"))
-            found = materialize(found.unionByName(verified(star.distinct())), "star-links")
+            found = materialize(found.unionByName(verified(star)), "star-links")
 
     block = lambda of: F.pmod(F.xxhash64("hash"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -147,7 +156,7 @@ def links(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity:
     left = many.filter("label <> major").select("key", "hash", "label", "shingles", F.lit(True).alias("left"), block("outside_blocks").alias("i"), every("blocks").alias("j"))
     right = many.select("key", "hash", "label", "shingles", F.lit(False).alias("left"), every("outside_blocks").alias("i"), block("blocks").alias("j"))
     dealt = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(lambda table: _block_links(table, similarity), "a long, b long")
-    return found.unionByName(verified(pair.distinct())).unionByName(dealt)
+    return found.unionByName(verified(pair)).unionByName(dealt)
 
 
 def _set_of(text: bytes | None) -> tuple[np.ndarray, bool]:
@@ -196,8 +205,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                 found = [_set_of(raw.as_py())[0].view(np.int64) for raw in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["hash", "shingles"])
 
-        at = nodes.join(hashes, "hash").select("hash", F.col("first")["id"].alias("at_id"), F.col("first")["text_hash"].alias("at_hash"))
-        found = source.join(at, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
+        at = materialize(nodes.join(hashes, "hash").select("hash", F.col("first")["id"].alias("at_id"), F.col("first")["text_hash"].alias("at_hash")), "wanted-texts")
+        found = source.join(sent(at), F.col("id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
         return found.select("hash", "text").mapInArrow(sets, "hash long, shingles array<long>").dropDuplicates(["hash"])
 
     # of one fingerprint the least set stands for all, and each of them is a candidate with it
