@@ -183,8 +183,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     candidates = materialize(terms.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).filter(F.col("n") >= support).select("term", "most"), "candidate-terms")
     # every copy of a text counts by its share of the copies, so that the text counts once
     copies = materialize(found.filter("n > 1").select("text_hash", "n"), "copied-texts")
-    every = docs.select(text_hash, F.explode(_terms(_text(text_col))).alias("term"))
-    of_term = every.join(_sent(candidates), "term").join(_sent(copies), "text_hash", "left").groupBy("term").agg(F.max("most").alias("most"), F.round(F.sum(1 / F.coalesce("n", F.lit(1)))).alias("df_term"))
+    every = docs.select(text_hash, _terms(_text(text_col)).alias("terms")).join(_sent(copies), "text_hash", "left").select(F.explode("terms").alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("part"))
+    # counted before they are joined: what moves is a row a term and task
+    of_term = every.groupBy("term").agg(F.round(F.sum("part")).alias("df_term")).join(_sent(candidates), "term")
     bound = lambda df: F.pow(F.lit(total), F.lit(1 - GENERALISE)) * F.pow(df.cast("double"), F.lit(GENERALISE)) * 1.000001
     rare = materialize(of_term.filter(F.col("df_term") <= bound(F.col("most"))).select("term", "df_term"), "rare-terms")
     met = terms.select("text_hash", "term").join(_sent(rare), "term").join(shared, "text_hash").filter(F.col("df_term") <= bound(F.col("df_entity")))
