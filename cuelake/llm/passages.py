@@ -153,7 +153,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed stretches of repeated_passages() cut out of the texts; a null text stays null."""
+    """docs with the removed stretches of repeated_passages() cut out of the texts; a null text stays null.
+
+    Equal rows are cut alike. A stretch is known by id and words alone, so rows that share an id must share their text;
+    what lies beyond the end of a text cuts nothing.
+    """
     spans = passages.filter("removed").groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
 
     @F.pandas_udf("string")
@@ -163,7 +167,7 @@ def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
                 return text
             words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
             out, at = [], 0
-            for s in found:
+            for s in (x for x in found if x["stop"] <= len(words)):
                 out.append(text[at : max(at, words[s["start"]][0])])
                 at = max(at, words[s["stop"] - 1][1])
             return "".join([*out, text[at:]])
