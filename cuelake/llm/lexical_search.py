@@ -91,8 +91,8 @@ class Shard:
         known, first = np.unique(run_term, return_index=True)
         self.runs = dict(zip(known.tolist(), zip(first.tolist(), np.append(first[1:], len(run_term)).tolist(), strict=True), strict=True))
 
-    def best(self, weights: list[tuple[int, int]], top: int) -> list[tuple[int, int]]:
-        """The top (score, id) of a query given as (term, weight) pairs, best first, equal scores by id."""
+    def best(self, weights: list[tuple[int, int]], top: int, first: int) -> list[tuple[int, int]]:
+        """The top (score, id) of a query given as (term, weight) pairs, best first, equal scores by id; first: documents of the first visit."""
         spans = [(*self.runs[t], w) for t, w in weights if t in self.runs]
         if not spans:
             return []
@@ -105,7 +105,7 @@ class Shard:
         order = order[bound[order] > 0]
         reached = np.cumsum(self.documents[order])
         visit = np.full(len(self.m), -1)
-        visit[order] = np.searchsorted(FIRST_VISIT * 4 ** np.arange(16), reached)
+        visit[order] = np.searchsorted(first * 4 ** np.arange(16), reached)
         found_score, found_doc = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for k in np.unique(visit[order]).tolist():
             now = visit == k
@@ -129,7 +129,7 @@ class Shard:
         return [(s, i) for s, i in zip(found_score.tolist(), self.ids[found_doc].tolist(), strict=True) if s > 0]
 
 
-def _ranked(batches: Iterator[pa.RecordBatch], queries: Broadcast, top: int) -> Iterator[pa.RecordBatch]:
+def _ranked(batches: Iterator[pa.RecordBatch], queries: Broadcast, top: int, first: int, most: int) -> Iterator[pa.RecordBatch]:
     """Each query's best documents among the rows of a partition, which are strata one after the other, in shards of bounded size."""
     held: list[pa.RecordBatch] = []
     documents = postings = 0
@@ -137,19 +137,19 @@ def _ranked(batches: Iterator[pa.RecordBatch], queries: Broadcast, top: int) ->
         held.append(batch)
         documents += batch.num_rows
         postings += len(batch.column(2).flatten())
-        if documents >= SHARD_DOCUMENTS or postings >= SHARD_POSTINGS:
-            yield _best_of(held, queries.value, top)
+        if documents >= most or postings >= SHARD_POSTINGS:
+            yield _best_of(held, queries.value, top, first)
             held, documents, postings = [], 0, 0
     if held:
-        yield _best_of(held, queries.value, top)
+        yield _best_of(held, queries.value, top, first)
 
 
-def _best_of(batches: list[pa.RecordBatch], queries: list[tuple[int, list[tuple[int, int]]]], top: int) -> pa.RecordBatch:
+def _best_of(batches: list[pa.RecordBatch], queries: list[tuple[int, list[tuple[int, int]]]], top: int, first: int) -> pa.RecordBatch:
     table = pa.Table.from_batches(batches)
     column = lambda k: table.column(k).combine_chunks()
     lists, numbers = column(2), lambda x: x.to_numpy(zero_copy_only=False)
     shard = Shard(numbers(column(0)), numbers(column(1)), np.diff(numbers(lists.offsets)), numbers(lists.flatten()).astype(np.int64), numbers(column(3).flatten()))
-    rows = [(q, score, doc) for q, weights in queries for score, doc in shard.best(weights, top)]
+    rows = [(q, score, doc) for q, weights in queries for score, doc in shard.best(weights, top, first)]
     columns = zip(*rows, strict=True) if rows else ([], [], [])
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "score", "doc_id"])
 
@@ -175,7 +175,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         stratum = F.expr(f"25 + (75 * n * {total}L) div {max(length, 1)}L")
         parts = max(1, min(-(-total // SHARD_DOCUMENTS) * 2, 100_000), min(total // 2_000, spark.sparkContext.defaultParallelism))
         strata = rows.filter("id is not null and size(terms) > 0").select("id", stratum.alias("m"), "terms", "tfs").repartitionByRange(parts, "m", F.xxhash64("id")).sortWithinPartitions("m")
-        best = strata.mapInArrow(lambda batches, queries=queries: _ranked(batches, queries, top), "query long, score long, doc_id long")
+        best = strata.mapInArrow(lambda batches, queries=queries, first=FIRST_VISIT, most=SHARD_DOCUMENTS: _ranked(batches, queries, top, first, most), "query long, score long, doc_id long")
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= top)
         names = spark.createDataFrame([(q, item) for q, (item, _) in enumerate(block)], f"query long, item_id {items.schema[item_col].dataType.simpleString()}")
         found = materialize(ranked.join(names, "query").select("item_id", "rank", "doc_id", "score"), "ranked")

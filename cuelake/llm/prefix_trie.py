@@ -77,11 +77,11 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return out.select("conv", "position", "block", "t1", "t2", "size", "k1", "k2", F.col("k1").bitwiseXOR(F.col("x1")).alias("p1"), F.col("k2").bitwiseXOR(F.col("x2")).alias("p2"), "last")
 
 
-def _walk(shard: pa.Table) -> pa.Table:
+def _walk(shard: pa.Table, bits: int, span: int) -> pa.Table:
     """The nodes of one shard: its conversations' index of bitsets, walked depth first."""
     cols = shard.to_pydict()
-    number, low = cols["shard"][0], cols["shard"][0] << SHARD_BITS
-    first = cols["block"][0] * SPAN
+    number, low = cols["shard"][0], cols["shard"][0] << bits
+    first = cols["block"][0] * span
     postings: dict[tuple[int, int, int], int] = {}
     row_at: dict[tuple[int, int], int] = {}
     ends_at: dict[int, int] = {}
@@ -108,7 +108,7 @@ def _walk(shard: pa.Table) -> pa.Table:
         stack = [(first, note(0, members, (0, 0), (None, None), 0) if first == 0 else members)]
         while stack:
             depth, open_ = stack.pop()
-            while open_ and depth < first + SPAN:
+            while open_ and depth < first + span:
                 i = row_at[depth + 1, (open_ & -open_).bit_length() - 1]
                 child = open_ & postings[depth + 1, cols["t1"][i], cols["t2"][i]]
                 goes_on = note(depth + 1, child, (cols["k1"][i], cols["k2"][i]), (cols["p1"][i], cols["p2"][i]), cols["size"][i])
@@ -120,7 +120,7 @@ def _walk(shard: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def _end_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _end_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """SHA-256 of each node's ends, whose bitsets arrive by node and shard in order: one hash is open at a time."""
     key, digest, comma = None, None, b""
     for batch in batches:
@@ -130,7 +130,7 @@ def _end_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is not None:
                     done.append((*key, digest.hexdigest()))
                 key, digest, comma = (depth, k1, k2), hashlib.sha256(), b""
-            bits, low = int.from_bytes(ends, "little"), shard << SHARD_BITS
+            bits, low = int.from_bytes(ends, "little"), shard << width
             while bits:
                 bit = bits & -bits
                 digest.update(comma + str(low + bit.bit_length() - 1).encode())
@@ -161,7 +161,8 @@ def trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
     own = materialize(numbered(turns), "turns")
     paths = materialize(prefixes(rebuilt(own)), "paths")
-    found = paths.withColumn("shard", F.shiftright("conv", SHARD_BITS)).groupBy("shard", "block").applyInArrow(_walk, _NODE)
+    bits, span = SHARD_BITS, SPAN
+    found = paths.withColumn("shard", F.shiftright("conv", SHARD_BITS)).groupBy("shard", "block").applyInArrow(lambda shard: _walk(shard, bits, span), _NODE)
     parts = materialize(found, "trie-shards")
     nodes = parts.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("n_ends").alias("n_ends"), F.first("size").alias("size"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
     nodes = nodes.withColumns({"saved": (F.col("n_convs") - 1) * F.col("size"), "leaf": (F.col("n_ends") == F.col("n_convs")).cast("long")})
@@ -190,7 +191,7 @@ def _report(nodes: DataFrame, paths: DataFrame, parts: DataFrame) -> DataFrame:
     totals = nodes.groupBy("conv_id").agg(F.sum("saved").alias("saved"), F.sum("leaf").alias("leaf"))
     members = paths.filter("position > 0").join(totals.withColumnRenamed("conv_id", "conv"), "conv").groupBy(F.col("position").alias("depth"), "k1", "k2").agg(F.sum("saved").alias("saved"), F.sum("leaf").alias("leaf"))
     root = nodes.groupBy().agg(F.sum("saved").alias("saved"), F.sum("leaf").alias("leaf")).filter("leaf is not null").select(*[F.lit(0).cast("long").alias(k) for k in KEY], "saved", "leaf")
-    hashed = parts.filter("ends is not null").select(*KEY, "shard", "ends").repartition("k1", "k2").sortWithinPartitions(*KEY, "shard").mapInArrow(_end_hashes, "depth long, k1 long, k2 long, sha string")
+    hashed = parts.filter("ends is not null").select(*KEY, "shard", "ends").repartition("k1", "k2").sortWithinPartitions(*KEY, "shard").mapInArrow(lambda batches, bits=SHARD_BITS: _end_hashes(batches, bits), "depth long, k1 long, k2 long, sha string")
 
     sums = ("conv_id", "n_convs", "saved", "leaf", "children")
 
