@@ -26,7 +26,7 @@ from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, twice at most; the longest one that it remembers; pairs of the table.
-CACHE_WORDS, CACHE_LENGTH, CACHE_PAIRS = 120_000, 40, 200_000
+CACHE_WORDS, CACHE_LENGTH, CACHE_PAIRS = 50_000, 40, 80_000
 #: Rows handed back to Spark at once: bounds what a worker holds beside the batch that it reads.
 ROWS_OUT = 500
 #: Added to the code of a piece's last character: it carries the end of the word.

@@ -25,7 +25,7 @@ from .common import read_table
 
 TOKENIZER = "piece_bpe_32k.model"
 #: Words whose ids a worker remembers, twice at most; the longest one that it remembers; characters of one run of rounds.
-CACHE_WORDS, CACHE_LENGTH, ROUND_CHARACTERS = 150_000, 40, 2_000_000
+CACHE_WORDS, CACHE_LENGTH, ROUND_CHARACTERS = 80_000, 40, 1_000_000
 #: Rows handed back to Spark at once: bounds what a worker holds beside the batch that it reads.
 ROWS_OUT = 500
 BLANK = "▁"
