@@ -29,7 +29,8 @@ CACHE_WORDS, CACHE_LENGTH, ROUND_CHARACTERS = 80_000, 40, 1_000_000
 #: Rows handed back to Spark at once: bounds what a worker holds beside the batch that it reads.
 ROWS_OUT = 500
 BLANK = "▁"
-_WORD = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
+#: Characters that a model may keep apart from letters in all its pieces; texts are then cut between the two.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalpha())
 _NEVER = np.int64(2**31)
 
 
@@ -61,13 +62,21 @@ class Encoder:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()] + [0], dtype=np.int64)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()] + [0], dtype=np.int64)
-        self.met = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}  # neighbours that a piece can hold
+        table = np.full(0x110000, -1, dtype=np.int32)
+        singles = [s for s in self.symbols if len(s) == 1]
+        table[[ord(c) for c in singles]] = [self.symbols[c] for c in singles]
+        self.of_code = table
+        met = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}  # neighbours that a piece can hold
+        self.met = np.array(sorted(self.symbols[x] * self.first_free + self.symbols[y] for x, y in met), dtype=np.int64)
+        apart = all((x in _MARKS) == (y in _MARKS) for x, y in met if BLANK not in (x, y))
+        marks = re.escape(_MARKS) if apart else ""
+        longest = max((len(p) for p in pieces if not p.strip(BLANK)), default=0)
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.block = 0
-        longest = max((len(p) for p in pieces if not p.strip(BLANK)), default=0)
-        if longest > 1 and all(self._blanks(n)[0] == longest for n in range(longest, 4 * longest)):
-            self.block = longest  # a run of blanks begins with blocks of the longest piece of blanks
+        even = longest > 1 and all(self._blanks(n)[0] == longest for n in range(longest, 4 * longest))
+        #: A run of blanks begins with blocks of the longest piece of blanks; a word has the blanks before it.
+        block = f"{BLANK}{{{longest}}}(?={BLANK})|" if even else ""
+        self.word = re.compile(f"{block}{BLANK}*[^{BLANK}\n{marks}]+|{f'{BLANK}*[{marks}]+|' if marks else ''}{BLANK}+|\n+")
 
     def _blanks(self, n: int) -> list[int]:
         """How many blanks each token of a run of n has."""
@@ -83,23 +92,17 @@ class Encoder:
         hit[hit] = self.keys[np.minimum(at[hit], len(self.keys) - 1)] == wanted[hit]
         return np.where(hit, self.rank[at], _NEVER), self.merged[at]
 
-    def _parts(self, word: str) -> list[str]:
-        """A word cut where no piece holds both neighbours, and long runs of blanks into blocks."""
-        cuts = [0]
-        if self.block and len(word) > self.block:
-            run = len(word) - len(word.lstrip(BLANK))
-            cuts += range(self.block, run, self.block)
-        begin = cuts[-1]
-        cuts += [k for k in range(begin + 1, len(word)) if word[k - 1 : k + 1] not in self.met]
-        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
-
-    def _rounds(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part, by merge rounds over all of them at once."""
-        number = self.symbols.get
-        text = "".join(parts)
-        symbol = np.array([number(c, -1) for c in text], dtype=np.int64)
+    def _rounds(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, by merge rounds over all of them at once. A part is what lies between neighbours that no piece holds."""
+        text = "".join(words)
+        symbol = self.of_code[np.frombuffer(text.encode("utf-32-le"), "<u4")].astype(np.int64)
+        lengths = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), lengths)
+        pair = symbol[:-1] * self.first_free + symbol[1:]
+        at = np.minimum(np.searchsorted(self.met, pair), len(self.met) - 1)
+        apart = (word[1:] != word[:-1]) | (symbol[:-1] < 0) | (symbol[1:] < 0) | (self.met[at] != pair)
+        part = np.append(0, np.cumsum(apart))
         place = np.arange(len(text))  # of a symbol's first character
-        part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(symbol):
             rank, to = self._pairs(symbol[:-1], symbol[1:])
@@ -125,18 +128,19 @@ class Encoder:
             symbol, place, part = symbol[stay], place[stay], part[stay]
         if not done:
             return []
-        part, place, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(place, kind="stable")
-        part, place, symbol = part[order], place[order], symbol[order]
+        place, symbol = (np.concatenate(x) for x in list(zip(*done, strict=True))[1:])
+        order = np.argsort(place)
+        place, symbol = place[order], symbol[order]
+        of_word = word[place]
         if (odd := np.flatnonzero((symbol < 0) | (symbol >= self.size))).size:
             spelt = [[self.byte_ids[b] for b in text[place[k]].encode()] for k in odd.tolist()]
             counts = np.ones(len(symbol), dtype=np.int64)
             counts[odd] = [len(s) for s in spelt]
             begin = np.cumsum(counts) - counts
-            part, symbol = np.repeat(part, counts), np.repeat(symbol, counts)
+            of_word, symbol = np.repeat(of_word, counts), np.repeat(symbol, counts)
             for k, s in zip(begin[odd].tolist(), spelt, strict=True):
                 symbol[k : k + len(s)] = s
-        ends = np.cumsum(np.bincount(part, minlength=len(parts))) * 4
+        ends = np.cumsum(np.bincount(of_word, minlength=len(words))) * 4
         ids = symbol.astype("<i4").tobytes()
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
@@ -161,21 +165,18 @@ class Encoder:
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words that aren't remembered."""
         out: dict[str, bytes] = {}
-        group: list[str] = []
-        total = 0
-        for k, word in enumerate(words):
-            group.append(word)
-            total += len(word)
-            if total >= ROUND_CHARACTERS or k == len(words) - 1:
-                parts = [self._parts(w) for w in group]
-                ids = iter(self._rounds([p for ps in parts for p in ps]))
-                out.update((w, b"".join(next(ids) for _ in ps)) for w, ps in zip(group, parts, strict=True))
-                group, total = [], 0
+        ends = np.cumsum([len(w) for w in words])
+        begin = 0
+        while begin < len(words):
+            stop = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ROUND_CHARACTERS, "right"))
+            group = words[begin : max(stop, begin + 1)]
+            out.update(zip(group, self._rounds(group), strict=True))
+            begin += len(group)
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = [_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        split = [self.word.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         new, long = {}, {}
         for words in split:
             for w in set(words):
