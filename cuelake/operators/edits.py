@@ -253,12 +253,12 @@ def fast_cues(cues: DataFrame, lang: Column, text: str = "tgt") -> DataFrame:
 
 
 def qa_report(cues: DataFrame, durations: DataFrame | None = None, limit: float = 21.0) -> DataFrame:
-    """media_id, ix, issue: empty text, overlap, wrong order, too fast, beyond the end. One window pass."""
+    """media_id, ix, issue: empty text, overlap, wrong order, too fast, a start at or beyond the end of the media. One window pass."""
     by = _item()
     rows = cues.withColumns({"reached": F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), "before": F.lag("start").over(by)})
     tests = {"empty": F.trim("src") == "", "not_positive": F.col("end") <= F.col("start"), "unordered": F.col("start") < F.col("before"), "overlap": F.col("start") < F.col("reached"), "fast": T.reading_speed(F.col("src"), F.col("start"), F.col("end")) > limit}
     if durations is not None:
         rows = rows.join(durations, "media_id", "left")
-        tests["beyond_end"] = F.col("end") > F.col("duration")
+        tests["beyond_end"] = F.col("start") >= F.col("duration")
     issues = F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
     return rows.select("media_id", "ix", F.explode(issues).alias("issue"))

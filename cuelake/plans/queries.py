@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -465,8 +466,12 @@ def catalog(spark, sf_dir):
     return rounded(E.catalog(cues(spark, sf_dir)), "duration")
 
 
+_BLANKS = r"[\t\n\v\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SHOWN = rf"regexp_replace(replace(regexp_replace(replace(src, chr(13), ''), '[ \t]*\n{_BLANKS}*', chr(10), 'g'), '-->', '→'), '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+
+
 @query(_WITH_CUES + f"""
-f AS (SELECT media_id, ix, row_number() OVER (PARTITION BY media_id ORDER BY ix) AS n, {_CLOCK.format(_MS.format('start'))} || ' --> ' || {_CLOCK.format(_MS.format('end'))} AS t, regexp_replace(trim(replace(src, '-->', '→')), '\\n\\s*\\n', chr(10), 'g') AS src FROM cues WHERE length(trim(src)) > 0)
+f AS (SELECT media_id, ix, row_number() OVER (PARTITION BY media_id ORDER BY ix) AS n, {_CLOCK.format(_MS.format('start'))} || ' --> ' || {_CLOCK.format(_MS.format('end'))} AS t, {_SHOWN} AS src FROM cues WHERE length({_SHOWN}) > 0)
 SELECT media_id, md5(string_agg(n || chr(10) || t || chr(10) || src || chr(10), chr(10) ORDER BY n)) AS digest, count(*) AS n FROM f GROUP BY media_id""")
 def export_srt(spark, sf_dir):
     from ..sources.export import export_subtitles
@@ -478,16 +483,16 @@ def export_srt(spark, sf_dir):
 @query(_WITH_CUES + r"""
 b AS (SELECT media_id, ix, src, CASE WHEN ix % 5 = 4 THEN "start" - 30 ELSE "start" END AS "start", CASE WHEN ix % 3 = 0 THEN "end" + 0.5 ELSE "end" END AS "end" FROM cues),
 w AS (SELECT *, max("end") OVER (PARTITION BY media_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached, lag("start") OVER (PARTITION BY media_id ORDER BY ix) AS before FROM b),
-d AS (SELECT media_id, max("end") - 0.75 AS duration FROM cues GROUP BY media_id),
+d AS (SELECT media_id, max("start") - 0.75 AS duration FROM cues GROUP BY media_id),
 i AS (SELECT w.media_id, ix, unnest(list_filter([CASE WHEN trim(src) = '' THEN 'empty' END, CASE WHEN "end" <= "start" THEN 'not_positive' END, CASE WHEN "start" < before THEN 'unordered' END,
-  CASE WHEN "start" < reached THEN 'overlap' END, CASE WHEN length(regexp_replace(src, '\s', '', 'g')) / greatest(0.1, "end" - "start") > 14.9999 THEN 'fast' END, CASE WHEN "end" > duration THEN 'beyond_end' END], lambda x: x IS NOT NULL)) AS issue
+  CASE WHEN "start" < reached THEN 'overlap' END, CASE WHEN length(regexp_replace(src, '\s', '', 'g')) / greatest(0.1, "end" - "start") > 14.9999 THEN 'fast' END, CASE WHEN "start" >= duration THEN 'beyond_end' END], lambda x: x IS NOT NULL)) AS issue
   FROM w LEFT JOIN d ON w.media_id = d.media_id)
 SELECT media_id, ix, issue FROM i""")
 def qa_report(spark, sf_dir):
     """Turns of which some begin too early, some end too late, and the last ones lie beyond a given end."""
     rows = cues(spark, sf_dir)
     moved = rows.withColumns({"start": F.when(F.col("ix") % 5 == 4, F.col("start") - 30).otherwise(F.col("start")), "end": F.when(F.col("ix") % 3 == 0, F.col("end") + 0.5).otherwise(F.col("end"))})
-    return E.qa_report(moved, rows.groupBy("media_id").agg((F.max("end") - 0.75).alias("duration")), limit=14.9999)
+    return E.qa_report(moved, rows.groupBy("media_id").agg((F.max("start") - 0.75).alias("duration")), limit=14.9999)
 
 
 @query()
@@ -609,7 +614,7 @@ def first_seen(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT p_brand AS family, p_size AS s, p_size + p_partkey % 3 AS e FROM part WHERE p_brand < 'Brand#4'),
+WITH r AS (SELECT DISTINCT p_brand AS family, p_size AS s, p_size + p_partkey % 3 AS e FROM part WHERE p_brand < 'Brand#4'),
 m AS (SELECT *, max(e) OVER (PARTITION BY family ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
 o AS (SELECT *, sum(CASE WHEN coalesce(s > reached + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY family ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
 u AS (SELECT family, island, min(s) AS s, max(e) AS e FROM o GROUP BY 1, 2),
@@ -646,11 +651,13 @@ def name_lookup(spark, sf_dir):
 
 
 @query(r"""
-WITH h AS (SELECT doc_id, substring(coalesce(text, ''), 1, 4000) AS head FROM documents),
+WITH h AS (SELECT doc_id, substring(translate(coalesce(text, ''), 'jqxze', '國說時學国'), 1, 4000) AS head FROM documents),
 n AS (SELECT doc_id, head, length(head) - length(regexp_replace(head, '[國說時學這們]', '', 'g')) AS n FROM h)
 SELECT doc_id, CASE WHEN regexp_matches(head, '[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}]') THEN CASE WHEN n >= greatest(3.0, length(head) * 0.01) THEN 'Traditional' ELSE 'Simplified' END END AS script FROM n""")
 def chinese_script(spark, sf_dir):
-    return E.chinese_script(read(spark, sf_dir, "documents"), "國說時學這們人", "国说时学这们人").select("doc_id", "script")
+    """Texts whose rare letters are traditional characters, and whose commonest one is a simplified one."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.translate("text", "jqxze", "國說時學国").alias("text"))
+    return E.chinese_script(rows, "國說時學這們人", "国说时学这们人").select("doc_id", "script")
 
 
 @query("""
@@ -749,15 +756,19 @@ def peak_rule(spark, sf_dir):
     return found.select("user_id", "block_ix", F.round(total, 4).alias("total"), F.round(F.array_max(F.transform("x", lambda v: F.abs(v))).cast("double"), 4).alias("loudest"))
 
 
-@query(_WITH_CUES + r"""
-f AS (SELECT media_id, ix, src, regexp_replace(src, '^(\S{3})(\S)', '\1') AS fix FROM cues WHERE ix % 2 = 0)
-SELECT c.media_id, c.ix, c.src IS NULL AS lost FROM cues c LEFT JOIN f ON c.media_id = f.media_id AND c.ix = f.ix""")
+_NEGATIVE = "len(list_filter(regexp_extract_all(lower({0}), '[a-z'']+'), lambda w: w IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.NEGATIONS) + ") OR ends_with(w, 'n''t')))"
+
+
+@query(_WITH_CUES + rf"""
+f AS (SELECT media_id, ix, src, trim(regexp_replace(src, '^(\S{{3}})(\S)', '\1')) AS fix FROM cues WHERE ix % 2 = 0),
+k AS (SELECT *, fix <> src AND regexp_extract_all(lower(src), '[\p{{L}}\p{{N}}_'']+') <> regexp_extract_all(lower(fix), '[\p{{L}}\p{{N}}_'']+')
+  AND regexp_extract_all(src, '[0-9]+') = regexp_extract_all(fix, '[0-9]+') AND {_NEGATIVE.format('fix')} <= {_NEGATIVE.format('src')} AS ok FROM f)
+SELECT c.media_id, c.ix, CASE WHEN coalesce(ok, false) THEN fix ELSE c.src END AS src, CASE WHEN coalesce(ok, false) THEN c.src END AS src_orig FROM cues c LEFT JOIN k ON c.media_id = k.media_id AND c.ix = k.ix""")
 def proofread_keeps(spark, sf_dir):
-    """Guarded fixes of every other turn: whatever is taken, the text before it is kept."""
+    """Guarded fixes of every other turn, each a letter less in the first word: what is taken, and the text before it."""
     rows = cues(spark, sf_dir).select("media_id", "ix", "src")
     fixes = rows.filter("ix % 2 = 0").select("media_id", "ix", F.regexp_replace("src", r"^(\S{3})(\S)", "$1").alias("new"))
-    found = X.apply_fixes(rows, fixes).join(rows.withColumnRenamed("src", "was"), ["media_id", "ix"])
-    return found.select("media_id", "ix", (~F.coalesce("src_orig", "src").eqNullSafe(F.col("was"))).alias("lost"))
+    return X.apply_fixes(rows, fixes).select("media_id", "ix", "src", "src_orig")
 
 
 @query(_WITH_CUES + r"""
@@ -782,7 +793,7 @@ w AS (SELECT *, unnest(list) AS text, unnest(range(len(list))) AS ix FROM (SELEC
 k AS (SELECT *, greatest(1, length(regexp_replace(text, '[^\p{L}\p{N}'']', '', 'g'))) AS n FROM w),
 t AS (SELECT *, sum(n) OVER (PARTITION BY media_id, win_ix ORDER BY ix ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY media_id, win_ix) AS total, (e1 - s) + (e - s2) AS len FROM k),
 p AS (SELECT *, (upto - n) * len / total AS p0, upto * len / total AS p1 FROM t)
-SELECT media_id, win_ix, ix, text, round(CASE WHEN p0 >= e1 - s THEN s2 + p0 - (e1 - s) ELSE s + p0 END, 4) AS s, round(CASE WHEN p1 > e1 - s THEN least(e, s2 + p1 - (e1 - s)) ELSE least(e1, s + p1) END, 4) AS e FROM p""")
+SELECT media_id, win_ix, ix, text, round(CASE WHEN p0 >= e1 - s THEN s2 + p0 - (e1 - s) ELSE s + p0 END, 6) AS s, round(CASE WHEN p1 > e1 - s THEN least(e, s2 + p1 - (e1 - s)) ELSE least(e1, s + p1) END, 6) AS e FROM p""")
 def region_timing(spark, sf_dir):
     """Turns as windows in which three tenths, and then the second half, are speech."""
     rows = cues(spark, sf_dir).filter(F.col("end") > F.col("start"))
@@ -790,4 +801,128 @@ def region_timing(spark, sf_dir):
     at = lambda share: F.col("s") + F.lit(share) * (F.col("e") - F.col("s"))
     parts = F.explode(F.array(F.struct((F.col("win_ix") * 2).alias("region_ix"), F.col("s"), at(0.3).alias("e")), F.struct((F.col("win_ix") * 2 + 1).alias("region_ix"), at(0.5).alias("s"), F.col("e"))))
     found = C.words_in_regions(windows, windows.select("media_id", parts.alias("x")).select("media_id", "x.*"))
-    return found.select("media_id", "win_ix", "ix", "text", F.round("s", 4).alias("s"), F.round("e", 4).alias("e"))
+    return found.select("media_id", "win_ix", "ix", "text", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"))
+
+
+# Formats beside SRT, and timing of texts without blanks.
+
+
+@query(_WITH_CUES + f"""
+f AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY ix) AS n, {_CLOCK.format(_MS.format('start'))} || ' --> ' || {_CLOCK.format(_MS.format('end'))} AS t, {_SHOWN} || ' &amp; &lt;x&gt;' AS text FROM cues WHERE length({_SHOWN}) > 0)
+SELECT media_id, md5('WEBVTT' || chr(10) || chr(10) || string_agg(n || chr(10) || replace(t, ',', '.') || chr(10) || text || chr(10), chr(10) ORDER BY n)) AS digest FROM f GROUP BY media_id""")
+def export_vtt(spark, sf_dir):
+    """Turns that end in marks which WebVTT escapes."""
+    from ..sources.export import export_subtitles
+
+    rows = cues(spark, sf_dir).filter(F.length(F.trim("src")) > 0).withColumns({"src": F.concat(F.trim("src"), F.lit(" & <x>")), "tgt": F.lit("")})
+    return export_subtitles(rows, "vtt", "src").select("media_id", F.md5("document").alias("digest"))
+
+
+@query(_WITH_CUES + f"""
+f AS (SELECT media_id, ix, floor(greatest(0.0, "start"))::BIGINT AS w, src || chr(10) || upper(role) AS text FROM cues),
+l AS (SELECT media_id, ix, '[' || CASE WHEN w >= 3600 THEN (w // 3600) || ':' ELSE '' END || lpad((w // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((w % 60)::VARCHAR, 2, '0') || '] ' || replace(text, chr(10), chr(10) || '        ') AS line FROM f WHERE length(trim(text)) > 0)
+SELECT media_id, md5(string_agg(line, chr(10) ORDER BY ix)) AS digest FROM l GROUP BY media_id""")
+def export_txt(spark, sf_dir):
+    """Transcripts of turns with their role as a second track."""
+    from ..sources.export import export_subtitles
+
+    rows = cues(spark, sf_dir).filter(F.length("src") > 0).withColumn("tgt", F.upper("role"))
+    return export_subtitles(rows, "txt", "dual", "src-top").select("media_id", F.md5("document").alias("digest"))
+
+
+@query(_WITH_CUES + r"""
+e AS (SELECT media_id, ix AS win_ix, a, b, unnest(list) AS text, unnest(range(len(list))) AS ix FROM (SELECT media_id, ix, "start" AS a, "end" AS b, regexp_extract_all(replace(src, ' ', ''), '(?s).') AS list FROM cues)),
+t AS (SELECT *, row_number() OVER (PARTITION BY media_id, win_ix ORDER BY ix) AS upto, count(*) OVER (PARTITION BY media_id, win_ix) AS total FROM e)
+SELECT media_id, win_ix, ix, text, round(a + (b - a) * (upto - 1) / total, 6) AS s, round(a + (b - a) * upto / total, 6) AS e FROM t""")
+def character_timing(spark, sf_dir):
+    """Turns written without blanks: each character is timed, and all weigh one."""
+    windows = cues(spark, sf_dir).select("media_id", F.col("ix").alias("win_ix"), F.replace("src", F.lit(" "), F.lit("")).alias("text"), F.col("start").alias("s"), F.col("end").alias("e"))
+    return rounded(C.proportional_words(windows), "s", "e")
+
+
+# One long item over many tasks: the same results from blocks of frames.
+
+
+@query(ORACLE_SQL["speech_regions"])
+def regions_in_blocks(spark, sf_dir):
+    return rounded(S.speech_regions(frames(spark, sf_dir), block=32), "s", "e", "peak")
+
+
+@query(ORACLE_SQL["smooth_quiet_runs"])
+def quiet_runs_in_blocks(spark, sf_dir):
+    return rounded(S.quiet_runs(frames(spark, sf_dir), block=32), "peak")
+
+
+@query(ORACLE_SQL["pause_cuts"])
+def cuts_in_blocks(spark, sf_dir):
+    return rounded(S.pause_cuts(frames(spark, sf_dir), pause=0.1, block=32), "cut")
+
+
+@query(ORACLE_SQL["envelope_release"])
+def envelope_in_blocks(spark, sf_dir):
+    return rounded(S.envelope_release(frames(spark, sf_dir), block=32), "y").select("media_id", "frame_ix", "y")
+
+
+# A log of edits: each item's first cue is retimed, its sixth merged with the next, and a cue set a second after the last.
+
+
+def _edit_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = cues(spark, sf_dir).select("media_id", "ix", "start", "end", "src")
+    ends = rows.groupBy("media_id").agg(F.max("end").alias("last"))
+    none = F.lit(None).cast("double")
+    edit = lambda n, kind, ix, t, start, end: F.struct(F.lit(n).cast("long").alias("edit_ix"), F.lit(kind).alias("kind"), F.lit(ix).cast("long").alias("ix"), t.alias("t"), start.alias("new_start"), end.alias("new_end"))
+    log = F.explode(F.array(edit(1, "time", 0, none, F.lit(0.5), F.lit(1e6)), edit(2, "merge", 5, none, none, none), edit(3, "insert", None, F.col("last") + 1, none, none)))
+    return rows, ends.select("media_id", log.alias("x")).select("media_id", "x.*"), ends.select("media_id", (F.col("last") + 3).alias("duration"))
+
+
+@query(_WITH_CUES + r"""
+n AS (SELECT media_id, ix, "start", "end", src, row_number() OVER w - 1 AS pos, lead("start") OVER w AS s2, lead("end") OVER w AS e2, lead(src) OVER w AS src2, max("end") OVER (PARTITION BY media_id) AS last FROM cues WINDOW w AS (PARTITION BY media_id ORDER BY ix)),
+t AS (SELECT *, CASE WHEN pos = 0 AND 0.0 <= "end" - CAST(0.2 AS DOUBLE) THEN floor(least(0.5, "end" - CAST(0.2 AS DOUBLE)) * 1000 + 0.5) / 1000 ELSE "start" END AS s1 FROM n),
+u AS (SELECT media_id, pos, s1 AS s, CASE WHEN pos = 0 AND s1 + CAST(0.2 AS DOUBLE) <= coalesce(s2, last + 3) THEN floor(coalesce(s2, last + 3) * 1000 + 0.5) / 1000 WHEN pos = 5 AND s2 IS NOT NULL THEN e2 ELSE "end" END AS e,
+  CASE WHEN pos = 5 AND s2 IS NOT NULL THEN trim(src || CASE WHEN src <> '' AND src2 <> '' THEN ' ' ELSE '' END || src2) ELSE src END AS src, ix AS old_ix, CAST(NULL AS BIGINT) AS made_by FROM t WHERE pos <> 6
+  UNION ALL SELECT media_id, 1000000, floor((last + 1) * 1000 + 0.5) / 1000, floor(least(last + 3, last + 1 + 2.5) * 1000 + 0.5) / 1000, '', NULL, 3 FROM (SELECT media_id, max("end") AS last FROM cues GROUP BY 1))
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1 AS ix, round(s, 6) AS "start", round(e, 6) AS "end", src, old_ix, made_by FROM u""")
+def apply_edits(spark, sf_dir):
+    from ..operators import replay
+
+    found, _ = replay.apply_edits(*_edit_log(spark, sf_dir))
+    return rounded(found.select("media_id", "ix", "start", "end", "src", "old_ix", "made_by"), "start", "end")
+
+
+@query(_WITH_CUES + r"""
+n AS (SELECT media_id, count(*) AS n FROM cues GROUP BY media_id)
+SELECT media_id, CAST(2 AS BIGINT) AS edit_ix, 'merge' AS kind, CASE WHEN n = 6 THEN 'no_next' ELSE 'no_cue' END AS reason FROM n WHERE n <= 6""")
+def refused_edits(spark, sf_dir):
+    from ..operators import replay
+
+    return replay.apply_edits(*_edit_log(spark, sf_dir))[1]
+
+
+# A translation job with a ledger, whose stand-in refuses every batch that holds a turn longer than 1,900 characters.
+
+
+def _refusing(batch: list[dict]) -> dict:
+    if any(len(b["src"]) > 1900 for b in batch):
+        raise ValueError("too long")
+    return {"t": {b["id"]: "x " + b["src"] for b in batch}, "usage": {"prompt": sum(len(b["src"]) for b in batch)}}
+
+
+def _ledger_job(spark: SparkSession, sf_dir: str):
+    from ..operators import jobs
+
+    rows = cues(spark, sf_dir).select("media_id", "ix", F.concat(F.trim("src"), F.lit(".")).alias("src"))
+    return jobs.translate(rows, _refusing, f"{_shared(spark)}/ledger-{uuid.uuid4().hex}", size=1, rounds=2, waves=2)
+
+
+@query(_WITH_CUES + r"""
+t AS (SELECT media_id, ix, trim(src) || '.' AS src FROM cues)
+SELECT media_id, ix, CASE WHEN length(src) > 1900 OR NOT regexp_matches(src, '[\p{L}\p{N}]') THEN '' ELSE 'x ' || regexp_replace(trim(src), '[ 	]+', ' ', 'g') END AS tgt, CAST(CASE WHEN length(src) > 1900 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM t""")
+def ledger_job(spark, sf_dir):
+    return _ledger_job(spark, sf_dir).cues.select("media_id", "ix", "tgt", "attempts")
+
+
+@query(_WITH_CUES + r"""
+t AS (SELECT media_id, length(trim(src) || '.') AS n FROM cues)
+SELECT media_id, CAST(count(*) + count(CASE WHEN n > 1900 THEN 1 END) AS BIGINT) AS requests, CAST(coalesce(sum(CASE WHEN n <= 1900 THEN n END), 0) AS BIGINT) AS prompt FROM t GROUP BY media_id""")
+def ledger_usage(spark, sf_dir):
+    return _ledger_job(spark, sf_dir).usage.select("media_id", "requests", "prompt")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as T
 from cuelake.operators import align, cues, edits, ranges, signal, translate
 from cuelake.sources import subtitles
-from cuelake.sources.export import export_subtitles, safe_names
+from cuelake.sources.export import ass_colour, ass_header, export_subtitles, safe_names
 from cuelake.sources.subtitles import ingest_subtitles, media_info, parse_glossary, read_projects
 from cuelake.streaming import streams
 
@@ -427,12 +427,34 @@ def test_subtitle_files(spark):
 
 
 def test_exports(spark):
-    rows = spark.createDataFrame([("m", 0, 1.0, 2.0, "a --> b", "ü"), ("m", 1, 3661.5, 3662.0, "", ""), ("m", 2, 3663.5, 3664.0, "x\n\ny", "{z}")], "media_id string, ix long, start double, end double, src string, tgt string")
-    text = lambda fmt, content: export_subtitles(rows, fmt, content).first().document
-    assert text("srt", "dual") == "1\n00:00:01,000 --> 00:00:02,000\nü\na → b\n\n2\n01:01:03,500 --> 01:01:04,000\n{z}\nx\ny\n"
-    assert text("vtt", "src").startswith("WEBVTT\n\n00:00:01.000 --> 00:00:02.000\na → b\n")
-    assert text("txt", "src").startswith("[0:01] a → b\n[1:01:03] x\n        y")
-    assert "Dialogue: 0,1:01:03.50,1:01:04.00,Default,,0,0,0,,｛z｝" in text("ass", "tgt")
+    """Cases of the formats: numbers after the filter, texts that would break a cue, both tracks, an hour and more."""
+    given = [("m", 0, 1.0, 2.5, "Hello", "你好"), ("m", 1, 3661.2345, 3662.0, "a --> b\n\n  c", ""), ("m", 2, 5.0, 6.0, "", "")]
+    rows = spark.createDataFrame(given, "media_id string, ix long, start double, end double, src string, tgt string")
+    text = lambda fmt, content, order="tgt-top", of=rows, **more: export_subtitles(of, fmt, content, order, **more).first().document
+    assert text("srt", "dual") == "1\n00:00:01,000 --> 00:00:02,500\n你好\nHello\n\n2\n01:01:01,235 --> 01:01:02,000\na → b\nc\n"
+    assert text("srt", "tgt") == "1\n00:00:01,000 --> 00:00:02,500\n你好\n"
+    assert text("srt", "dual", "src-top").startswith("1\n00:00:01,000 --> 00:00:02,500\nHello\n你好\n")
+    marked = spark.createDataFrame([("m", 0, 0.0, 1.0, " a < b & c\r\n \t\n d\u3000", "")], rows.schema)
+    assert text("vtt", "src", of=marked) == "WEBVTT\n\n1\n00:00:00.000 --> 00:00:01.000\na &lt; b &amp; c\nd\n"
+    assert text("txt", "src", "src-top") == "[00:01] Hello\n[1:01:01] a --> b\n        \n          c"
+    long_one = spark.createDataFrame([("m", 0, 0.0, 1.0, "one two three four", "")], rows.schema)
+    assert text("srt", "src", of=long_one, width=9).endswith("\none two\nthree\nfour\n")
+
+
+def test_ass_export(spark):
+    """Both tracks are told apart by style, so that what is written is read back as it was."""
+    rows = spark.createDataFrame([("m", 0, 1.0, 2.5, "He{llo}\nyou", "你好"), ("m", 1, 3725.456, 3726.0, "\\b", "")], "media_id string, ix long, start double, end double, src string, tgt string")
+    found = export_subtitles(rows, "ass", header=ass_header("T\nx", 3840, 2160, {"Tgt": {"font": "Noto Sans TC", "bold": True}}))
+    document = found.first().document
+    assert "Title: T x\n" in document and "PlayResX: 1920\nPlayResY: 1080" in document and "Style: Tgt,Noto Sans TC,60,&H00FFFFFF," in document
+    assert "Dialogue: 0,0:00:01.00,0:00:02.50,Tgt,,0,0,0,,{\\rTgt}你好\\N{\\rSrc}He｛llo｝\\Nyou\n" in document
+    assert "Dialogue: 0,1:02:05.46,1:02:06.00,Tgt,,0,0,0,,{\\rSrc}＼b\n" in document
+    assert ass_colour("#ff8000") == "&H000080FF" and ass_colour("#0b1a2e", 0.45) == "&H732E1A0B"
+    back = ingest_subtitles(found.select(F.lit("x.ass").alias("path"), F.encode("document", "utf-8").alias("content")), True)[0].orderBy("ix").collect()
+    assert [(r.src, r.tgt) for r in back] == [("He｛llo｝ you", "你好"), ("＼b", "")]
+
+
+def test_safe_names(spark):
     names = safe_names(spark.createDataFrame([(1, "a/b"), (2, "a:b"), (3, " ")], "media_id long, name string"))
     assert [r.file_name for r in names.orderBy("media_id").collect()] == ["a_b", "a_b (2)", "untitled"]
     names = safe_names(spark.createDataFrame([(1, "a"), (2, "a (2)"), (3, "a"), (4, "a"), (5, "a (4)"), (6, None)], "media_id long, name string"))
