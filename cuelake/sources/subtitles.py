@@ -178,8 +178,10 @@ def parse_ass(texts: DataFrame) -> DataFrame:
     fields = rows.select("path", "n", F.map_from_entries(F.arrays_zip(F.array_distinct("columns"), values)).alias("f"))
     raw = F.regexp_replace(F.col("f")["text"], r"\{[^}]*\\p[1-9][^}]*\}.*?(\{[^}]*\\p0[^}]*\}|$)", "")
     plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\{[^}]*\}", ""), r"\\[Nn]", "\n"), r"\\h", " "))
-    part = lambda tag: F.nullif(plain(F.regexp_extract(raw, rf"(?s)\{{\\r{tag}\}}(.*?)(\{{\\r(?:Src|Tgt)\}}|$)", 1)), F.lit(""))
-    tagged = F.when(raw.rlike(r"\{\\r(Src|Tgt)\}"), F.map_filter(F.create_map(F.lit("src"), part("Src"), F.lit("tgt"), part("Tgt")), lambda k, v: v.isNotNull()))
+    named = r"\{{[^}}]*?\\r{0}\b[^}}]*\}}"
+    segment = lambda tag: plain(F.regexp_extract(raw, f"(?s){named.format(tag)}(.*?)({named.format('(?:Src|Tgt)')}|$)", 1))
+    part = lambda tag: F.nullif(T.join_lines(F.filter(F.transform(F.split(segment(tag), "\n"), lambda x: F.trim(x)), lambda x: x != "")), F.lit(""))
+    tagged = F.when(raw.rlike(named.format("(?:Src|Tgt)")), F.map_filter(F.create_map(F.lit("src"), part("Src"), F.lit("tgt"), part("Tgt")), lambda k, v: v.isNotNull()))
     out = fields.select("path", T.parse_time(F.col("f")["start"]).alias("start"), T.parse_time(F.col("f")["end"]).alias("end"), F.filter(F.split(plain(raw), "\n"), lambda x: F.trim(x) != "").alias("lines"), tagged.alias("tagged"), F.col("n").alias("ord"))
     return out.filter("end > start")
 
