@@ -916,7 +916,7 @@ def _ledger_job(spark: SparkSession, sf_dir: str):
 
 @query(_WITH_CUES + r"""
 t AS (SELECT media_id, ix, trim(src) || '.' AS src FROM cues)
-SELECT media_id, ix, CASE WHEN length(src) > 1900 OR NOT regexp_matches(src, '[\p{L}\p{N}]') THEN '' ELSE 'x ' || regexp_replace(trim(src), '[ 	]+', ' ', 'g') END AS tgt, CAST(CASE WHEN length(src) > 1900 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM t""")
+SELECT media_id, ix, CASE WHEN length(src) > 1900 OR NOT regexp_matches(src, '[\p{L}\p{N}]') THEN '' ELSE 'x ' || regexp_replace(regexp_replace(trim(src), '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g') END AS tgt, CAST(CASE WHEN length(src) > 1900 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM t""")
 def ledger_job(spark, sf_dir):
     return _ledger_job(spark, sf_dir).cues.select("media_id", "ix", "tgt", "attempts")
 
@@ -926,3 +926,20 @@ t AS (SELECT media_id, length(trim(src) || '.') AS n FROM cues)
 SELECT media_id, CAST(count(*) + count(CASE WHEN n > 1900 THEN 1 END) AS BIGINT) AS requests, CAST(coalesce(sum(CASE WHEN n <= 1900 THEN n END), 0) AS BIGINT) AS prompt FROM t GROUP BY media_id""")
 def ledger_usage(spark, sf_dir):
     return _ledger_job(spark, sf_dir).usage.select("media_id", "requests", "prompt")
+
+
+@query(_WITH_CUES + r"""
+w AS (SELECT media_id, ix AS win_ix, src, "start" AS a, "end" AS b, regexp_extract_all(src, '\S+') AS list, regexp_extract_all(src, '[\p{L}\p{N}''][^\p{L}\p{N}'']*') AS pieces FROM cues),
+t AS (SELECT *, unnest(list) AS token, unnest(range(len(list))) AS k, len(list) AS total FROM w),
+n AS (SELECT *, length(regexp_replace(token, '[^\p{L}\p{N}'']', '', 'g')) AS n FROM t),
+p AS (SELECT *, sum(n) OVER v - n AS begin, row_number() OVER v - 1 AS ix FROM n WHERE n > 0 WINDOW v AS (PARTITION BY media_id, win_ix ORDER BY k))
+SELECT media_id, win_ix, ix, CASE WHEN ix = 0 THEN regexp_extract(src, '^[^\p{L}\p{N}'']*') ELSE '' END || array_to_string(list_slice(pieces, begin + 1, begin + n), '') AS text,
+  round(a + (b - a) * k / total, 6) AS s, round(a + (b - a) * (k + 1) / total, 6) AS e FROM p""")
+def token_times(spark, sf_dir):
+    """A turn's words as timed tokens, put back on its text."""
+    from ..operators import align
+
+    rows = cues(spark, sf_dir).select("media_id", F.col("ix").alias("win_ix"), F.col("src").alias("text"), F.col("start").alias("a"), F.col("end").alias("b"), F.regexp_extract_all("src", F.lit(r"\S+"), F.lit(0)).alias("list"))
+    at = lambda k: F.col("a") + (F.col("b") - F.col("a")) * k / F.size("list")
+    tokens = rows.select("*", F.posexplode("list").alias("token_ix", "token")).select("media_id", "win_ix", "token_ix", "token", at(F.col("token_ix")).alias("s"), at(F.col("token_ix") + 1).alias("e"))
+    return rounded(align.attach_times(rows.select("media_id", "win_ix", "text"), tokens), "s", "e")

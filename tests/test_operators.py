@@ -67,30 +67,17 @@ def test_windows_tile(spark):
     assert chunks[0].w_from == 0 and chunks[-1].w_to == len(wins) and all(a.w_to == b.w_from for a, b in zip(chunks, chunks[1:], strict=False))
 
 
-def polished_by_loop(times, linger=0.3, shortest=0.9, gap=0.06):
-    """The rules of the polish, one cue after another."""
-    starts, out = [max(0.0, s - 0.05) for s, _ in times], []
-    for i, (_, e) in enumerate(times):
-        following = starts[i + 1] if i + 1 < len(times) else e + 5
-        s, e = starts[i], max(e, min(max(e + linger, starts[i] + shortest), following - gap))
-        if e - s < shortest:
-            s = min(s, max((out[-1][1] if out else 0.0) + gap, e - shortest, s - 0.3))
-        out.append([s, e])
-    for i, cue in enumerate(out):
-        cue[0] = round(max(cue[0], out[i - 1][1] if i else 0.0), 3)
-        cue[1] = round(max(cue[1], cue[0] + 0.1), 3)
-        if i + 1 < len(out) and out[i + 1][0] < cue[1]:
-            if out[i + 1][0] >= cue[0] + 0.1:
-                cue[1] = round(out[i + 1][0], 3)
-            else:
-                out[i + 1] = [cue[1], max(out[i + 1][1], cue[1] + 0.1)]
-    return [tuple(x) for x in out]
-
-
 def test_polish(spark):
+    """Cases by hand, then what must hold of any cues: no overlap, a tenth of a second at least, nothing cut short that had room."""
+    by_hand = {
+        0: ([(10.0, 10.2), (20.0, 26.0)], [(9.95, 10.85), (19.95, 26.3)]),  # each lingers; the short one grows to 0.9 s
+        1: ([(1.0, 1.3), (1.5, 4.0)], [(0.65, 1.39), (1.45, 4.3)]),  # no room after: it begins 0.3 s earlier
+        2: ([(0.0, 0.02), (0.02, 0.04)], [(0.0, 0.1), (0.1, 0.9)]),  # both begin at zero: the second is pushed
+        3: ([(5.0, 8.0), (6.0, 9.0)], [(4.95, 5.95), (5.95, 9.3)]),  # an overlap is trimmed
+    }
     rng = random.Random(7)
-    items = {}
-    for m in range(40):
+    items = {m: x for m, (x, _) in by_hand.items()}
+    for m in range(10, 50):
         t, items[m] = 0.0, []
         for _ in range(rng.randint(1, 40)):
             t += rng.choice([0.0, 0.01, 0.4, 2.0])
@@ -100,9 +87,13 @@ def test_polish(spark):
     got = {}
     for r in cues.polish(rows).orderBy("media_id", "ix").collect():
         got.setdefault(r.media_id, []).append((round(r.start, 3), round(r.end, 3)))
+    for m, (_, wanted) in by_hand.items():
+        assert got[m] == wanted, m
     for m, x in items.items():
-        assert got[m] == [(round(s, 3), round(e, 3)) for s, e in polished_by_loop(x)], m
-        assert all(s < e for s, e in got[m]) and all(a[1] <= b[0] for a, b in zip(got[m], got[m][1:], strict=False))
+        assert len(got[m]) == len(x) and all(e - s >= 0.0995 for s, e in got[m]) and all(a[1] <= b[0] for a, b in zip(got[m], got[m][1:], strict=False)), m
+        for k, ((s, e), (s2, e2)) in enumerate(zip(x, got[m], strict=True)):
+            alone = (k == 0 or s - x[k - 1][1] >= 2) and (k + 1 == len(x) or x[k + 1][0] - e >= 2)
+            assert not alone or (s2, e2) == (round(max(0.0, s - 0.05), 3), round(max(e + 0.3, max(0.0, s - 0.05) + 0.9), 3))
 
 
 def test_build_cues(spark):
@@ -257,7 +248,21 @@ def test_align():
     assert "".join("".join(parts).split()) == "".join(long.split()) and all(w in long.split() for p in parts for w in p.split())
     assert align.distribute("今日はいい天気ですね。散歩に行きましょう。はい。", ["今日はいい天気", "散歩に行きま", "はい"]) == ["今日はいい天気ですね。", "散歩に行きましょう。", "はい。"]
     assert align.distribute("abc", []) == [] and align.distribute("", ["a", "b"]) == ["", ""]
-    assert "".join(w for w, *_ in align.attach_times("Hi, you there!", [("Hi", 0, 1), ("you", 1, 2), ("there", 2, 3)])) == "Hi, you there!"
+
+
+def test_attach_times(spark):
+    """A token owns the text from its first letter to the next one's; marks of its own don't count, and lost letters move nothing."""
+    texts = [("m", 0, "“Hi, you there!”"), ("m", 1, "今日は、いい天気"), ("m", 2, "one two three"), ("m", 3, None), ("m", 4, "no tokens")]
+    tokens = [("m", 0, 0, "Hi", 0.0, 1.0), ("m", 0, 1, "...", 1.0, 1.1), ("m", 0, 2, "you", 1.0, 2.0), ("m", 0, 3, "there", 2.0, 3.0), ("m", 0, 4, "more", 3.0, 4.0)]
+    tokens += [("m", 1, k, t, k * 1.0, k + 1.0) for k, t in enumerate(["今日", "は", "いい", "天気"])]
+    tokens += [("m", 2, 0, "one", 0.0, 1.0), ("m", 2, 1, "xyz", 1.0, 2.0), ("m", 2, 2, "three", 2.0, 3.0), ("m", 3, 0, "x", 0.0, 1.0)]
+    found = align.attach_times(spark.createDataFrame(texts, "media_id string, win_ix long, text string"), spark.createDataFrame(tokens, "media_id string, win_ix long, token_ix long, token string, s double, e double"))
+    got = {}
+    for r in found.orderBy("win_ix", "ix").collect():
+        got.setdefault(r.win_ix, []).append((r.text, r.s, r.e))
+    assert got[0] == [("“Hi, ", 0.0, 1.0), ("you ", 1.0, 2.0), ("there!”", 2.0, 3.0)]
+    assert [t for t, *_ in got[1]] == ["今日", "は、", "いい", "天気"] and got[1][3][1:] == (3.0, 4.0)
+    assert got[2] == [("one ", 0.0, 1.0), ("two ", 1.0, 2.0), ("three", 2.0, 3.0)] and set(got) == {0, 1, 2}
 
 
 def test_pick(spark):
@@ -284,94 +289,51 @@ def test_wrap():
     assert all(x[0] not in align.NO_START for x in align.wrap("「今日は、いい天気ですね。」と言った。「そうですね。」", 12)) and align.wrap(" \n ", 10) == []
 
 
-def repaired_by_loop(words, runs, total):
-    times = [[s, max(s, e)] for _, s, e, _ in words]
-    for i, (_, _, _, need) in enumerate(words):
-        s, e = times[i]
-        if e - s <= 1.6 * need + 0.6:
-            continue
-        inside = [(max(a, s), min(b, e)) for a, b in runs if b > s and a < e]
-        after = i + 1 < len(words) and words[i + 1][1] - e < 0.35
-        before = i > 0 and s - times[i - 1][1] < 0.35
-        if not inside:
-            times[i] = [s, s + need]
-            continue
-        if after and not before:
-            a, b = max(inside[-1][0], inside[-1][1] - 1.3 * need), inside[-1][1]
-        elif before and not after:
-            a, b = inside[0][0], min(inside[0][1], inside[0][0] + 1.3 * need)
-        else:
-            a, b = max(inside, key=lambda r: round(r[1] - r[0], 9))
-            b = min(b, a + 1.5 * need)
-        times[i] = [a, min(e, max(b, a + 0.08))]
-    out, reached = [], 0.0
-    for i, (s, e) in enumerate(times):
-        s = max(s, reached)
-        if e <= s:
-            e = min(max(times[i + 1][0] if i + 1 < len(times) else total, s + 0.05), s + max(0.12, 0.6 * words[i][3]))
-        out.append((round(s, 3), round(min(total, e), 3)))
-        reached = s
-    return out
-
-
 def test_repair_timings(spark):
+    """Cases by hand over two stretches of speech, [0, 1.024) and [2.944, 4.0); `abcd` takes 0.55 s."""
+    frame = [(k, 0.9 if k <= 30 or 93 <= k <= 123 else 0.0) for k in range(320)]
+    cases = {
+        0: ([("abcd", 0.0, 4.1), ("ab", 4.2, 4.4)], [(3.285, 4.0), (4.2, 4.4)]),  # the next word is near: the last stretch
+        1: ([("ab", 0.0, 0.1), ("abcd", 0.2, 4.1), ("ab", 9.0, 9.2)], [(0.0, 0.1), (0.2, 0.915), (9.0, 9.2)]),  # the word before is near: the first one
+        2: ([("abcd", 0.0, 4.1)], [(2.944, 3.769)]),  # neither is: the longest one
+        3: ([("abcd", 4.5, 6.0)], [(4.5, 5.05)]),  # no speech inside: what the text takes
+        4: ([("abcd", 1.0, 1.4), ("ab", 0.5, 0.7), ("ab", 2.0, 2.0)], [(1.0, 1.4), (1.0, 1.24), (2.0, 2.24)]),  # a start going back, and a word without length
+    }
     rng = random.Random(25)
-    word_rows, frame_rows, want = [], [], {}
-    for m in range(12):
-        loud, p = 0, []
-        while len(p) < 1500:
-            p += [rng.choice([0.0, 0.9])] * rng.randint(3, 60)
-        sm = [sum(p[max(0, k - 1) : k + 2]) / 3 for k in range(len(p))]
-        runs, start = [], None
-        for k, x in enumerate([*sm, 0]):
-            if x >= 0.3 and start is None:
-                start = k
-            elif x < 0.3 and start is not None:
-                runs.append((start * 0.032, k * 0.032))
-                start = None
-        t, words = 0.0, []
-        for i in range(40):
-            text = "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9)))
+    words = {m: w for m, (w, _) in cases.items()}
+    for m in range(10, 22):
+        t, words[m] = 0.0, []
+        for _ in range(40):
             n = rng.choice([0.0, 0.2, 0.4, 3.0, 5.0])
-            words.append((text, round(max(0.0, t), 3), round(t + n, 3), 0.075 * len(text) + 0.25))
+            words[m].append(("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9))), round(max(0.0, t), 3), round(t + n, 3)))
             t += n + rng.choice([-0.2, 0.0, 0.1, 0.5])
-            loud += 1
-        word_rows += [(m, i, w, s, e) for i, (w, s, e, _) in enumerate(words)]
-        frame_rows += [(m, k, x) for k, x in enumerate(p)]
-        want[m] = repaired_by_loop(words, runs, len(p) * 0.032)
-    word_rows.append((99, 0, "alone", 1.0, 1.2))
+    frames = spark.createDataFrame([(m, k, p) for m in cases for k, p in frame] + [(m, k, rng.choice([0.0, 0.9])) for m in words if m >= 10 for k in range(3000)], "media_id long, frame_ix long, p double")
+    given = spark.createDataFrame([(m, i, *w) for m, ws in words.items() for i, w in enumerate(ws)] + [(99, 0, "alone", 1.0, 1.2)], "media_id long, ix long, text string, s double, e double")
     got = {}
-    found = align.repair_timings(spark.createDataFrame(word_rows, "media_id long, ix long, text string, s double, e double"), spark.createDataFrame(frame_rows, "media_id long, frame_ix long, p double"))
-    for r in found.orderBy("media_id", "ix").collect():
+    for r in align.repair_timings(given, frames).orderBy("media_id", "ix").collect():
         got.setdefault(r.media_id, []).append((r.s, r.e))
     assert got.pop(99) == [(1.0, 1.2)]
-    for m in want:
-        assert np.allclose(got[m], want[m], atol=0.0011), m
-
-
-def cuts_by_loop(p, length, max_len):
-    level = [sum(p[max(0, k - 2) : k + 3]) / 5 for k in range(len(p))]
-    out, at = [], 0.0
-    while length - at > max_len:
-        low, high, goal = int((at + max_len / 5) / 0.032), min(int((at + max_len) / 0.032), len(p) - 1), int((at + 0.6 * max_len) / 0.032)
-        best, f = (-1e18, high), low
-        while f < high:
-            a = b = f
-            if level[f] < 0.2:
-                while a > 0 and level[a - 1] < 0.2:
-                    a -= 1
-                while b < len(p) and level[b] < 0.2:
-                    b += 1
-                x, y = max(a, low), min(b, high)
-                place = goal if x <= goal < y else min(max((x + y) // 2, x), y - 1)
-                score, f = min((b - a) * 0.032, 3.0) * 10 - 0.12 * 0.032 * abs(place - goal), y
-            else:
-                place, score, f = f, -30 - 20 * level[f] - 0.12 * 0.032 * abs(f - goal), f + 1
-            if score > best[0] + 1e-12:
-                best = (score, place)
-        at = (best[1] + 0.5) * 0.032
-        out.append(round(at, 6))
-    return out
+    for m, (_, wanted) in cases.items():
+        assert np.allclose(got[m], wanted, atol=0.0011), (m, got[m])
+    for m, ws in words.items():
+        assert len(got[m]) == len(ws) and all(a[0] <= b[0] for a, b in zip(got[m], got[m][1:], strict=False)), m
+        for (text, s, e), (s2, e2) in zip(ws, got[m], strict=True):
+            longest = 1.6 * (0.075 * len(text) + 0.25) + 0.6
+            assert e2 > s2 and s2 >= s - 1e-9 and (e - s > longest or e2 <= max(e, s2 + max(0.12, 0.6 * (0.075 * len(text) + 0.25))) + 0.0011)
+
+
+def worth_of_cuts(p, begin, max_len):
+    """What each place between a fifth of max_len and max_len after begin is worth as a cut: seconds, worth."""
+    level = np.convolve(p, np.ones(5), "same") / 5
+    low, high, goal = (int((begin + share * max_len) / 0.032) for share in (0.2, 1.0, 0.6))
+    high = min(high, len(p) - 1)
+    runs = np.split(np.arange(len(p)), np.flatnonzero(np.diff(level < 0.2)) + 1)
+    found = [(f, -30 - 20 * level[f]) for f in range(low, high) if level[f] >= 0.2]
+    for run in (r for r in runs if level[r[0]] < 0.2 and r[-1] >= low and r[0] < high):
+        inside = run[(run >= low) & (run < high)]
+        place = goal if goal in inside else inside[len(inside) // 2]
+        found.append((place, 10 * min(len(run) * 0.032, 3.0)))
+    return [((f + 0.5) * 0.032, w - 0.12 * 0.032 * abs(f - goal)) for f, w in found]
 
 
 def test_best_cuts(spark):
@@ -387,7 +349,10 @@ def test_best_cuts(spark):
         places.setdefault(r.media_id, []).append((r.first, r.stop, r.worth))
     for m, p in series.items():
         got = signal.best_cuts(*(np.array(x) for x in zip(*sorted(places[m]), strict=True)), len(p) * 0.032, 20.0)
-        assert [round(x, 6) for x in got] == cuts_by_loop(p, len(p) * 0.032, 20.0)
+        assert len(p) * 0.032 - got[-1] <= 20.0
+        for begin, cut in zip([0.0, *got[:-1]], got, strict=True):  # of all places, none is worth more than the one taken
+            every = dict(worth_of_cuts(p, begin, 20.0))
+            assert min(every, key=lambda x: abs(x - cut)) == pytest.approx(cut) and every[min(every, key=lambda x: abs(x - cut))] >= max(every.values()) - 1e-9
 
 
 def test_batches(spark):
@@ -398,14 +363,17 @@ def test_batches(spark):
     for r in translate.plan_batches(rows).orderBy("media_id", "ix").collect():
         got.setdefault(r.media_id, []).append(r.batch_ix)
     for m, ends in items.items():
-        want, at, n = [], 0, len(ends)
-        while at < n:
-            goal = min(n, at + 40)
-            if goal < n:
-                goal = min((k for k in range(max(at + 20, goal - 8), min(n, goal + 8) + 1) if ends[k - 1]), key=lambda k, goal=goal: (abs(k - goal), -k), default=goal)
-            want += [len(set(want))] * (goal - at)
-            at = goal
-        assert got[m] == want, m
+        n = len(ends)
+        cuts = [k for k in range(1, n + 1) if k == n or got[m][k] != got[m][k - 1]]
+        assert got[m] == sorted(got[m]) and got[m][0] == 0 and got[m][-1] == len(cuts) - 1
+        for begin, cut in zip([0, *cuts[:-1]], cuts, strict=True):
+            stops = {k: abs(k - begin - 40) for k in range(begin + 32, min(begin + 48, n) + 1) if ends[k - 1]}
+            if n - begin <= 40:
+                assert cut == n  # what is left is one batch
+            elif stops:
+                assert stops.get(cut) == min(stops.values()) and cut == max(k for k in stops if stops[k] == stops[cut])
+            else:
+                assert cut == begin + 40
 
 
 SRT = "1\n00:00:01,000 --> 00:00:02,000\n<i>Hello</i>\n\n2\n00:00:03,000 --> 00:00:04,000\n你好\nWorld\n"
