@@ -38,11 +38,16 @@ def alnum(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 
+def _held(text: Column, others: str) -> Column:
+    """How many characters are left when runs of others go: far fewer matches than counting what stays, one by one."""
+    return F.length(F.regexp_replace(text, others, ""))
+
+
 def display_width(text: Column) -> Column:
-    """CJK characters count 2, other kept ones and ? ! . , count 1, spaces 0.6, the rest nothing."""
-    wide = F.regexp_count(text, F.lit(CJK))
-    narrow = F.regexp_count(text, F.lit(rf"(?!{CJK})[\p{{L}}\p{{N}}'?!.,]"))
-    return 2 * wide + narrow + 0.6 * F.regexp_count(text, F.lit(" "))
+    """CJK characters count 2, other kept ones and ? ! . , count 1, spaces 0.6, the rest nothing. Texts without CJK take no count of it."""
+    mixed = 2 * F.regexp_count(text, F.lit(CJK)) + F.regexp_count(text, F.lit(rf"(?!{CJK})[\p{{L}}\p{{N}}'?!.,]"))
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text.rlike(CJK), mixed).otherwise(_held(text, r"[^\p{L}\p{N}'?!.,]+")) + 0.6 * spaces
 
 
 def without_closers(text: Column) -> Column:
@@ -61,7 +66,7 @@ def ends_sentence(text: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     """Characters from U+2E80 on count one, others a quarter, and one more."""
-    far = F.regexp_count(text, F.lit(r"[\x{2E80}-\x{10FFFF}]"))
+    far = _held(text, r"[^\x{2E80}-\x{10FFFF}]+")
     return far + F.floor((F.length(text) - far) / 4) + 1
 
 
@@ -79,16 +84,18 @@ def reading_speed(text: Column, start: Column, end: Column) -> Column:
 
 
 def negations(text: Column) -> Column:
-    """How many words, characters and endings of a text negate."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
-    latin = F.size(F.filter(words, lambda w: w.isin(*NEGATIONS) | F.endswith(w, F.lit("n't"))))
+    """How many words, characters and endings of a text negate. CJK is looked for only where one of its negating characters is."""
+    word = "|".join(NEGATIONS)
+    latin = F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z'])(?:(?:{word})(?![a-z'])|[a-z']*n't(?![a-z']))"))
+    firsts = "".join(dict.fromkeys(CJK_NEGATIONS + "".join(x[0] for x in NEGATIVE_ENDINGS)))
     endings = sum((F.regexp_count(text, F.lit(x)) for x in NEGATIVE_ENDINGS), F.lit(0))
-    return latin + F.regexp_count(text, F.lit(f"[{CJK_NEGATIONS}]")) + endings
+    return latin + F.when(text.rlike(f"[{firsts}]"), F.regexp_count(text, F.lit(f"[{CJK_NEGATIONS}]")) + endings).otherwise(0)
 
 
 def numbers(text: Column) -> Column:
     """The runs of digits, and each CJK numeral, as they come."""
-    return F.concat(F.regexp_extract_all(text, F.lit(r"[0-9]+"), F.lit(0)), F.regexp_extract_all(text, F.lit(f"[{CJK_NUMERALS}]"), F.lit(0)))
+    digits = F.regexp_extract_all(text, F.lit(r"[0-9]+"), F.lit(0))
+    return F.when(text.rlike(f"[{CJK_NUMERALS}]"), F.concat(digits, F.regexp_extract_all(text, F.lit(f"[{CJK_NUMERALS}]"), F.lit(0)))).otherwise(digits)
 
 
 def looks_like(text: Column, lang: Column) -> Column:
@@ -98,13 +105,17 @@ def looks_like(text: Column, lang: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def letters(text: Column) -> Column:
+    return _held(text, r"\P{L}+")
+
+
 def latin_share(text: Column) -> Column:
     """ASCII letters among letters, null without letters."""
-    return F.regexp_count(text, F.lit("[A-Za-z]")) / F.nullif(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(0))
+    return _held(text, "[^A-Za-z]+") / F.nullif(letters(text), F.lit(0))
 
 
 def clearly_other_script(text: Column, lang: Column) -> Column:
-    return lang.isin(*OTHER_SCRIPTS) & (F.regexp_count(text, F.lit(r"\p{L}")) >= 8) & (latin_share(text) >= 0.85)
+    return lang.isin(*OTHER_SCRIPTS) & (letters(text) >= 8) & (latin_share(text) >= 0.85)
 
 
 def right_to_left(text: Column) -> Column:
