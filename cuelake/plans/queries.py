@@ -863,6 +863,11 @@ def envelope_in_blocks(spark, sf_dir):
     return rounded(S.envelope_release(frames(spark, sf_dir), block=32), "y").select("media_id", "frame_ix", "y")
 
 
+@query(ORACLE_SQL["peak_envelope"])
+def peaks_of_long_items(spark, sf_dir):
+    return S.peak_envelope(frames(spark, sf_dir), long_items=True)
+
+
 # A log of edits: each item's first cue is retimed, its sixth merged with the next, and a cue set a second after the last.
 
 

@@ -250,6 +250,23 @@ def test_align():
     assert align.distribute("abc", []) == [] and align.distribute("", ["a", "b"]) == ["", ""]
 
 
+def test_long_texts_are_tied_together():
+    """An hour of speech against a version with errors: the blocks are increasing, true, and nearly all of what is equal."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(9000)]
+    other = [w if rng.random() > 0.05 else rng.choice(["", w + "x", w[::-1]]) for w in words]
+    other[3000:3100] = []
+    a, b = "".join(words), "".join(other)
+    blocks = align._matching(a, b)
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+    assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in zip(blocks, blocks[1:], strict=False))
+    assert sum(n for *_, n in blocks) > 0.93 * len(b)
+    shorts = [" ".join(other[k : k + 30]) for k in range(0, len(other), 30)]
+    parts = align.distribute(" ".join(words), shorts)
+    assert "".join("".join(parts).split()) == a and sum(abs(len(p) - len(s)) < 25 for p, s in zip(parts, shorts, strict=True)) > 0.95 * len(shorts)
+    assert align._matching("ab" * 5000, "xy" * 5000) == [(10000, 10000, 0)]
+
+
 def test_attach_times(spark):
     """A token owns the text from its first letter to the next one's; marks of its own don't count, and lost letters move nothing."""
     texts = [("m", 0, "“Hi, you there!”"), ("m", 1, "今日は、いい天気"), ("m", 2, "one two three"), ("m", 3, None), ("m", 4, "no tokens")]

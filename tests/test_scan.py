@@ -60,3 +60,14 @@ def test_a_long_item_is_many_tasks(spark):
 def test_reach_beyond_a_block(spark):
     with pytest.raises(ValueError, match="longer than the reach"):
         signal.smooth(frames(spark), 5, block=2)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.15, 0.5, 0.993, 1.0])
+def test_percentile_by_histograms(spark, share):
+    rnd = random.Random(9)
+    rows = [(m, v) for m in range(5) for v in ([rnd.gauss(0, 1) ** 9 for _ in range(400)] if m == 0 else [rnd.choice([1.0, 2.0, 2.0, 5.5]) for _ in range(m * m * m)])] + [(7, None), (8, 3.25), (9, -1e300), (9, 1e300)]
+    df = spark.createDataFrame(rows, "media_id long, v double")
+    wanted = {r[0]: r[1] for r in df.groupBy("media_id").agg(F.percentile("v", F.lit(share))).collect() if r[1] is not None}
+    for rounds, buckets in ((2, 1024), (1, 3), (3, 2)):
+        got = {r.media_id: r.q for r in scan.percentile(df, "v", share, "q", rounds=rounds, buckets=buckets).collect()}
+        assert got == pytest.approx(wanted)
