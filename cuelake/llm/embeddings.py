@@ -109,7 +109,7 @@ def _cut(placed: DataFrame, level: int, threshold: float, large: int, per_cell:
     sizes = materialize(sizes, "large-cells")
     if sizes.isEmpty():
         return None
-    drawn = (F.xxhash64("id", F.lit(level)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)) < CELL_SAMPLE / F.col("homes")
+    drawn = (F.xxhash64("vector", F.lit(level)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)) < CELL_SAMPLE / F.col("homes")
 
     def fit(table: pa.Table) -> pa.Table:
         sample, cells = _vectors(table.column("vector")), int(min(MAX_CELLS, max(2, table.column("homes")[0].as_py() // per_cell)))
@@ -168,7 +168,7 @@ def link_vectors(distinct: DataFrame, threshold: float = THRESHOLD, per_cell: in
     by_size = distinct.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     n = distinct.count()
     cells = int(min(max_cells, max(1, np.ceil(n / per_cell))))
-    rows = distinct.filter(F.size("vector") == (by_size["d"] if by_size else 0)).orderBy(F.xxhash64("id", F.lit(4))).limit(SAMPLE).select("vector").collect()
+    rows = distinct.filter(F.size("vector") == (by_size["d"] if by_size else 0)).orderBy(F.xxhash64("vector", F.lit(4))).limit(SAMPLE).select("vector").collect()
     centres = fit_cells(unit(np.array([r["vector"] for r in rows])), cells) if rows else np.zeros((1, 1))
     placed, level = materialize(_assign(distinct, centres, threshold), "cells"), 1
     while (cut := _cut(placed, level, threshold, large, per_cell)) is not None:
@@ -207,13 +207,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     are not read; no rows give none. limits: per_cell, max_cells and large of link_vectors(), for tests.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    distinct = materialize(rows.filter(_valid(F.col("vector")) & F.col("id").isNotNull()).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vectors")
+    # a vector's number is its own, since rows that repeat an id may hold different ones; it is written once and read from then on
+    distinct = rows.filter(_valid(F.col("vector")) & F.col("id").isNotNull()).groupBy("vector").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "vectors")
     found = materialize(link_vectors(distinct, threshold, **limits), "vector-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected(found.filter("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b"))).toDF("id", "root")
-    known = distinct.join(counts, "id", "left").join(roots, "id", "left").select("vector", "id", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root"))
+    known = distinct.join(counts, "id", "left").join(roots, "id", "left").select("vector", "first", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root"))
     known = materialize(known, "rooted-vectors")
-    least = known.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     of_vector = known.join(least, "root").select("vector", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
     named = F.col("id").isNotNull()
     out = rows.join(of_vector, "vector", "left").select(F.col("id").alias(id_col), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.when(named, F.coalesce("component_id", "id")).alias("component_id"))
