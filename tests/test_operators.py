@@ -96,6 +96,19 @@ def test_polish(spark):
             assert not alone or (s2, e2) == (round(max(0.0, s - 0.05), 3), round(max(e + 0.3, max(0.0, s - 0.05) + 0.9), 3))
 
 
+def test_polish_in_chains(spark):
+    """Folding over chains gives what one pass over the whole item gives, and few cues are in a chain of several."""
+    rng, rows, t = random.Random(8), [], 0.0
+    for i in range(3000):
+        t += rng.choice([0.02, 0.05, 0.9, 1.5, 4.0, 4.0, 4.0])
+        rows.append(("m", i, round(t, 3), round(t + rng.choice([0.05, 0.4, 1.0, 2.5]), 3)))
+    df = spark.createDataFrame(rows, "media_id string, ix long, start double, end double")
+    local = cues.polished(df).orderBy("ix").collect()
+    starts, ends = cues.without_overlap(np.array([r.start for r in local]), np.array([r.end for r in local]))
+    got = cues.polish(df).orderBy("ix").collect()
+    assert np.allclose([r.start for r in got], starts) and np.allclose([r.end for r in got], ends) and got[0].__fields__ == df.columns
+
+
 def test_build_cues(spark):
     text = "Hello there, this is quite a long sentence that will have to be split somewhere because it does not fit. Mr. Smith said no. Yes!"
     words = [("a", i, w + " ", i * 0.32, i * 0.32 + 0.3) for i, w in enumerate(text.split())]
@@ -446,6 +459,15 @@ def test_safe_names(spark):
     assert [r.file_name for r in names.orderBy("media_id").collect()] == ["a", "a (2)", "a (3)", "a (5)", "a (4)", "untitled"]
 
 
+def test_glossary_of_prompts(spark):
+    """Terms that a batch's neighbourhood holds, whatever their length, case and script; inside words too."""
+    cues_ = spark.createDataFrame([("m", i, t) for i, t in enumerate(["The Captain said", "nothing here", "今日はいい天気", "x"])] + [("n", 0, None)], "media_id string, ix long, src string")
+    terms = spark.createDataFrame([("captain", "Kapitän"), ("apt", "geschickt"), ("a", "ein"), ("天気", "Wetter"), ("storm", "Sturm"), ("", "leer"), (None, "nichts"), ("nothing here and", "x")], "src string, tgt string")
+    got = {(r.media_id, r.batch_ix): r.prompt for r in translate.prompts(cues_, "Rules.", size=2, before=0, after=0, glossary=terms).collect()}
+    assert got["m", 0].split("\n\n")[1] == "a = ein\napt = geschickt\ncaptain = Kapitän"
+    assert got["m", 1].split("\n\n")[1] == "天気 = Wetter" and "=" not in got["n", 0]
+
+
 def test_catalogs(spark):
     glossary = parse_glossary(spark.createDataFrame([("a = b = c",), ("= x",), ("none",)], "value string"))
     assert [tuple(r) for r in glossary.collect()] == [("a", "b = c")]
