@@ -1,7 +1,9 @@
 """Streaming operators whose state is kept in the state store: value, list and map state, timers and expiry.
 
 They need the RocksDB state store: prepare(spark) names it for the session. Frames and replies may come in any order
-within the watermark's delay: what can't be decided yet waits in state, and a timer on the watermark decides it.
+within the watermark's delay: what can't be decided yet waits in state, and a timer on the watermark decides it. State
+with a time to live (token_loops, progress) runs in processing time: Spark then runs batches without data for ever, so a
+query that should end with its input needs spark.sql.streaming.noDataMicroBatches.enabled set to false.
 """
 
 from __future__ import annotations
