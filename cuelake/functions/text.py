@@ -55,13 +55,13 @@ def without_closers(text: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    """A strong mark, or a period that closes no abbreviation and no single letter; two periods always count."""
+    """A strong mark, or a period that closes no abbreviation and no single letter; two periods always count. Texts without such a mark are not looked into."""
     body = without_closers(text)
     tail = F.right(body, F.lit(1))
     word = F.lower(F.regexp_extract(body, r"([\p{L}.']+)\.$", 1))
     initial = (F.length(word) == 1) & word.rlike(r"\p{L}")
     period = tail.isin(*PERIODS) & (body.rlike(r"(\.\.|．．)$") | ~(word.isin(*ABBREVIATIONS) | initial))
-    return (F.length(body) > 0) & (tail.isin(*STRONG) | period)
+    return F.when(~text.rlike(f"[{STRONG}{PERIODS}]"), F.lit(False)).otherwise((F.length(body) > 0) & (tail.isin(*STRONG) | period))
 
 
 def estimated_tokens(text: Column) -> Column:
