@@ -903,11 +903,11 @@ def refused_edits(spark, sf_dir):
     return replay.apply_edits(*_edit_log(spark, sf_dir))[1]
 
 
-# A translation job with a ledger, whose stand-in refuses every batch that holds a turn longer than 1,900 characters.
+# A translation job with a ledger, whose stand-in refuses every batch that holds a turn longer than 1,200 characters.
 
 
 def _refusing(batch: list[dict]) -> dict:
-    if any(len(b["src"]) > 1900 for b in batch):
+    if any(len(b["src"]) > 1200 for b in batch):
         raise ValueError("too long")
     return {"t": {b["id"]: "x " + b["src"] for b in batch}, "usage": {"prompt": sum(len(b["src"]) for b in batch)}}
 
@@ -921,14 +921,14 @@ def _ledger_job(spark: SparkSession, sf_dir: str):
 
 @query(_WITH_CUES + r"""
 t AS (SELECT media_id, ix, trim(src) || '.' AS src FROM cues)
-SELECT media_id, ix, CASE WHEN length(src) > 1900 OR NOT regexp_matches(src, '[\p{L}\p{N}]') THEN '' ELSE 'x ' || regexp_replace(regexp_replace(trim(src), '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g') END AS tgt, CAST(CASE WHEN length(src) > 1900 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM t""")
+SELECT media_id, ix, CASE WHEN length(src) > 1200 OR NOT regexp_matches(src, '[\p{L}\p{N}]') THEN '' ELSE 'x ' || regexp_replace(regexp_replace(trim(src), '\s*\n\s*', ' ', 'g'), '[ \t]+', ' ', 'g') END AS tgt, CAST(CASE WHEN length(src) > 1200 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM t""")
 def ledger_job(spark, sf_dir):
     return _ledger_job(spark, sf_dir).cues.select("media_id", "ix", "tgt", "attempts")
 
 
 @query(_WITH_CUES + r"""
 t AS (SELECT media_id, length(trim(src) || '.') AS n FROM cues)
-SELECT media_id, CAST(count(*) + count(CASE WHEN n > 1900 THEN 1 END) AS BIGINT) AS requests, CAST(coalesce(sum(CASE WHEN n <= 1900 THEN n END), 0) AS BIGINT) AS prompt FROM t GROUP BY media_id""")
+SELECT media_id, CAST(count(*) + count(CASE WHEN n > 1200 THEN 1 END) AS BIGINT) AS requests, CAST(coalesce(sum(CASE WHEN n <= 1200 THEN n END), 0) AS BIGINT) AS prompt FROM t GROUP BY media_id""")
 def ledger_usage(spark, sf_dir):
     return _ledger_job(spark, sf_dir).usage.select("media_id", "requests", "prompt")
 
