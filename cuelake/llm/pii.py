@@ -31,8 +31,8 @@ TERM = r"[\p{L}\p{N}]{3,}+"
 #: Shares of an entity's information, and the different texts in which term and entity must meet: a single meeting is no
 #: evidence, since every rare word of a text would then disclose whatever the text mentions once.
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.98, 2
-#: Up to this many rows a table of terms or texts is broadcast; beyond it, it is joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Up to this many rows and bytes a table of terms or texts is broadcast; beyond either, it is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 #: Characters of a piece of a text, from which parts are cut: a cut never counts characters from the beginning of the text.
 PIECE = 4096
 
@@ -151,8 +151,24 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(let(_base(text), lambda x: _blanked(text, x)), F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
+def _bytes(name: str, kind: str) -> Column:
+    """Of a column's value: strings as they are, a map of strings by its keys and 16 an entry, anything else 8."""
+    if kind == "string":
+        return F.octet_length(name)
+    if kind.startswith("map<string"):
+        return F.aggregate(F.map_keys(name), F.lit(0).cast("long"), lambda total, k: total + F.octet_length(k) + 16)
+    return F.lit(8)
+
+
 def _sent(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    row = sum((F.coalesce(_bytes(c, kind), F.lit(0)).cast("long") for c, kind in table.dtypes), F.lit(0))
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return F.broadcast(table) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else table
+
+
+def _texts() -> Column:
+    """The set of different texts that a group's rows name, as two hashes of 64 bits and their number: what comes in the same texts is one class."""
+    return F.struct(*[F.bit_xor(F.xxhash64("text_hash", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)], F.count("*").alias("n"))
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -168,33 +184,51 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
 
     found: as mentions() gives it. An entity counts from `support` texts on. With share >= GENERALISE, df(term) is at most
     N ** (1 - GENERALISE) * df(entity) ** GENERALISE: commoner terms are dropped before any pair is made, which loses none.
+    A text of n entities and n terms makes no n * n pairs where it is the most crowded one of its entities, or where they
+    come in the same texts: a directory and its copies, say.
     """
     total = float(found.count())
     named = found.select("text_hash", F.explode("entities").alias("entity"))
-    shared = named.groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= support)
-    shared = materialize(named.join(shared, "entity"), "shared-entities")
+    # entities of the same texts have the same numbers, and so have terms: one of each class stands for all
+    classes = named.groupBy("entity").agg(_texts().alias("class")).filter(F.col("class.n") >= support)
+    shared = named.join(classes, "entity").select("text_hash", F.col("class").alias("entity"), F.col("class.n").alias("df_entity")).distinct()
+    shared = materialize(shared, "shared-entities")
     if shared.isEmpty():
-        return shared.select("text_hash", F.col("entity").alias("term"), F.lit(0.0).alias("share"))
-    at = materialize(shared.groupBy("text_hash").agg(F.max("df_entity").alias("most")), "sharing-texts")
+        return shared.select("text_hash", F.lit("").alias("term"), F.lit(0.0).alias("share"))
+    at = materialize(shared.groupBy("text_hash").agg(F.max("df_entity").alias("most"), F.count("*").alias("held")), "sharing-texts")
     text_hash = F.xxhash64(_text(text_col)).alias("text_hash")
-    sharing = docs.select(text_hash, _text(text_col).alias("text")).join(_sent(at), "text_hash")
+    sharing = docs.select(text_hash, _text(text_col).alias("text")).join(_sent(at.select("text_hash", "most")), "text_hash")
     terms = sharing.select("text_hash", "most", F.explode(_terms(F.col("text"))).alias("term")).distinct()
     terms = materialize(terms, "terms")
-    candidates = materialize(terms.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).filter(F.col("n") >= support).select("term", "most"), "candidate-terms")
+    candidates = terms.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most"), _texts().alias("texts")).filter(F.col("n") >= support)
+    candidates = materialize(candidates.select("term", "most", "texts"), "candidate-terms")
     # every copy of a text counts by its share of the copies, so that the text counts once
     copies = materialize(found.filter("n > 1").select("text_hash", "n"), "copied-texts")
     every = docs.select(text_hash, _terms(_text(text_col)).alias("terms")).join(_sent(copies), "text_hash", "left").select(F.explode("terms").alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("part"))
     # counted before they are joined: what moves is a row a term and task
     of_term = every.groupBy("term").agg(F.round(F.sum("part")).alias("df_term")).join(_sent(candidates), "term")
     bound = lambda df: F.pow(F.lit(total), F.lit(1 - GENERALISE)) * F.pow(df.cast("double"), F.lit(GENERALISE)) * 1.000001
-    rare = materialize(of_term.filter(F.col("df_term") <= bound(F.col("most"))).select("term", "df_term"), "rare-terms")
-    met = terms.select("text_hash", "term").join(_sent(rare), "term").join(shared, "text_hash").filter(F.col("df_term") <= bound(F.col("df_entity")))
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("df_pair"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity")).filter(F.col("df_pair") >= support)
+    rare = materialize(of_term.filter(F.col("df_term") <= bound(F.col("most"))).select("term", F.struct("df_term", "texts").alias("like")), "rare-terms")
+    held = materialize(terms.select("text_hash", "term").join(_sent(rare), "term").select("text_hash", "term", "like"), "held-terms")
+    kinds = materialize(held.select("text_hash", "like").distinct(), "held-classes")
+    # what meets in two texts meets in another than the entity's most crowded one, so that text makes no pairs: it is looked up
+    crowded = shared.join(at.select("text_hash", "held"), "text_hash").groupBy("entity").agg(F.max(F.struct("held", "text_hash")).alias("last")).select("entity", F.col("last.text_hash").alias("last"))
+    rows = shared.join(crowded, "entity").withColumn("last", F.when(F.lit(support > 1), F.col("last")))
+    makes = rows.filter(~F.col("text_hash").eqNullSafe(F.col("last")))
+    close = F.col("like.df_term") <= bound(F.col("df_entity"))
+    met = materialize(makes.join(kinds, "text_hash").filter(close).groupBy("entity", "like", "df_entity", "last").agg(F.count("*").alias("n")), "met-classes")
+    also = kinds.select(F.col("text_hash").alias("last"), "like", F.lit(1).alias("also"))
+    pairs = met.join(also, ["last", "like"], "left").withColumn("df_pair", F.col("n") + F.coalesce("also", F.lit(0))).filter(F.col("df_pair") >= support)
     carried = F.log2(F.lit(total) / F.col("df_entity"))
-    mutual = F.log2(F.col("df_pair") * F.lit(total) / (F.col("df_entity").cast("double") * F.col("df_term")))
+    mutual = F.log2(F.col("df_pair") * F.lit(total) / (F.col("df_entity").cast("double") * F.col("like.df_term")))
     share = F.when(carried > 0, mutual / carried).otherwise(0.0)
-    flagged = materialize(pairs.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE), "disclosing-pairs")
-    return met.select("text_hash", "entity", "term").join(flagged, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("share").alias("share"))
+    flagged = pairs.select("entity", "like", "last", "also", share.alias("share")).filter(F.col("share") >= GENERALISE)
+    flagged = materialize(flagged, "disclosing-pairs")
+    # the texts of a pair: those that made it, and the entity's most crowded one if it holds the term
+    made = makes.select("text_hash", "entity").join(kinds, "text_hash").join(flagged.select("entity", "like", "share"), ["entity", "like"]).select("text_hash", "like", "share")
+    looked = flagged.filter("also = 1").select(F.col("last").alias("text_hash"), "like", "share")
+    most = made.unionByName(looked).groupBy("text_hash", "like").agg(F.max("share").alias("share"))
+    return held.join(most, ["text_hash", "like"]).select("text_hash", "term", "share")
 
 
 def _flagged(docs: DataFrame, text_col: str, support: int) -> DataFrame:

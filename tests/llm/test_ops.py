@@ -209,6 +209,24 @@ def test_pii_terms(spark):
         for r in found:
             assert {x.text for x in r.terms} == set(want.get(r.t, {})) and all(r.t[x.s : x.e].lower() == x.text and x.remove == (want[r.t][x.text] >= pii.REMOVE - 1e-9) for x in r.terms)
     assert sum(map(len, want.values())) > 40
+    for support in (1, 3):
+        want = disclosed(texts[:50], support)
+        for r in pii.find(spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string"), support=support).collect():
+            assert {x.text for x in r.terms} == set(want.get(texts[r.doc_id], {})), (support, r.doc_id)
+
+
+def test_pii_directories(spark, monkeypatch):
+    """Two copies of a directory, and a third one whose people have pages of their own: no pair of each person with each term."""
+    n, made = 1500, {}
+    plain = pii.materialize
+    monkeypatch.setattr(pii, "materialize", lambda df, label: made.setdefault(label, plain(df, label)))
+    page = lambda k: " ".join(f"p{i}@{k}.org {k}person{i}" for i in range(n))
+    texts = [page("one"), page("one") + " again", page("two"), *[f"p{i}@two.org met twoperson{i} and others" for i in range(40)], *[f"nothing here {i}" for i in range(300)]]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all({x.text for x in got[d].terms} == {f"oneperson{i}" for i in range(n)} for d in (0, 1))
+    assert {x.text for x in got[2].terms} == {f"twoperson{i}" for i in range(40)}
+    assert all({x.text for x in got[3 + i].terms} == {f"twoperson{i}"} for i in range(40)) and not got[60].terms
+    assert made["met-classes"].count() < 4 * n
 
 
 def test_pii_many_matches(spark):
