@@ -237,6 +237,14 @@ def test_pii_many_matches(spark):
         assert pii.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "\U0001f642 " + " ".join(["né [EMAIL]"] * n)
 
 
+def test_bpe_round_trip(spark):
+    """One pass gives what encoding and decoding one after the other give."""
+    frame = spark.createDataFrame([(None, "Hello there"), (1, None), (1, "don't 中文 ひ"), (2, "")], "name long, body string")
+    both = bpe.decode_tokens(bpe.encode_texts(frame, "name", "body"), "name")
+    once = bpe.round_trip(frame, "name", "body")
+    assert once.schema == both.schema and sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+
+
 def test_bpe(docs, texts, none, spark):
     import public_tokenizers
     from tokenizers import Tokenizer
