@@ -29,12 +29,13 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """media_id (document), ix, text, s, e: 0.05 s a character, and 1.5 s of silence after a newline."""
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+\s*"), F.lit(0))).alias("ix", "text"))
+    """media_id (document), ix, text, s, e: 0.05 s a character, and 1.5 s of silence after a newline. Whole texts are shuffled, before they become words."""
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.coalesce("text", F.lit("")).alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media_id")
+    rows = texts.select("media_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0))).alias("ix", "text")).withColumn("ix", F.col("ix").cast("long"))
     spoken, pause = F.length("text") * 0.05, F.when(F.contains("text", F.lit("\n")), 1.5).otherwise(0.0)
     before = Window.partitionBy("media_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(spoken + pause).over(before), F.lit(0.0))
-    return rows.select("media_id", F.col("ix").cast("long").alias("ix"), "text", start.alias("s"), (start + spoken).alias("e"))
+    return rows.select("media_id", "ix", "text", start.alias("s"), (start + spoken).alias("e"))
 
 
 FRAMES_SQL = "SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_ix, least(1.0, value / 150) AS p, value, ts, event_id, event_type FROM events"
