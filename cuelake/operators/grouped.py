@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def key_changes(rows: pa.Table, keys: list[str]) -> np.ndarray:
@@ -40,7 +41,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], begins: Callable[[pa.Table],
         yield pa.Table.from_batches(held)
 
 
-def by_group(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def by_group(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """fold takes a table of whole groups, in the order of keys and `order`, and returns what they become: rows of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

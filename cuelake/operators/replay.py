@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 import re
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from .edits import split_position
+from .grouped import by_group
 
 #: Kinds of edits that take a cue away, those that name a cue, and those that name a time or the whole item.
 REMOVE, NAMED, UNNAMED = ("merge", "delete"), ("split", "merge", "add", "delete", "unfix", "time"), ("insert", "shift")
@@ -257,11 +260,11 @@ def _new(start: float, end: float, e: dict, src: str = "", tgt: str = "") -> dic
     return {"start": start, "end": end, "src": src, "tgt": tgt, "src_orig": None, "old_ix": None, "made_by": e["edit_ix"]}
 
 
-def _replayed(cues: pa.Table, edits: pa.Table) -> list[dict]:
+def _replayed(media: object, cues: list[dict], edits: list[dict]) -> list[dict]:
     """One cluster: its cues after its edits in their order, and the refused edits, told apart by reason."""
-    log = sorted(edits.to_pylist(), key=lambda e: e["edit_ix"])
-    rows = sorted(cues.to_pylist(), key=lambda r: r["pos"])
-    media, lo = log[0]["item"], log[0]["low"]
+    log = sorted(edits, key=itemgetter("edit_ix"))
+    rows = sorted(cues, key=itemgetter("pos"))
+    lo = log[0]["low"]
     held = [{c: r[c] for c in ("start", "end", "src", "tgt", "src_orig")} | {"old_ix": r["ix"], "made_by": None} for r in rows]
     state = _Cues(held, rows[0]["before"] or 0.0, rows[-1]["after_start"], rows[0]["duration"]) if rows else _Cues([], 0.0, None, None)
     out = []
@@ -298,11 +301,20 @@ def apply_edits(cues: DataFrame, edits: DataFrame, durations: DataFrame | None =
     spans = close.select("media_id", "cluster", "lo", "hi").distinct()
     held = spans.filter("hi >= lo").select("media_id", "cluster", F.explode(F.sequence("lo", "hi")).alias("pos"))
     media = cues.schema["media_id"].dataType.simpleString()
-    inside = rows.join(held, ["media_id", "pos"]).select("media_id", "cluster", "pos", "ix", "start", "end", "src", "tgt", "src_orig", "before", F.col("after.start").alias("after_start"), "duration")
-    of_log = close.select(F.col("media_id").alias("item"), F.col("cluster").alias("of"), F.col("lo").alias("low"), *[F.col(c).alias(c) for c in _EDIT])
+    cue = F.struct("pos", "ix", "start", "end", "src", "tgt", "src_orig", "before", F.col("after.start").alias("after_start"), "duration")
+    inside = rows.join(held, ["media_id", "pos"]).select("media_id", "cluster", cue.alias("cue"))
+    of_log = close.select("media_id", "cluster", F.struct(F.col("lo").alias("low"), *_EDIT).alias("edit"))
     kind = StructType.fromDDL(f"media_id {media}, pos long, sub int, {_CUE}, edit_ix long, kind string, reason string")
     arrow = to_arrow_schema(kind)
-    replayed = inside.groupBy("media_id", "cluster").cogroup(of_log.groupBy("item", "of")).applyInArrow(lambda left, right: pa.Table.from_pylist(_replayed(left, right), schema=arrow), kind)
+
+    def replay(table: pa.Table) -> pa.Table:
+        out = []
+        for (item, _), members in groupby(table.to_pylist(), key=itemgetter("media_id", "cluster")):
+            both = list(members)
+            out += _replayed(item, [r["cue"] for r in both if r["cue"]], [r["edit"] for r in both if r["edit"]])
+        return pa.Table.from_pylist(out, schema=arrow)
+
+    replayed = by_group(inside.unionByName(of_log, allowMissingColumns=True), ["media_id", "cluster"], [], replay, kind)
     names = [c.split()[0] for c in _CUE.split(", ")]
     whole = kept.join(held.select("media_id", "pos"), ["media_id", "pos"], "left_anti").unionByName(replayed.filter("reason is null").select("media_id", "pos", "sub", *names))
     number = F.row_number().over(Window.partitionBy("media_id").orderBy("pos", "sub")) - 1

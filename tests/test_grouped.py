@@ -81,3 +81,25 @@ def test_build_cues_reads_words_once(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
         cues.WORDS = most
     assert [x[1] for x in whole if x[0] == 2] == list(range(sum(x[0] == 2 for x in whole)))
+
+
+def test_clusters_and_batches_share_streams(spark, tmp_path):
+    """Neither clusters of edits nor batches of a job are a stream each, and windows are timed without a shuffle."""
+    from cuelake.operators import jobs, replay
+
+    rows = spark.createDataFrame([(m, i, i * 2.0, i * 2 + 1.5, f"text {m} {i}") for m in range(3) for i in range(12)], "media_id long, ix long, start double, end double, src string")
+    edits = spark.createDataFrame([(m, n, "delete", ix) for m in range(2) for n, ix in enumerate((1, 2, 9, 10))], "media_id long, edit_ix long, kind string, ix long")
+    found, refused = replay.apply_edits(rows, edits)
+    assert "FlatMap" not in explained(found)
+    assert [(r.media_id, r.old_ix) for r in found.orderBy("media_id", "ix").collect()] == [(m, i) for m in range(3) for i in range(12) if m == 2 or i not in (1, 2, 9, 10)]
+    assert refused.count() == 0
+
+    job = jobs.translate(rows, lambda b: {x["id"]: "x " + x["src"] for x in b}, f"{tmp_path}/ledger", size=1, rounds=1, waves=1)
+    assert sorted((r.media_id, r.ix, r.tgt) for r in job.cues.collect()) == sorted((m, i, f"x text {m} {i}") for m in range(3) for i in range(12))
+    assert {(r.media_id, r.requests) for r in job.usage.collect()} == {(m, 12) for m in range(3)}
+
+    windows = spark.createDataFrame([(1, 1, "ab  c\td", 0.0, 4.0), (1, 2, "a long-er word, 12", 0.0, 13.0), (1, 3, None, 0.0, 1.0), (1, 4, "", 0.0, 1.0)], "media_id long, win_ix long, text string, s double, e double")
+    timed = cues.proportional_words(windows)
+    assert "Exchange" not in explained(timed)
+    assert [(r.win_ix, r.text, round(r.s, 6), round(r.e, 6)) for r in timed.orderBy("win_ix", "ix").collect() if r.win_ix == 2] == [(2, "a ", 0.0, 1.0), (2, "long-er ", 1.0, 7.0), (2, "word, ", 7.0, 11.0), (2, "12", 11.0, 13.0)]
+    assert {r.win_ix for r in timed.collect()} == {1, 2}
