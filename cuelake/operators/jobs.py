@@ -10,6 +10,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .grouped import by_group
 from .translate import BATCH, apply_fixes, plan_batches, postprocess, untranslated
 
 #: What a call may count; a request is one call.
@@ -67,9 +70,8 @@ class Ledger:
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
 
-def _asked(fn: Callable[[list[dict]], dict], table: pa.Table) -> list[dict]:
-    """One batch as ledger rows, a row a cue; usage stands in the first. Ids are 1-based within the batch, `7` or `[7]`."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["ix"])
+def _asked(fn: Callable[[list[dict]], dict], rows: list[dict]) -> list[dict]:
+    """One batch, in order, as ledger rows, a row a cue; usage stands in the first. Ids are 1-based within the batch, `7` or `[7]`."""
     said, error, truncated = {}, None, False
     try:
         said = fn([{"id": str(k + 1), "src": r["src"]} for k, r in enumerate(rows)])
@@ -117,8 +119,12 @@ def translate(cues: DataFrame, fn: Callable[[list[dict]], dict], ledger: str, si
     worth = F.col("src").rlike(r"[\p{L}\p{N}]")
 
     def keyed(parts: DataFrame, attempt: int, *by: str) -> DataFrame:
-        texts = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ix", "src"))).alias("texts")).select(*by, _key(F.lit(attempt), *map(F.col, by)).alias("batch"))
-        return parts.join(texts, list(by)).select("media_id", "ix", "src", F.lit(attempt).alias("attempt"), "batch")
+        texts = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ix", "src"))).alias("texts")).select("media_id", _key(F.lit(attempt), *map(F.col, by)).alias("batch"), "texts")
+        return texts.select("media_id", F.explode("texts").alias("x"), "batch").select("media_id", "x.ix", "x.src", F.lit(attempt).alias("attempt"), "batch")
+
+    def asked(table: pa.Table) -> pa.Table:
+        batches = groupby(table.to_pylist(), key=itemgetter("media_id", "batch"))
+        return pa.Table.from_pylist([reply for _, batch in batches for reply in _asked(fn, list(batch))], schema=arrow)
 
     for attempt in range(1, rounds + 1):
         name = f"attempt{attempt}"
@@ -137,7 +143,7 @@ def translate(cues: DataFrame, fn: Callable[[list[dict]], dict], ledger: str, si
         rest = plan.join(done, "batch", "left_anti").withColumn("wave", F.pmod(F.col("batch"), F.lit(waves)))
         for wave in sorted(r[0] for r in rest.select("wave").distinct().collect()):
             seen = Observation(f"{name}-wave{wave}")
-            replies = rest.filter(F.col("wave") == wave).groupBy("media_id", "batch").applyInArrow(lambda t: pa.Table.from_pylist(_asked(fn, t), schema=arrow), kind)
+            replies = by_group(rest.filter(F.col("wave") == wave), ["media_id", "batch"], ["ix"], asked, kind)
             counted = replies.observe(seen, *[F.sum(c).alias(c) for c in USAGE], F.count_if(F.col("text").isNull()).alias("unanswered"), F.count("*").alias("cues"))
             book.write(counted, name)
             sent.append({"attempt": attempt, "wave": wave, **seen.get})
