@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Words are parted by space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Whether Spark removes a query's shuffle files when it ends, and not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: str | None = None
 
 
@@ -39,9 +42,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives the loss of executors.
 
     What is written stays, since later plans read it; once their results are stored, `cuelake` in that folder may go.
+    Shuffle files of the write go as soon as it ends, since nothing but the table is read of it again.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -103,3 +103,16 @@ def test_clusters_and_batches_share_streams(spark, tmp_path):
     assert "Exchange" not in explained(timed)
     assert [(r.win_ix, r.text, round(r.s, 6), round(r.e, 6)) for r in timed.orderBy("win_ix", "ix").collect() if r.win_ix == 2] == [(2, "a ", 0.0, 1.0), (2, "long-er ", 1.0, 7.0), (2, "word, ", 7.0, 11.0), (2, "12", 11.0, 13.0)]
     assert {r.win_ix for r in timed.collect()} == {1, 2}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import glob
+
+    from cuelake.llm.common import materialize
+
+    local = spark.conf.get("spark.local.dir")
+    held = lambda: set(glob.glob(f"{local}/**/shuffle_*.data", recursive=True))
+    before = held()
+    stored = materialize(spark.range(1000).repartition(4), "numbers")
+    assert not held() - before
+    assert stored.count() == 1000
