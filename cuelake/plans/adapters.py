@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,11 +28,31 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("media_id"), F.col("turn").alias("ix"), ((done - F.col("n")) / 15).alias("start"), (done / 15).alias("end"), "src", "role")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """media_id (document), ix, text, s, e: 0.05 s a character, and 1.5 s of silence after a newline. Whole texts are shuffled, before they become words."""
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_id (document), words: its text, cut where a word begins. Whole texts are shuffled, before they become words."""
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.coalesce("text", F.lit("")).alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media_id")
-    rows = texts.select("media_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0))).alias("ix", "text")).withColumn("ix", F.col("ix").cast("long"))
-    spoken, pause = F.length("text") * 0.05, F.when(F.contains("text", F.lit("\n")), 1.5).otherwise(0.0)
+    return texts.select("media_id", F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0)).alias("words"))
+
+
+def _spoken(text: Column) -> tuple[Column, Column]:
+    """How long a word is said and what silence follows: 0.05 s a character, and 1.5 s after a newline."""
+    return F.length(text) * 0.05, F.when(F.contains(text, F.lit("\n")), 1.5).otherwise(0.0)
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_id, words: an array of text, said and silent. The words of a document as one row."""
+
+    def word(text: Column) -> Column:
+        said, silent = _spoken(text)
+        return F.struct(text.alias("text"), said.alias("said"), silent.alias("silent"))
+
+    return _texts(spark, sf_dir).withColumn("words", F.transform("words", word))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_id, ix, text, s, e: the same words as rows, timed."""
+    rows = _texts(spark, sf_dir).select("media_id", F.posexplode("words").alias("ix", "text")).withColumn("ix", F.col("ix").cast("long"))
+    spoken, pause = _spoken(F.col("text"))
     before = Window.partitionBy("media_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(spoken + pause).over(before), F.lit(0.0))
     return rows.select("media_id", "ix", "text", start.alias("s"), (start + spoken).alias("e"))
